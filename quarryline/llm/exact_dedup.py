@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import HEAVY_SHARE, heavy_values, materialize, text_or_empty
+from .shared import HEAVY_SHARE, heavy_values, materialize, text_or_empty, unused, without_ids
 
 #: Characters that don't count when texts are compared.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -65,16 +65,15 @@ def exact_dedup(docs: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
     apart by their digest; of rows that repeat both, one stays.
     """
     groups = materialize(duplicate_groups(docs, share), "groups")
-    dropped = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"))
-    repeated = groups.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id"))
-    if repeated.isEmpty():
-        return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    if groups.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return without_ids(docs, groups.filter("NOT kept").select("doc_id"))
     return _with_repeated_ids(docs, groups)
 
 
 def _with_repeated_ids(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    keep = groups.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_sha", F.sha2(normalised("text"), 256)).withColumn("_n", F.length(text_or_empty("text")))
-    kept = marked.alias("d").join(keep.alias("k"), F.expr("d.doc_id <=> k._id AND d._sha = k._sha"), "left_semi")
-    order = Window.partitionBy("doc_id", "_sha").orderBy(F.desc("_n"))
-    return kept.withColumn("_rank", F.row_number().over(order)).filter("_rank = 1").drop("_sha", "_n", "_rank")
+    sha, size, rank, key, key_sha = unused(docs, "sha", "size", "rank", "key", "key_sha")
+    keep = groups.filter("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(key_sha))
+    marked = docs.withColumn(sha, F.sha2(normalised("text"), 256)).withColumn(size, F.length(text_or_empty("text")))
+    kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(sha) == F.col(key_sha)), "left_semi")
+    order = Window.partitionBy("doc_id", sha).orderBy(F.desc(size))
+    return kept.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).select(*docs.columns)

@@ -3,7 +3,8 @@
 Every language has a raw-content zstandard dictionary: training text of that language. A text
 is compressed with each of them, and the language whose dictionary gives the fewest bytes is
 the prediction. A narrow margin over the second best means that no dictionary knows the text.
-Long texts are compressed in pieces, so that the dictionary stays in reach of every part.
+Texts are taken as lower-case words, in pieces of PIECE_WORDS words; each distinct word of a
+piece counts once, so that a piece's own repetitions don't hide what the dictionary tells.
 """
 
 from __future__ import annotations
@@ -15,22 +16,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import text_or_empty, unused
 
 #: Bound of the training sample: bytes of each language's dictionary, texts they come from,
 #: and languages. What is fitted is at most their product, whatever the corpus.
-DICTIONARY_BYTES = 1 << 16
-SAMPLE_TEXTS = 400
+DICTIONARY_BYTES = 1 << 18
+SAMPLE_TEXTS = 1200
 MAX_LANGUAGES = 64
-LEVEL = 3
-PIECE_BYTES = 4096
-#: Below this margin, as a share of the second smallest size, a prediction is rejected.
-MIN_MARGIN = 0.004
+PIECE_WORDS = 680
+#: A prediction is rejected below this margin, as a share of the second smallest size. A text
+#: that takes fewer than MIN_BYTES is too short to speak against any language and isn't.
+MIN_MARGIN, MIN_BYTES = 0.004, 100
 
 UNDETERMINED = "und"
 FOLDS, HELD_OUT = 5, 0
 SCHEMA = "lang_pred string, score double, margin double, rejected boolean"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def fold(doc_id: str | Column = "doc_id") -> Column:
@@ -53,54 +54,65 @@ def fit_dictionaries(docs: DataFrame) -> dict[str, bytes]:
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     cut = DICTIONARY_BYTES // SAMPLE_TEXTS * 4
     picked = train.withColumn("_draw", draw).filter(F.col("_draw") < share).select("lang", "_draw", F.substring(text_or_empty("text"), 1, cut).alias("text")).filter("text <> ''")
-    texts: dict[str, list[str]] = {}
+    texts: dict[str, list[str]] = {r["lang"]: [] for r in counts}  # the most frequent first
     for r in picked.orderBy("lang", "_draw", "text").limit(MAX_LANGUAGES * SAMPLE_TEXTS * 4).collect():
-        texts.setdefault(r["lang"], []).append(r["text"])
-    return {lang: "\n".join(dict.fromkeys(parts[:SAMPLE_TEXTS])).encode()[-DICTIONARY_BYTES:] for lang, parts in texts.items()}
+        texts[r["lang"]].append(" ".join(_WORD.findall(r["text"].lower())))
+    return {lang: "\n".join(dict.fromkeys(parts[:SAMPLE_TEXTS])).encode()[-DICTIONARY_BYTES:] for lang, parts in texts.items() if any(parts)}
 
 
-def _pieces(data: bytes) -> list[bytes]:
-    return [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
+def _pieces(text: str) -> list[bytes]:
+    words = _WORD.findall(text.lower())
+    return [" ".join(dict.fromkeys(words[i : i + PIECE_WORDS])).encode("utf-8", "replace") for i in range(0, len(words), PIECE_WORDS)]
 
 
-def classify(dictionaries: dict[str, bytes]):
-    """A function from batches (key, text) to batches (key, *SCHEMA)."""
+def _coders(dictionaries: dict[str, bytes]) -> list:
+    """A compressor per language; greedy search with short matches tells languages best."""
+    import zstandard
+
+    options = {"strategy": zstandard.STRATEGY_GREEDY, "min_match": 4, "search_log": 4, "hash_log": 17, "chain_log": 17, "window_log": 19}
+    params = zstandard.ZstdCompressionParameters(write_content_size=False, write_checksum=False, write_dict_id=False, **options)
+    out = []
+    for lang, data in dictionaries.items():
+        table = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        table.precompute_compress(compression_params=params)
+        out.append((lang, zstandard.ZstdCompressor(dict_data=table, compression_params=params)))
+    return out
+
+
+OUTPUTS = ("lang_pred", "score", "margin", "rejected")
+
+
+def classify(dictionaries: dict[str, bytes], names=OUTPUTS):
+    """A function from batches (…, text) to batches (…, and what SCHEMA lists)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        coders = []
-        for lang, data in sorted(dictionaries.items()):
-            table = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            table.precompute_compress(level=LEVEL)
-            params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
-            coders.append((lang, zstandard.ZstdCompressor(dict_data=table, compression_params=params)))
+        coders = _coders(dictionaries)
         for batch in batches:
             out = [_one(text, coders) for text in batch.column(batch.num_columns - 1).to_pylist()]
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)] if out else [pa.array([], t) for t in (pa.string(), pa.float64(), pa.float64(), pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "lang_pred", "score", "margin", "rejected"])
+            kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
+            columns = [pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], *names])
 
     return run
 
 
 def _one(text: str | None, coders) -> tuple[str, float, float, bool]:
-    if not coders or not text or not _LETTER.search(text):
+    pieces = _pieces(text) if text and coders else []
+    if not pieces:
         return UNDETERMINED, 0.0, 0.0, True
-    data = text.encode("utf-8", "replace")
-    pieces = _pieces(data)
-    sizes = sorted((sum(len(coder.compress(p)) for p in pieces), lang) for lang, coder in coders)
-    best, lang = sizes[0]
-    second = sizes[1][0] if len(sizes) > 1 else len(data) + 16 * len(pieces)
+    sizes = sorted((sum(len(coder.compress(p)) for p in pieces), k) for k, (_, coder) in enumerate(coders))
+    best, k = sizes[0]
+    second = sizes[1][0] if len(sizes) > 1 else sum(len(p) + 16 for p in pieces)
     margin = max(0.0, (second - best) / second)
-    return lang, 1 - (best / second) ** 4 if best < second else 0.0, margin, margin < MIN_MARGIN
+    return coders[k][0], 1 - (1 - margin) ** 8, margin, margin < MIN_MARGIN and best >= MIN_BYTES
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """doc_id, held_out, lang_pred, score, margin, rejected per row of docs.
 
     Only text is compressed; lang, source and doc_id are no inputs. Null texts and texts
-    without a letter are `und` with score 0, rejected. A tie goes to the first language by
-    name with margin 0, rejected. Without training texts all rows are `und`.
+    without a letter are `und` with score 0, rejected. A tie goes to the language with more
+    training texts. Without training texts all rows are `und`.
     """
     rows = docs.select("doc_id", (fold() == HELD_OUT).alias("held_out"), "text")
     schema = rows.select("doc_id", "held_out").schema
@@ -109,7 +121,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """The rows of docs that aren't rejected, with all their columns."""
-    columns = docs.columns
-    extra = docs.select(*columns, F.col("text").alias("_text_again"))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return extra.mapInArrow(classify(dictionaries), f"{types}, {SCHEMA}").filter("NOT rejected").select(*columns)
+    text, *own = unused(docs, "text_again", "lang_pred", "score", "margin", "rejected")
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    found = [f"`{n}` {t}" for n, t in zip(own, ("string", "double", "double", "boolean"), strict=True)]
+    marked = docs.withColumn(text, F.col("text")).mapInArrow(classify(dictionaries, own), ", ".join([*types, *found]))
+    return marked.filter(~F.col(own[-1])).select(*docs.columns)

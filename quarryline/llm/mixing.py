@@ -48,33 +48,43 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, epochs: floa
         weighted = totals.withColumn("weight", F.coalesce(F.create_map(*pairs)[F.col("source")], F.lit(0.0)))
     # one row: the totals of all sources
     overall = weighted.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight"))
-    rate = F.when(F.col("chars") > 0, F.col("all_chars") * F.col("weight") / F.col("all_weight") / F.col("chars")).otherwise(F.lit(1.0))
+    known = F.col("all_chars") * F.col("weight") / F.nullif(F.col("all_weight"), F.lit(0.0)) / F.nullif(F.col("chars"), F.lit(0))
+    # no weights at all: no copies; a source without characters: as it is
+    rate = F.when(F.col("chars") > 0, F.coalesce(known, F.lit(0.0))).otherwise(F.lit(1.0))
     rates = weighted.crossJoin(F.broadcast(overall)).select("source", (rate * F.lit(float(epochs))).alias("rate"))
     pieces = F.greatest(F.ceil(F.col("rate") / PIECE).cast("int"), F.lit(1))
     return rates.withColumn("pieces", pieces).withColumn("steps", poisson_steps(F.col("rate") / F.col("pieces")))
 
 
-def copy_counts(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 7) -> DataFrame:
-    """docs with the columns mix_rate and mix_copies.
+#: What mixing adds; columns of docs with these names are replaced.
+ADDED = ("mix_rate", "mix_copies", "mix_copy", "mix_key")
 
-    A null text counts as empty, a null source is a source of its own; in a source that has
-    only empty texts the rate is `epochs`. With weights, a source that isn't named gets no
-    copies. Rows that repeat id and text get equal counts.
-    """
-    rates = materialize(source_rates(docs, weights, epochs), "rates").withColumnRenamed("source", "_source")
-    key = [F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text_or_empty("text"))]
+
+def _counted(docs: DataFrame, weights: dict[str, float] | None, epochs: float, seed: int) -> DataFrame:
+    """row (all columns of docs), id and content (what the hashes are made of), rate, copies."""
+    rates = materialize(source_rates(docs, weights, epochs), "rates").withColumnRenamed("source", "rate_source")
+    content = F.md5(text_or_empty("text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED]).alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), content.alias("content"), F.col("source").alias("own_source"))
+    key = [F.lit(str(seed)), F.col("id"), F.col("content")]
     # one row per source; the optimizer broadcasts it if its measured size allows
-    joined = docs.join(rates, docs["source"].eqNullSafe(F.col("_source")), "left")
-    if "_u" in docs.columns:
-        raise ValueError("the column name _u is taken")
-    joined = joined.withColumn("_u", uniform(*key, F.lit("0")))
-    first = F.size(F.filter("steps", lambda c: c <= F.col("_u")))
+    joined = packed.join(rates, F.col("own_source").eqNullSafe(F.col("rate_source")), "left").withColumn("u", uniform(*key, F.lit("0")))
+    first = F.size(F.filter("steps", lambda c: c <= F.col("u")))
     more = F.aggregate(
         F.sequence(F.lit(1), F.greatest(F.col("pieces") - 1, F.lit(1))), F.lit(0),
         lambda n, i: n + F.size(F.filter("steps", lambda c: c <= uniform(*key, i.cast("string")))),
     )
     count = F.when(F.col("pieces") > 1, first + more).otherwise(first)
-    return joined.withColumn("mix_rate", F.col("rate")).withColumn("mix_copies", count.cast("long")).drop("rate", "pieces", "steps", "_source", "_u")
+    return joined.select("row", "id", "content", "rate", count.cast("long").alias("copies"))
+
+
+def copy_counts(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 7) -> DataFrame:
+    """docs with the columns mix_rate and mix_copies.
+
+    A null text counts as empty, a null source is a source of its own; in a source that has
+    only empty texts the rate is `epochs`. With weights, a source that isn't named gets no
+    copies. Rows that repeat id and text get equal counts.
+    """
+    return _counted(docs, weights, epochs, seed).select("row.*", F.col("rate").alias("mix_rate"), F.col("copies").alias("mix_copies"))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 7) -> DataFrame:
@@ -83,7 +93,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs
     Adds mix_rate, mix_copies, mix_copy (from 0) and mix_key, a hash by which the rows are
     range-partitioned and sorted; copies of a document get keys of their own.
     """
-    copies = copy_counts(docs, weights, epochs, seed).filter("mix_copies > 0")
-    copies = copies.withColumn("mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_copies") - 1)))
-    key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text_or_empty("text")), F.col("mix_copy").cast("string")))
-    return copies.withColumn("mix_key", key).sort("mix_key")
+    copies = _counted(docs, weights, epochs, seed).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.col("id"), F.col("content"), F.col("copy").cast("string")))
+    placed = copies.select("row.*", F.col("rate").alias("mix_rate"), F.col("copies").alias("mix_copies"), F.col("copy").alias("mix_copy"), key.alias("mix_key"))
+    return placed.sort("mix_key")

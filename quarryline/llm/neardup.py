@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import HEAVY_SHARE, heavy_values, materialize, text_or_empty
+from .shared import HEAVY_SHARE, heavy_values, materialize, text_or_empty, without_ids
 from .spans import chunks, mix, prefix_sums, span_hashes, text_buffer, word_hashes
 
 SHINGLE_WORDS = 5
@@ -337,8 +337,7 @@ def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents that stay, one of each class, with all their columns. Of rows that repeat
     the staying doc_id one stays."""
     found = materialize(near_duplicates(docs, similarity).select("doc_id", "kept"), "near")
-    dropped = found.filter("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    kept = without_ids(docs, found.filter("NOT kept").select("doc_id"))
     if not found.filter("kept").groupBy("doc_id").count().filter("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept

@@ -57,3 +57,21 @@ def heavy_values(df: DataFrame, column: str, share: float = HEAVY_SHARE) -> Data
 
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id isn't among those of dropped(id); nulls are equal to nulls."""
+    (name,) = unused(docs, "dropped_id")
+    return docs.join(dropped.toDF(name), F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
