@@ -49,8 +49,8 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, epochs: floa
     # one row: the totals of all sources
     overall = weighted.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight"))
     known = F.col("all_chars") * F.col("weight") / F.nullif(F.col("all_weight"), F.lit(0.0)) / F.nullif(F.col("chars"), F.lit(0))
-    # no weights at all: no copies; a source without characters: as it is
-    rate = F.when(F.col("chars") > 0, F.coalesce(known, F.lit(0.0))).otherwise(F.lit(1.0))
+    # no weight: no copies; a weighted source without characters: as it is
+    rate = F.when(F.col("weight") <= 0, F.lit(0.0)).when(F.col("chars") > 0, F.coalesce(known, F.lit(0.0))).otherwise(F.lit(1.0))
     rates = weighted.crossJoin(F.broadcast(overall)).select("source", (rate * F.lit(float(epochs))).alias("rate"))
     pieces = F.greatest(F.ceil(F.col("rate") / PIECE).cast("int"), F.lit(1))
     return rates.withColumn("pieces", pieces).withColumn("steps", poisson_steps(F.col("rate") / F.col("pieces")))
@@ -82,7 +82,7 @@ def copy_counts(docs: DataFrame, weights: dict[str, float] | None = None, epochs
 
     A null text counts as empty, a null source is a source of its own; in a source that has
     only empty texts the rate is `epochs`. With weights, a source that isn't named gets no
-    copies. Rows that repeat id and text get equal counts.
+    copies, whatever its texts. Rows that repeat id and text get equal counts.
     """
     return _counted(docs, weights, epochs, seed).select("row.*", F.col("rate").alias("mix_rate"), F.col("copies").alias("mix_copies"))
 
