@@ -30,8 +30,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 14, 5
 IDF_BUCKETS = 1 << 18
 RARE, FLOOR = 0.001, 0.5
-#: Representatives that a bucket's documents are compared with in one round.
-REPRESENTATIVES = 16
+#: Representatives that an unsettled bucket's documents are compared with in the second round,
+#: and how much more in each further one: few pairs while labels still merge, few rounds after.
+REPRESENTATIVES, GROWTH = 16, 4
 SEED = 20240917
 
 
@@ -223,7 +224,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
-        step = materialize(labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label")), "step")
+        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         up = step.select(F.col("node").alias("up"), F.col("label").alias("up_label"))
         new = materialize(step.join(up, F.col("label") == F.col("up")).select("node", "old", F.least("label", "up_label").alias("label")), "labels")
         if new.filter(F.col("old") != F.col("label")).isEmpty():
@@ -231,6 +232,21 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
+def merged_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The labels of all components once links (a, b) are added: only links between different
+    components take part, each component as one node."""
+    if labels is None:
+        return components(links)
+    ends = links.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
+    ends = materialize(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b").distinct(), "component-links")
+    if ends.isEmpty():
+        return labels
+    joined = components(ends)
+    old = labels.join(joined.toDF("label", "new"), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    # a node that had no link yet is its own component
+    return materialize(old.unionByName(joined.join(labels.select("node"), "node", "left_anti")), "all-labels")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, class_size, links, kept, node: one row per row of docs.
 
@@ -258,76 +274,68 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     signed = once.mapInArrow(_sign(idf), f"doc_id {kind}, node binary, bands array<long>, weight double")
     nodes = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("weight").alias("weight")), "signed")
 
-    members = materialize(nodes.select("node", F.explode("bands").alias("bucket")), "members")
-    buckets = materialize(members.groupBy("bucket").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "rep"), "buckets")
-    members = materialize(members.join(buckets, "bucket"), "shared-buckets")
-    pairs = members.filter("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    members = members.select("bucket", "node")
+    members = nodes.select("node", "weight", F.explode("bands").alias("bucket"))
+    first = F.min(F.struct("node", "weight"))
+    buckets = members.groupBy("bucket").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    reps = materialize(buckets.select("bucket", F.col("first.node").alias("rep"), F.col("first.weight").alias("rep_weight")), "buckets")
+    members = materialize(members.join(reps.select("bucket"), "bucket"), "shared-buckets")
 
-    describe = _describe(idf)
-    features, tested, edges, labels = None, None, None, None
-    done = buckets
+    # what is compared in full, read once: texts that share a bucket with another
+    wanted = members.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("first")), "node")
+    texts = once.withColumnRenamed("node", "own").join(wanted, (F.col("own") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text")
+    features = materialize(texts.mapInArrow(_describe(idf), "node binary, hashes array<long>, weights array<float>"), "features")
+    of = lambda name: features.select(F.col("node").alias(name), F.col("hashes").alias(f"h{name}"), F.col("weights").alias(f"w{name}"))
+
+    tested, edges, labels, most = None, None, None, REPRESENTATIVES
+    pairs = members.join(reps, "bucket").filter("node <> rep")
     while True:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = pairs.filter(F.least("weight", "rep_weight") >= F.lit(similarity * 0.999) * F.greatest("weight", "rep_weight"))
+        pairs = pairs.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        size = nodes.select("node", "weight")
-        pairs = pairs.join(size.toDF("a", "wa"), "a").join(size.toDF("b", "wb"), "b")
-        pairs = materialize(pairs.filter(F.least("wa", "wb") >= F.lit(similarity * 0.999) * F.greatest("wa", "wb")).select("a", "b"), "pairs")
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        if features is not None:
-            wanted = wanted.join(features.select("node"), "node", "left_anti")
-        wanted = wanted.join(nodes.select("node", F.col("doc_id").alias("first")), "node")
-        if not wanted.isEmpty():
-            texts = once.withColumnRenamed("node", "own").join(wanted, (F.col("own") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text")
-            new = materialize(texts.mapInArrow(describe, "node binary, hashes array<long>, weights array<float>"), "features")
-            features = new if features is None else features.unionByName(new)
-        if features is None:
-            break
-        of = lambda name: features.select(F.col("node").alias(name), F.col("hashes").alias(f"h{name}"), F.col("weights").alias(f"w{name}"))
+        pairs = materialize(pairs, "pairs")
         both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ha", "wa", "hb", "wb")
         linked = materialize(both.mapInArrow(_verify(similarity), "a binary, b binary, similarity double").dropDuplicates(["a", "b"]), "links")
-        edges = linked if edges is None else materialize(edges.unionByName(linked), "links")
-        tested = pairs if tested is None else materialize(tested.unionByName(pairs), "tested")
-        labels = components(edges)
-        open_, reps = _open_buckets(members, done, labels)
+        edges = linked if edges is None else edges.unionByName(linked)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        labels = merged_labels(labels, linked)
+        members, reps = _open_buckets(members, reps, labels, most)
         if reps.isEmpty():
             break
-        done = materialize(done.unionByName(reps), "done")
-        pairs = open_.join(reps, "bucket").join(labels.toDF("rep", "rep_label"), "rep", "left")
-        pairs = pairs.filter(F.col("label") != F.coalesce("rep_label", "rep")).select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        most *= GROWTH
+        pairs = members.join(reps, "bucket").filter(F.col("label") != F.col("rep_label"))
+        members = members.select("bucket", "node", "weight")
     return _classes(keys, nodes, edges, labels)
 
 
-def _open_buckets(members: DataFrame, done: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (bucket, node, label) of buckets in which pairs are yet to be compared, and each
-    such bucket's next representatives (bucket, rep).
+def _open_buckets(members: DataFrame, compared: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Members (bucket, node, weight, label) of buckets in which pairs are yet to be compared,
+    and each such bucket's next representatives (bucket, rep, rep_weight, rep_label), at most
+    `most`; the loop goes on until no bucket is open.
 
-    Representatives so far have been compared with their whole bucket. Of the other members, a
-    pair yet to be compared has different labels, so one of the two isn't of the bucket's most
-    frequent label; those members are next.
+    Representatives so far have been compared with their whole bucket and leave. Of the other
+    members, a pair yet to be compared has different labels, so one of the two isn't of the
+    bucket's most frequent label; those members are next. Labels only merge, so a bucket that
+    is settled stays so.
     """
-    rest = members.join(done.withColumnRenamed("rep", "node"), ["bucket", "node"], "left_anti").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    rest = materialize(rest, "rest")
+    rest = members.join(compared.select("bucket", F.col("rep").alias("node")), ["bucket", "node"], "left_anti").join(labels, "node", "left")
+    rest = materialize(rest.select("bucket", "node", "weight", F.coalesce("label", "node").alias("label")), "rest")
     sizes = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    most = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("bucket", F.col("top.label").alias("most"))
-    most = materialize(most, "mixed")
-    open_ = materialize(rest.join(most, "bucket"), "open")
+    common = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("bucket", F.col("top.label").alias("most"))
+    open_ = materialize(rest.join(common, "bucket"), "open")
     first = Window.partitionBy("bucket").orderBy("node")
-    reps = open_.filter("label <> most").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= REPRESENTATIVES).select("bucket", F.col("node").alias("rep"))
-    return open_.select("bucket", "node", "label"), materialize(reps, "reps")
+    reps = open_.filter("label <> most").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= most)
+    reps = reps.select("bucket", F.col("node").alias("rep"), F.col("weight").alias("rep_weight"), F.col("label").alias("rep_label"))
+    return open_.drop("most"), materialize(reps, "reps")
 
 
-def _classes(keys: DataFrame, nodes: DataFrame, edges: DataFrame | None, labels: DataFrame | None) -> DataFrame:
+def _classes(keys: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
     copies = keys.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"))
-    if labels is None:
-        table = copies.select("node", F.col("doc_id").alias("class_id"), F.col("copies").alias("class_size"), F.lit(0).cast("long").alias("links"))
-    else:
-        ends = edges.select(F.col("a").alias("node")).union(edges.select("b"))
-        links = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-        labelled = materialize(copies.join(labels, "node", "left").join(links, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-        classes = materialize(labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size")), "classes")
-        table = labelled.join(classes, "label").select("node", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links"))
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b"))
+    links = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    labelled = materialize(copies.join(labels, "node", "left").join(links, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    classes = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    table = labelled.join(classes, "label").select("node", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links"))
     table = materialize(table, "node-classes")
     out = keys.join(table, "node")
     return out.select("doc_id", "class_id", "class_size", "links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "node")
