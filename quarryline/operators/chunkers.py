@@ -30,8 +30,8 @@ def cut_bytes(text: Column, n: int) -> Column:
 def window_chunks(files: DataFrame, lines: int = WINDOW_LINES) -> DataFrame:
     """Windows of `lines` lines; the last one may be shorter. An empty file has none.
 
-    As in the reference, the end line of a shorter last window of a file that ends in a line
-    end counts the line behind it too.
+    The end line of a shorter last window of a file that ends in a line end counts the (empty)
+    line behind it too.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     split = files.select(*FILE, F.split(text, "\n", -1).alias("lines"), F.octet_length(text).alias("n_bytes"))

@@ -470,13 +470,13 @@ def w13_diff_hunks(spark, sf):
 
 
 @query(f"""WITH RECURSIVE {RESOLVED}, hop AS (SELECT src AS a, dst AS b FROM named UNION ALL SELECT dst, src FROM named),
-d AS (SELECT name, path, min(start_line) AS first FROM nodes WHERE path IN ('Brand#11', 'Brand#12') AND start_line <= 40 AND end_line >= 40 GROUP BY name, path ORDER BY path, first, name LIMIT 20),
+d AS (SELECT name, path, min(start_line) AS first FROM nodes WHERE EXISTS (SELECT 1 FROM part h WHERE h.p_partkey % 97 = 5 AND h.p_brand = path AND start_line <= h.p_partkey % 1000 AND end_line >= h.p_partkey % 1000) GROUP BY name, path ORDER BY path, first, name LIMIT 20),
 w AS (SELECT id AS node, 0 AS depth FROM nodes JOIN d USING (name, path) UNION SELECT b, depth + 1 FROM w JOIN hop ON a = node WHERE depth < 2),
 i AS (SELECT n.name, n.path, min(depth) AS depth FROM w JOIN nodes n ON n.id = node WHERE depth > 0 AND (n.name, n.path) NOT IN (SELECT name, path FROM d) GROUP BY 1, 2 ORDER BY 3, 2, 1 LIMIT 20)
 SELECT name, path, 'direct' AS risk FROM d UNION ALL SELECT name, path, 'transitive' FROM i""")
 def g22_changed_symbols(spark, sf):
     nodes = data.nodes(spark, sf)
-    hunks = spark.createDataFrame([("Brand#11", 40), ("Brand#12", 40)], "path string, line int")
+    hunks = data.table(spark, sf, "part").filter("p_partkey % 97 = 5").select(F.col("p_brand").alias("path"), (F.col("p_partkey") % 1000).cast("int").alias("line"))
     outline = nodes.select("path", F.col("name").alias("symbol"), "start_line", "end_line")
     return graph.changed_symbols(hunks, outline, graph.resolve_names(data.named_refs(spark, sf), nodes), nodes)
 
