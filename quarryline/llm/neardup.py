@@ -19,10 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import HEAVY_SHARE, heavy_values, materialize, text_or_empty, without_ids
+from .shared import HEAVY_SHARE, heavy_values, materialize, text_or_empty, unused, without_ids
 from .spans import chunks, mix, prefix_sums, span_hashes, text_buffer, word_hashes
 
 SHINGLE_WORDS = 5
@@ -247,6 +247,10 @@ def merged_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialize(old.unionByName(joined.join(labels.select("node"), "node", "left_anti")), "all-labels")
 
 
+def node_of(text: str | Column) -> Column:
+    return F.unhex(F.substring(F.sha2(text_or_empty(text), 256), 1, 32))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, class_size, links, kept, node: one row per row of docs.
 
@@ -256,8 +260,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     are one node of the graph, whatever their number; texts without words link to equal texts
     only. node is a hash of the text.
     """
+    return _labelled(docs, similarity).drop("label")
+
+
+def _labelled(docs: DataFrame, similarity: float) -> DataFrame:
+    """near_duplicates() with the label of the class, which no other class has."""
     spark = docs.sparkSession
-    source = docs.select("doc_id", F.unhex(F.substring(F.sha2(text_or_empty("text"), 256), 1, 32)).alias("node"), text_or_empty("text").alias("text"))
+    source = docs.select("doc_id", node_of("text").alias("node"), text_or_empty("text").alias("text"))
     keys = materialize(source.select("doc_id", "node"), "nodes")
     # of a text that makes up much of the corpus, copies are dropped where they are read
     heavy = keys.join(F.broadcast(heavy_values(keys, "node", HEAVY_SHARE)), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -335,17 +344,26 @@ def _classes(keys: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFr
     links = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     labelled = materialize(copies.join(labels, "node", "left").join(links, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     classes = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    table = labelled.join(classes, "label").select("node", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links"))
+    table = labelled.join(classes, "label").select("node", "label", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links"))
     table = materialize(table, "node-classes")
     out = keys.join(table, "node")
-    return out.select("doc_id", "class_id", "class_size", "links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "node")
+    return out.select("doc_id", "class_id", "class_size", "links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "node", "label")
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that stay, one of each class, with all their columns. Of rows that repeat
-    the staying doc_id one stays."""
-    found = materialize(near_duplicates(docs, similarity).select("doc_id", "kept"), "near")
-    kept = without_ids(docs, found.filter("NOT kept").select("doc_id"))
-    if not found.filter("kept").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept
+    """The rows that stay, one of each class, with all their columns: that with the smallest
+    doc_id (none: last), then the smallest node. Of rows that repeat both, one stays."""
+    found = materialize(_labelled(docs, similarity).select("doc_id", "node", "label", "kept"), "near")
+    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return without_ids(docs, found.filter("NOT kept").select("doc_id"))
+    return _with_repeated_ids(docs, found)
+
+
+def _with_repeated_ids(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """An id doesn't tell rows apart, an id and a text do. Copies of a row go first, where
+    they are read, so that no id and text fills a task."""
+    node, key, key_node = unused(docs, "node", "key", "key_node")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node")))
+    keep = found.groupBy("label").agg(first.alias("first")).select(F.col("first.id").alias(key), F.col("first.node").alias(key_node))
+    once = docs.withColumn(node, node_of("text")).dropDuplicates(["doc_id", node])
+    return once.join(keep, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(node) == F.col(key_node)), "left_semi").select(*docs.columns)

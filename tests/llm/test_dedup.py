@@ -1,3 +1,4 @@
+import hashlib
 import re
 from collections import defaultdict
 
@@ -107,6 +108,17 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sorted(r.doc_id for r in n.near_dedup(frame(spark, rows)).collect()) == sorted(map(min, classes.values()))
 
 
+def test_near_dedup_of_null_and_repeated_ids_keeps_one_row_of_each_class(spark):
+    near = words(1, 200)
+    edited = [*near[:100], "edit", *near[101:]]
+    texts = [" ".join(words(300 + i, 80)) for i in range(8)]
+    rows = [(1, " ".join(near)), (None, " ".join(edited)), (7, " ".join([*edited, "end"]))]  # one class, kept by id 1
+    rows += [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:6]] + [(7, texts[5]), (2, texts[6]), (2, texts[6] + " more"), (None, texts[3])]
+    out = sorted(((r.doc_id or 0), r.text) for r in n.near_dedup(frame(spark, rows)).collect())
+    own = min([texts[6], texts[6] + " more"], key=lambda t: hashlib.sha256(t.encode()).digest())
+    assert out == sorted([(1, rows[0][1]), *((0, t) for t in texts[:4]), (7, texts[4]), (7, texts[5]), (2, own)])
+
+
 def test_samples_agree_as_often_as_the_similarity():
     base = words(1, 400)
     other = list(base)
