@@ -2,7 +2,8 @@
 
 A page becomes a list of text blocks. Each block gets two costs from a fixed linear classifier:
 that of being called content and that of being called boilerplate; they are the capacities of its
-edges to the two terminals. Blocks that follow each other, and blocks with a common parent element,
+edges to the two terminals. Only elements that are never main text (nav, form and the like) are
+certain; names of classes and a place outside the article are costs among others. Blocks that follow each other, and blocks with a common parent element,
 are joined by smoothness edges. The minimum cut is the labelling of least total cost.
 
 Blocks whose terminal costs differ by more than all their smoothness edges can carry are settled
@@ -31,22 +32,28 @@ CLOSED_BY = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th"
 CONTAINER = frozenset("ul ol dl table body article section div main".split())
 
 BOILERPLATE_ELEMENTS = frozenset("nav footer aside form menu dialog".split())
-#: Words of class, id and role values that name parts of a page (fixed values).
+#: What class, id and role values that name a part of a page are or end with (fixed values).
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus "
     "dropdown feedback footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination pager popup promo promoted promotion "
     "related replies reply respond rss search share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets alert".split()
 )
+#: Last parts of names that tell a shape only: the part before counts. Names with one of STATES
+#: tell what a page has elsewhere (has-sidebar).
+SHAPES = frozenset("area bar block box buttons container group inner item items links list panel section wrap wrapper".split())
+STATES = frozenset("has have hide is no not show with without".split())
 CONTENT_WORDS = frozenset("article body content entry main page post prose story text".split())
 
 #: Classifier weights, in nats (fixed values).
 BIAS, WORDS, LINKS, IN_ARTICLE, PARAGRAPH, HEADING, CONTENT_NAME, LIST_LINK, OUTSIDE, CERTAIN = -0.6, 0.55, 4.0, 3.0, 0.8, 0.4, 1.2, 1.5, 1.0, 1e3
+#: Cost of a boilerplate name, and of a place outside the article where the page has one.
+BOILERPLATE_NAME, OUTSIDE_ARTICLE = 4.5, 3.0
 #: Smoothness of neighbours in page order, and of neighbours with one parent element.
 ADJACENT, SIBLING = 0.4, 0.8
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>?)", re.DOTALL)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_UNSEEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_DISPLAY_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
 _WORD = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
@@ -58,7 +65,9 @@ class Block:
     parent: int  # number of the parent element
     tag: str
     article: bool
-    boilerplate: bool
+    boilerplate: bool  # for certain
+    named_boilerplate: bool
+    around: bool  # what stands around its article has a boilerplate name
     named_content: bool
 
 
@@ -69,6 +78,8 @@ class Element:
     hidden: bool = False
     boilerplate: bool = False
     article: bool = False
+    named_boilerplate: bool = False
+    around: bool = False
     named_content: bool = False
     link: bool = False
 
@@ -87,7 +98,7 @@ def blocks_of(page: str) -> list[Block]:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
                 own = next(e for e in reversed(stack) if e.tag in BLOCK or not e.tag)
-                out.append(Block(text, min(linked, len(text)), own.number, own.tag, own.article, stack[-1].boilerplate, own.named_content))
+                out.append(Block(text, min(linked, len(text)), own.number, own.tag, own.article, stack[-1].boilerplate, stack[-1].named_boilerplate, stack[-1].around, own.named_content))
             parts.clear()
             linked = 0
 
@@ -149,16 +160,23 @@ def blocks_of(page: str) -> list[Block]:
             continue
         top = stack[-1]
         number += 1
-        element = Element(tag, number, top.hidden or tag in HIDDEN, top.boilerplate or tag in BOILERPLATE_ELEMENTS, top.article or tag in ("article", "main"), top.named_content, top.link or tag == "a")
+        element = Element(
+            tag, number, top.hidden or tag in HIDDEN, top.boilerplate or tag in BOILERPLATE_ELEMENTS, top.article or tag in ("article", "main"),
+            top.named_boilerplate, top.around, top.named_content, top.link or tag == "a",
+        )
+        if tag in ("article", "main") and top.named_boilerplate:
+            element.named_boilerplate, element.around = False, True
         if tag == "header" and not top.article:
             element.boilerplate = True
         if attributes and tag not in ("html", "body"):
-            if _UNSEEN.search(attributes):
+            found_attributes = attributes_of(attributes)
+            if _unseen(found_attributes):
                 element.hidden = True
-            names = {w for m in _NAMES.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
-            if names & BOILERPLATE_WORDS and tag not in ("article", "main"):
-                element.boilerplate = True
-            elif names & CONTENT_WORDS:
+            names = [n for a in ("class", "id", "role") for n in found_attributes.get(a, "").lower().split()]
+            words = {w for n in names for w in _WORD.findall(n)}
+            if any(map(_names_boilerplate, names)) and tag not in ("article", "main"):
+                element.named_boilerplate = True
+            elif words & CONTENT_WORDS and not words & BOILERPLATE_WORDS:
                 element.named_content = True
         if not attributes.endswith("/") or tag in BLOCK or tag in RAW:
             stack.append(element)
@@ -172,6 +190,30 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+def attributes_of(raw: str) -> dict[str, str]:
+    """The attributes of a tag by name in lower case, decoded; of a repeated one the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        value = m[2] or m[3] or m[4] or ""
+        out.setdefault(m[1].lower(), html.unescape(value) if "&" in value else value)
+    return out
+
+
+def _unseen(attributes: dict[str, str]) -> bool:
+    if attributes.get("hidden", "until-found").strip().lower() != "until-found":
+        return True
+    return attributes.get("aria-hidden", "").strip().lower() == "true" or bool(_DISPLAY_NONE.search(attributes.get("style", "")))
+
+
+def _names_boilerplate(name: str) -> bool:
+    parts = _WORD.findall(name)
+    if STATES.intersection(parts):
+        return False
+    while len(parts) > 1 and parts[-1] in SHAPES:
+        parts.pop()
+    return bool(parts) and parts[-1] in BOILERPLATE_WORDS
+
+
 def _close_implied(stack: list[Element], tag: str) -> None:
     """A block ends an open paragraph; list and table parts end their own kind."""
     for i in range(len(stack) - 1, 0, -1):
@@ -186,14 +228,17 @@ def _close_implied(stack: list[Element], tag: str) -> None:
             return
 
 
-def score(block: Block) -> float:
-    """Log-odds of being content."""
+def score(block: Block, marked: bool = False, plain: bool = False) -> float:
+    """Log-odds of being content. marked: the page has an article; plain: it has one with no
+    boilerplate name around it, which makes those with such a name comments or teasers."""
     if block.boilerplate:
         return -CERTAIN
     words = block.text.count(" ") + 1
     share = block.linked / max(len(block.text), 1)
     s = BIAS + WORDS * math.log1p(words) - LINKS * share
-    s += IN_ARTICLE if block.article else -OUTSIDE
+    s += IN_ARTICLE if block.article else -(OUTSIDE_ARTICLE if marked else OUTSIDE)
+    if block.named_boilerplate or (block.around and plain):
+        s -= BOILERPLATE_NAME
     if block.tag == "p":
         s += PARAGRAPH
     elif block.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -326,11 +371,9 @@ def _max_flow(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bo
 def main_text(page: str | None) -> str:
     """The content blocks of a page, one per line; '' for a null or empty page."""
     blocks = blocks_of(page or "")
-    if any(b.article and not b.boilerplate for b in blocks):
-        # the page says where its article is: what stands outside is certain
-        scores = [score(b) if b.article else -CERTAIN for b in blocks]
-    else:
-        scores = [score(b) for b in blocks]
+    articles = [b for b in blocks if b.article and not b.boilerplate]
+    plain = any(not b.around for b in articles)
+    scores = [score(b, bool(articles), plain) for b in blocks]
     keep = minimum_cut(scores, smoothness(blocks))
     return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 

@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import pytest
+
 from quarryline.llm import extraction as x
 
 
@@ -35,6 +37,33 @@ def test_page_without_article_element():
     assert x.main_text(page) == "A title\nFirst é A <b>\nTwo parts"
 
 
+BODY = "<h1>A title</h1><p>The first part has some words.</p><p>Another part follows it here.</p>"
+TEXT = "A title\nThe first part has some words.\nAnother part follows it here."
+
+
+@pytest.mark.parametrize("attributes", [
+    'style="overflow:hidden"', 'class="overflow-hidden"', 'aria-hidden="false"', 'title="hidden valley"', 'data-href="/hidden-x"', "hidden=until-found",
+    'class="has-sidebar"', 'class="content-with-sidebar"', 'class="search"', 'class="social"', 'class="tags"', 'class="notice"', 'data-x="display:none"',
+])
+def test_attributes_that_hide_no_article(attributes):
+    assert x.main_text(f"<body><div {attributes}><article>{BODY}</article></div></body>") == TEXT
+    assert x.main_text(f"<body><article><div {attributes}>{BODY}</div></article></body>") == TEXT or "class=" in attributes
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'hidden=""', "HIDDEN='hidden'", 'aria-hidden="true"', 'style="color:red; display : none"'])
+def test_what_hides(attributes):
+    assert x.main_text(f"<article>{BODY}<div {attributes}><p>unseen words are here</p></div></article>") == TEXT
+
+
+def test_names_are_whole_or_last_parts_and_weighed():
+    long = "<p>" + "many words stand in this part " * 30 + "</p>"
+    assert x.main_text(f'<article>{BODY}<div class="tags">a b c</div></article>') == TEXT
+    assert x.main_text(f'<article>{BODY}<div class="tags-of-interest"><p>Some words more</p></div></article>') == TEXT + "\nSome words more"
+    assert x.main_text(f'<article>{BODY}<div class="notice">{long}</div></article>').count("many") == 30
+    assert x.main_text(f"<article>{BODY}</article><div>{long}{long}</div>").count("many") == 60
+    assert x.main_text(f'<main>{BODY}<div class="comments"><article>{BODY}</article></div></main>') == TEXT
+
+
 def test_odd_pages():
     assert x.main_text(None) == x.main_text("") == x.main_text("<p") == ""
     assert x.main_text("<article><p>cut &am") == "cut &am"
