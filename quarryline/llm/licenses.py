@@ -1,7 +1,8 @@
 """License scan: phrases at word positions, and an exact set-similarity join of text blocks
 with license templates.
 
-A block (a line; for long templates also a paragraph) matches a template T when at least
+A block (a line; for long templates also a paragraph, for short ones any run of as many words as
+the notice has and in its order, across line ends) matches a template T when at least
 `containment` of T's distinct words occur in it, that is, an overlap of o = ceil(containment
 * |T|) words. Words are ordered by their frequency in the whole corpus, rarest first. Two
 sets with such an overlap share a word among T's first |T| - o + 1 (prefix filter), the block
@@ -29,8 +30,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 CONTAINMENT = 0.9
-#: A template of fewer distinct words is looked for within one line only: the words of a long
-#: paragraph may hold them by chance.
+#: A template of fewer distinct words is looked for in lines and in runs of words, not in
+#: paragraphs: a long one may hold its words by chance.
 LONG_TEMPLATE = 20
 
 #: (label, notice): wording of public licenses' own notices (fixed values).
@@ -65,6 +66,11 @@ def template_rows(templates=TEMPLATES, containment: float = CONTAINMENT) -> list
     return rows
 
 
+def notice_words(notice: str) -> list[str]:
+    """The words in order, repeated ones too."""
+    return [w for w in re.split("[^a-z0-9]+", notice.lower()) if w]
+
+
 def lowered(text: str | Column) -> Column:
     """A-Z in lower case, nothing else changed."""
     t = text_or_empty(text)
@@ -113,13 +119,57 @@ def license_blocks(rows: DataFrame, templates: DataFrame, index: DataFrame, rank
     return found.groupBy("row_no", "label").agg(F.max(F.col("overlap") / F.col("size")).alias("containment"))
 
 
+def _common(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two short arrays, by rows of the usual table."""
+    at = F.sequence(F.lit(1), F.size(b))
+
+    def row(last: Column, w: Column) -> Column:
+        own = F.transform(at, lambda i: F.when(F.get(b, i - 1) == w, F.get(last, i - 1) + 1).otherwise(F.get(last, i)))
+        return F.concat(F.array(F.lit(0)), F.transform(at, lambda i: F.array_max(F.slice(own, F.lit(1), i))))
+
+    return F.aggregate(a, F.array_repeat(F.lit(0), F.size(b) + 1), row, lambda last: F.array_max(last))
+
+
+def _runs(words: Column, short: list[tuple]) -> Column:
+    """(template, overlap) where a run of a notice's length holds enough of its words in order,
+    so that the end of one notice and the start of the next aren't a third.
+
+    short: (template, words, least, notice, length, prefix) of each template. Every such run holds a
+    prefix word, so only runs around one are looked at; run by run only where all of them
+    together hold enough.
+    """
+    texts = lambda xs: F.array(*map(F.lit, xs))
+    fields = ("template", "words", "least", "notice", "length", "prefix")
+    listed = F.array(*[F.struct(*[(texts(x) if isinstance(x, list) else F.lit(x)).alias(f) for f, x in zip(fields, t, strict=True)]) for t in short])
+    rare = sorted({w for t in short for w in t[5]})
+    places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(rare), F.struct(i.alias("at"), w.alias("word")))), lambda x: x.isNotNull())
+
+    def around(p: Column, t: Column) -> Column:
+        first = F.greatest(p["at"] + 2 - t["length"], F.lit(1))
+        return F.slice(words, first, p["at"] + t["length"] - first + 1)
+
+    def best(near: Column, t: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(near) - t["length"] + 1, F.lit(1))), lambda s: F.slice(near, s, t["length"]))
+        overlap = lambda run: F.size(F.array_intersect(run, t["words"]))
+        missing = F.size(t["words"]) - t["least"]
+        ordered = lambda run: F.when(overlap(run) >= t["least"], t["length"] - _common(run, t["notice"]) <= missing).otherwise(False)
+        return F.array_max(F.transform(F.filter(runs, ordered), overlap))
+
+    def of_place(p: Column) -> Column:
+        enough = lambda t: F.array_contains(t["prefix"], p["word"]) & (F.size(F.array_intersect(around(p, t), t["words"])) >= t["least"])
+        met = F.transform(F.filter(listed, enough), lambda t: F.struct(t["template"].alias("template"), best(around(p, t), t).alias("overlap"), t["least"].alias("least")))
+        return F.filter(met, lambda x: x["overlap"] >= x["least"])
+
+    return F.array_distinct(F.flatten(F.transform(places, of_place)))
+
+
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, text: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score per row.
 
     Null text counts as empty: no words, no labels, score 0. Rows that repeat a doc_id are
     scanned each for itself. score is 1 where a phrase stands, else the largest containment
-    of a template that matches, else 0. Blocks are lines, and for long templates paragraphs
-    (parted by blank lines); neither is cut.
+    of a template that matches, else 0. Blocks are lines, for long templates also paragraphs
+    (parted by blank lines), and for short ones runs of the notice's number of words.
     """
     spark: SparkSession = docs.sparkSession
     listed = template_rows(templates, containment)
@@ -128,12 +178,14 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = CON
     spaced = source.select("doc_id", _spaced(F.col("_text")).alias("_spaced"))
     order = {w: i for i, w in enumerate(_frequencies(spaced, vocabulary))}
 
-    index_rows, prefix = [], set()
+    index_rows, prefix, short = [], set(), []
     for template, _, words, size, least in listed:
         ordered = sorted(words, key=order.__getitem__)
         for position, w in enumerate(ordered[: size - least + 1], 1):
             index_rows.append((w, template, position, size, least))
             prefix.add(w)
+        if size < LONG_TEMPLATE:
+            short.append((template, words, least, notice_words(templates[template][1]), len(notice_words(templates[template][1])), ordered[: size - least + 1]))
     index = spark.createDataFrame(index_rows, "word string, template int, position int, size int, least int")
     ranks = spark.createDataFrame(list(order.items()), "word string, rank int")
     table = spark.createDataFrame(listed, "template int, label string, words array<string>, size int, least int")
@@ -149,7 +201,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = CON
     blocks = F.when(any_rare, F.filter(F.concat(lines, paragraphs), lambda b: F.arrays_overlap(b["words"], rare)))
 
     flat = F.trim(F.regexp_replace("_spaced", "[ \n]+", " "))
-    padded = spaced.select("doc_id", blocks.alias("blocks"), flat.alias("flat"))
+    padded = spaced.select("doc_id", blocks.alias("blocks"), flat.alias("flat"), F.col("_spaced").contains("\n").alias("wrapped"))
     holds = {p: F.concat(F.lit(" "), F.col("flat"), F.lit(" ")).contains(f" {p} ") for p in PHRASES}
     words, n_all = F.col("all_words"), F.size("all_words")
 
@@ -159,7 +211,10 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = CON
         return F.when(F.col(f"has_{PHRASES[phrase]}"), F.filter(F.sequence(F.lit(0), n_all - 1), same)).otherwise(F.array().cast("array<int>"))
 
     some = _any([F.col(f"has_{x}") for x in PHRASES.values()])
-    marked = padded.select("doc_id", "blocks", "flat", *[h.alias(f"has_{PHRASES[p]}") for p, h in holds.items()])
+    # within one line a run has no words that the line hasn't
+    none = F.array().cast("array<string>")
+    run_words = F.when(F.col("wrapped") & (F.size("blocks") > 0), F.split("flat", " ")).otherwise(none) if short else none
+    marked = padded.select("doc_id", "blocks", "flat", run_words.alias("run_words"), *[h.alias(f"has_{PHRASES[p]}") for p, h in holds.items()])
     marked = marked.withColumn("n_words", F.when(F.col("flat") == "", 0).otherwise(F.length("flat") - F.length(F.replace("flat", F.lit(" "), F.lit(""))) + 1).cast("long"))
     marked = marked.withColumn("all_words", F.when(some, F.split("flat", " ")).otherwise(F.array().cast("array<string>")))
     marked = marked.withColumn("places", F.when(some, F.concat(*map(starts, PHRASES))).otherwise(F.array().cast("array<int>")))
@@ -168,11 +223,15 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = CON
         F.monotonically_increasing_id().alias("row_no"), "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
         F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(base)).alias("base"), "blocks",
+        (_runs(F.col("run_words"), short) if short else F.array().cast("array<struct<template:int,overlap:int,least:int>>")).alias("runs"),
     )
     rows = materialize(rows, "licenses")
     found = license_blocks(rows.select("row_no", "blocks"), table, index, ranks)
+    runs = rows.select("row_no", F.explode("runs").alias("run")).select("row_no", F.col("run.template").alias("template"), F.col("run.overlap").alias("overlap"))
+    runs = runs.join(F.broadcast(table.select("template", "label", "size")), "template")
+    found = found.unionByName(runs.select("row_no", "label", (F.col("overlap") / F.col("size")).alias("containment")))
     own = found.groupBy(F.col("row_no").alias("_row")).agg(F.collect_set("label").alias("own"), F.max("containment").alias("best"))
-    joined = rows.drop("blocks").join(own, F.col("row_no") == F.col("_row"), "left")
+    joined = rows.drop("blocks", "runs").join(own, F.col("row_no") == F.col("_row"), "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("own", F.array().cast("array<string>"))))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.col("best"), F.lit(0.0)))
     return joined.select(

@@ -63,6 +63,29 @@ def test_null_turns_and_empty_table(spark):
 # --- licenses
 
 
+def test_short_notices_are_found_across_line_ends(spark):
+    notices = {label: n for label, n in licenses.TEMPLATES if label in ("bsd-3-clause", "mpl-2.0", "cc-by-nc-4.0", "unlicense", "lgpl")}
+    notices["bsd-3-clause"] = next(n for _, n in licenses.TEMPLATES if n.startswith("Redistribution and use"))
+    rows, expected = [], {}
+    for i, (label, notice) in enumerate(sorted(notices.items())):
+        parts = notice.split()
+        for k, wrapped in enumerate(("\n".join(parts), " ".join(parts[:3]) + "\n# " + " ".join(parts[3:]), "a b c\n\n" + "\r\n * ".join(parts) + "\nd e")):
+            rows.append((10 * i + k, wrapped, "en", "s", 0))
+            expected[10 * i + k] = label
+    # a paragraph that holds the words, but not in one run
+    rows.append((900, "This is free\n" + "other words of the text " * 9 + "\nand unencumbered software released into the public domain", "en", "s", 0))
+    rows.append((901, "Licensed under the Apache License,\nVersion 2.0", "en", "s", 0))
+    expected |= {900: "", 901: "apache,apache-2.0"}
+    # the end of one notice and the start of the next
+    rows.append((902, "under CC BY-NC 4.0\nLicensed", "en", "s", 0))
+    expected[902] = "cc-by"
+    out = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, DOCS)).collect()}
+    found = {i: r.labels for i, r in out.items()}
+    assert {i: label in found[i].split(",") for i, label in expected.items() if i < 900} == {i: True for i in expected if i < 900}
+    assert all(found[i] == label for i, label in expected.items() if i >= 900)
+    assert all(out[i].score == 1.0 for i in expected if i < 900)
+
+
 def test_licenses_against_brute_force(spark):
     rng = random.Random(1)
     notices = [n for _, n in licenses.TEMPLATES]
