@@ -24,15 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     path = f"{base.rstrip('/')}/quarryline-{spark.sparkContext.applicationId}"
     if path not in _cleaned:
         _cleaned.add(path)
-        atexit.register(_remove, spark, path)
+        atexit.register(_remove_at_exit, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        remove(spark, path)
     except Exception:  # the session has already ended: the folder stays for the cluster's own clean-up
         pass
 
@@ -49,6 +52,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Tables in the shared folder that are dropped when they have been used."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop_but()
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((out, path))
+        return out
+
+    def drop_but(self, *tables: DataFrame) -> None:
+        self.drop(*[df for df, _ in self.paths if not any(df is t for t in tables)])
+
+    def drop(self, *tables: DataFrame) -> None:
+        for path in [p for df, p in self.paths if any(df is t for t in tables)]:
+            remove(self.spark, path)
+        self.paths = [(df, p) for df, p in self.paths if not any(df is t for t in tables)]
+
+
 def heavy_values(df: DataFrame, column: str, share: float = HEAVY_SHARE) -> DataFrame:
     """Misra-Gries: every value of `column` in over `share` of the rows is among the
     at most 1/share rows returned; others may be among them."""

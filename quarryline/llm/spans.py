@@ -7,6 +7,7 @@ shingles and phrases are hashed without a Python step for each.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,9 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; one longer text is taken whole.
 CHUNK_BYTES = 1 << 20
+#: Longer words are hashed each on its own: a polynomial modulo 2**64 has known collisions
+#: of long words (of 1024 letters and more).
+LONG_WORD = 64
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -113,4 +117,6 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     begin[cuts], end[cuts - 1] = True, True
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
     hashes = span_hashes(prefix_sums(byte_values(folded)), starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        hashes[i] = int.from_bytes(hashlib.blake2b(folded[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "big")
     return hashes, np.searchsorted(starts, offsets)
