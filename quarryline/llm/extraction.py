@@ -1,12 +1,15 @@
 """Main text of HTML pages by a minimum cut.
 
-A page becomes a list of text blocks. Each block gets two costs from a fixed linear classifier:
-that of being called content and that of being called boilerplate; they are the capacities of its
-edges to the two terminals. Only elements that are never main text (nav, form and the like) are
-certain; names of classes and a place outside the article are costs among others. Blocks that follow each other, and blocks with a common parent element,
-are joined by smoothness edges. The minimum cut is the labelling of least total cost.
-
-Blocks whose terminal costs differ by more than all their smoothness edges can carry are settled
+A page becomes a list of text blocks, and one node for each of its articles and for what stands
+outside them. Each gets two costs from a fixed linear classifier: that of being called content
+and that of being called boilerplate; they are the capacities of its edges to the two terminals.
+A block's costs come from its own words, links, tag and names; what an article says of its blocks
+is said by the article's node, to which smoothness edges join them. Only elements that are never
+main text (nav, form and the like) are certain; names of classes are costs among others. Blocks
+that follow each other, and blocks with a common parent element, are joined by smoothness edges
+too. The minimum cut is the labelling of least total cost.
+
+Nodes whose terminal costs differ by more than all their smoothness edges can carry are settled
 first (they keep that label in every minimum cut); max-flow runs over what is left.
 """
 
@@ -15,7 +18,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 
 #: Elements that begin and end a block, that never show text, and that have no content (fixed values).
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-HIDDEN = frozenset("audio button canvas datalist head iframe map math noframes noscript object option script select style svg template textarea title video".split())
+HIDDEN = frozenset("audio button canvas datalist head iframe map noframes noscript object option script select style svg template textarea title video".split())
 RAW = frozenset("script style textarea title iframe noframes noscript xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element of these ends where one of the given kind begins, within the nearest container.
@@ -45,11 +48,14 @@ STATES = frozenset("has have hide is no not show with without".split())
 CONTENT_WORDS = frozenset("article body content entry main page post prose story text".split())
 
 #: Classifier weights, in nats (fixed values).
-BIAS, WORDS, LINKS, IN_ARTICLE, PARAGRAPH, HEADING, CONTENT_NAME, LIST_LINK, OUTSIDE, CERTAIN = -0.6, 0.55, 4.0, 3.0, 0.8, 0.4, 1.2, 1.5, 1.0, 1e3
-#: Cost of a boilerplate name, and of a place outside the article where the page has one.
-BOILERPLATE_NAME, OUTSIDE_ARTICLE = 4.5, 3.0
-#: Smoothness of neighbours in page order, and of neighbours with one parent element.
-ADJACENT, SIBLING = 0.4, 0.8
+BIAS, WORDS, LINKS, PARAGRAPH, HEADING, CONTENT_NAME, LIST_LINK, CERTAIN = -2.0, 0.55, 4.0, 0.8, 0.4, 1.2, 1.5, 1e3
+#: Cost of a boilerplate name.
+BOILERPLATE_NAME = 4.5
+#: Log-odds that each of its blocks adds to an article's node, and to that of the outside.
+ARTICLE, OUTSIDE = 3.0, -1.6
+#: Smoothness of neighbours in page order, of neighbours with one parent element, and of a block
+#: and the node of its article or of the outside.
+ADJACENT, SIBLING, MEMBER = 0.4, 0.8, 3.0
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(>?)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -64,7 +70,7 @@ class Block:
     linked: int  # characters of text in links
     parent: int  # number of the parent element
     tag: str
-    article: bool
+    article: int  # number of the outermost article element around it, or 0
     boilerplate: bool  # for certain
     named_boilerplate: bool
     around: bool  # what stands around its article has a boilerplate name
@@ -77,7 +83,7 @@ class Element:
     number: int
     hidden: bool = False
     boilerplate: bool = False
-    article: bool = False
+    article: int = 0
     named_boilerplate: bool = False
     around: bool = False
     named_content: bool = False
@@ -161,7 +167,7 @@ def blocks_of(page: str) -> list[Block]:
         top = stack[-1]
         number += 1
         element = Element(
-            tag, number, top.hidden or tag in HIDDEN, top.boilerplate or tag in BOILERPLATE_ELEMENTS, top.article or tag in ("article", "main"),
+            tag, number, top.hidden or tag in HIDDEN, top.boilerplate or tag in BOILERPLATE_ELEMENTS, top.article or number * (tag in ("article", "main")),
             top.named_boilerplate, top.around, top.named_content, top.link or tag == "a",
         )
         if tag in ("article", "main") and top.named_boilerplate:
@@ -228,15 +234,14 @@ def _close_implied(stack: list[Element], tag: str) -> None:
             return
 
 
-def score(block: Block, marked: bool = False, plain: bool = False) -> float:
-    """Log-odds of being content. marked: the page has an article; plain: it has one with no
-    boilerplate name around it, which makes those with such a name comments or teasers."""
+def score(block: Block, plain: bool = False) -> float:
+    """Log-odds of being content. plain: the page has an article with no boilerplate name
+    around it, which makes those with such a name comments or teasers."""
     if block.boilerplate:
         return -CERTAIN
     words = block.text.count(" ") + 1
     share = block.linked / max(len(block.text), 1)
     s = BIAS + WORDS * math.log1p(words) - LINKS * share
-    s += IN_ARTICLE if block.article else -(OUTSIDE_ARTICLE if marked else OUTSIDE)
     if block.named_boilerplate or (block.around and plain):
         s -= BOILERPLATE_NAME
     if block.tag == "p":
@@ -265,6 +270,20 @@ def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
     return edges
 
 
+def network(blocks: list[Block]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Log-odds and smoothness edges of the blocks and, behind them, of a node for each article
+    and one for the outside, on pages that have an article."""
+    articles = [b for b in blocks if b.article and not b.boilerplate]
+    plain = any(not b.around for b in articles)
+    scores, edges = [score(b, plain) for b in blocks], smoothness(blocks)
+    if not articles:
+        return scores, edges
+    sizes = Counter(b.article for b in blocks)
+    place = {k: len(blocks) + i for i, k in enumerate(sizes)}
+    scores += [n * (ARTICLE if k else OUTSIDE) for k, n in sizes.items()]
+    return scores, edges + [(i, place[b.article], MEMBER) for i, b in enumerate(blocks)]
+
+
 def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """True for the blocks on the content side of a minimum cut; of several such cuts the one
     with the most blocks on the content side."""
@@ -371,11 +390,8 @@ def _max_flow(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bo
 def main_text(page: str | None) -> str:
     """The content blocks of a page, one per line; '' for a null or empty page."""
     blocks = blocks_of(page or "")
-    articles = [b for b in blocks if b.article and not b.boilerplate]
-    plain = any(not b.around for b in articles)
-    scores = [score(b, bool(articles), plain) for b in blocks]
-    keep = minimum_cut(scores, smoothness(blocks))
-    return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+    keep = minimum_cut(*network(blocks))
+    return "\n".join(b.text for b, k in zip(blocks, keep, strict=False) if k)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

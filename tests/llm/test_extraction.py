@@ -64,6 +64,27 @@ def test_names_are_whole_or_last_parts_and_weighed():
     assert x.main_text(f'<main>{BODY}<div class="comments"><article>{BODY}</article></div></main>') == TEXT
 
 
+def test_the_cut_changes_labels_that_the_signs_alone_get_wrong(sf):
+    def labels(page):
+        blocks = x.blocks_of(page or "")
+        scores, edges = x.network(blocks)
+        return [(s > 0, k) for s, k, _ in zip(scores, x.minimum_cut(scores, edges), blocks, strict=False)]
+
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{sf}/pages.parquet")["html"].to_pylist()
+    assert sum(sign != cut for p in pages for sign, cut in labels(p)) > len(pages)
+    # short parts of an article look like labels of a menu, and stay; a menu's long item goes
+    page = f"<article>{BODY}<p>Yes.</p><h2>No</h2>{BODY}</article><div>{'<p><a href=x>Another page of this site with a long title of its own</a></p>' * 4}<p>And some words on them here</p></div>"
+    own = labels(page)
+    assert [sign for sign, _ in own] != [cut for _, cut in own]
+    assert x.main_text(page) == f"{TEXT}\nYes.\nNo\n{TEXT}"
+
+
+def test_formulas_stay():
+    assert x.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold for all of this.</p></article>") == "Let x=1 hold for all of this."
+
+
 def test_odd_pages():
     assert x.main_text(None) == x.main_text("") == x.main_text("<p") == ""
     assert x.main_text("<article><p>cut &am") == "cut &am"
