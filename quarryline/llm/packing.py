@@ -15,14 +15,14 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .spans import byte_values, chunks, prefix_sums, span_hashes, text_buffer
+from .spans import byte_values, chunks, prefix_sums, rehash_long, span_hashes, text_buffer
 
 CAPACITY = 1024
 SMALLEST = 64
@@ -44,7 +44,7 @@ class WordIds:
     no match goes on over a space behind such a run, so the words' ids, joined, are the text's.
     A text with other white space, or two such characters together, goes to the tokenizer whole.
 
-    Words are told apart by a 64-bit hash; each distinct word is encoded once and kept in sorted
+    Words are told apart by a 64-bit hash, those of over 64 bytes by a digest; each distinct word is encoded once and kept in sorted
     arrays of at most CACHE_WORDS words.
     """
 
@@ -116,7 +116,7 @@ class WordIds:
         begins[edges] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(data))
-        hashes = span_hashes(prefix_sums(byte_values(data)), starts, ends)
+        hashes = rehash_long(span_hashes(prefix_sums(byte_values(data)), starts, ends), data, starts, ends)
         text_of = np.searchsorted(offsets, starts, side="right") - 1
         plain = ~whole[text_of]
         starts, ends, hashes, text_of = starts[plain], ends[plain], hashes[plain], text_of[plain]
@@ -201,8 +201,8 @@ BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str | Callable[[], str]) -> WordIds:
+    return WordIds(path() if callable(path) else path)
 
 
 def cut(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[int]:
@@ -248,7 +248,7 @@ class Bins:
                 at += n
 
 
-def pack_partition(tokenizer_path: str, capacity: int = CAPACITY, smallest: int = SMALLEST):
+def pack_partition(tokenizer_path: str | Callable[[], str], capacity: int = CAPACITY, smallest: int = SMALLEST):
     """A function from batches (*key, text) to batches (*key, *PIECE_FIELDS)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,8 +309,9 @@ def pack_partition(tokenizer_path: str, capacity: int = CAPACITY, smallest: int
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, smallest: int = SMALLEST) -> DataFrame:
-    """A row per piece: doc_id and PIECE_FIELDS.
+def pack(docs: DataFrame, tokenizer_path: str | Callable[[], str], capacity: int = CAPACITY, smallest: int = SMALLEST) -> DataFrame:
+    """A row per piece: doc_id and PIECE_FIELDS. tokenizer_path is the same on every executor, or
+    a function that gives an executor its path.
 
     Null text counts as empty and still has the end id. Rows that repeat a doc_id are packed
     each for itself. sequence_id holds the task's number and a count within it. Only doc_id

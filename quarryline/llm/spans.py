@@ -60,6 +60,13 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + lengths * np.uint64(0xD6E8FEB86659FD93))
 
 
+def rehash_long(hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """hashes, with those of spans of over LONG_WORD bytes replaced by a digest."""
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        hashes[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "big")
+    return hashes
+
+
 def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTE_VALUE[data]
 
@@ -117,6 +124,4 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     begin[cuts], end[cuts - 1] = True, True
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
     hashes = span_hashes(prefix_sums(byte_values(folded)), starts, ends)
-    for i in np.flatnonzero(ends - starts > LONG_WORD):
-        hashes[i] = int.from_bytes(hashlib.blake2b(folded[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "big")
-    return hashes, np.searchsorted(starts, offsets)
+    return rehash_long(hashes, folded, starts, ends), np.searchsorted(starts, offsets)

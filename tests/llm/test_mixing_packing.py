@@ -29,6 +29,17 @@ def test_ids_equal_the_tokenizers():
     assert encoder.fast is not None
 
 
+def test_long_words_that_collide_in_a_polynomial_get_their_own_ids():
+    tokenizer, encoder = Tokenizer.from_file(PATH), packing.word_ids(PATH)
+    a, b = "a", "b"
+    for k in range(13):
+        if k in (10, 11, 12):
+            for t in (f"x {a} {b}", f"{b} {a} y"):
+                ids, _ = encoder.encode(*packing.text_buffer(__import__("pyarrow").array([t])))
+                assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+        a, b = a + b, b + a
+
+
 def test_packing_covers_every_token_once(spark):
     tokenizer = Tokenizer.from_file(PATH)
     texts = ODD + [f"text number {i} " + "lorem ipsum dolor " * (i % 90) for i in range(150)]
