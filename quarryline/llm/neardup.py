@@ -369,10 +369,11 @@ def _labelled(docs: DataFrame, similarity: float) -> DataFrame:
     texts = once.withColumnRenamed("node", "own").join(few, (F.col("own") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text")
     features = tables.save(texts.mapInArrow(_describe(frequent), "node binary, hashes array<long>, weights array<float>").dropDuplicates(["node"]), "features")
 
-    pairs = tables.save(_with_most_popular(members, similarity), "pairs")
+    reps = tables.save(_most_popular(members), "most-popular")
+    pairs = tables.save(_with_most_popular(members, reps, similarity), "pairs")
     links = tables.save(_links(pairs, features, similarity), "links")
     labels = components(links)
-    open_ = tables.save(_open_members(members, labels), "open")
+    open_ = tables.save(_open_members(members, reps, labels), "open")
     pairs = tables.save(_by_prefixes(open_, features, similarity), "more-pairs")
     links = tables.save(_links(pairs, features, similarity), "more-links")
     labels = tables.save(merged_labels(labels, links), "all-labels")
@@ -380,11 +381,15 @@ def _labelled(docs: DataFrame, similarity: float) -> DataFrame:
     return _classes(keys, labels)
 
 
-def _with_most_popular(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of every bucket's members with the member whose buckets hold the most texts."""
+def _most_popular(members: DataFrame) -> DataFrame:
+    """(bucket, rep, rep_weight): of each bucket the member whose buckets hold the most texts."""
     popular = members.groupBy("node").agg(F.sum("n").alias("met"))
     best = F.max(F.struct("met", "node", "weight")).alias("best")
-    reps = members.join(popular, "node").groupBy("bucket").agg(best).select("bucket", F.col("best.node").alias("rep"), F.col("best.weight").alias("rep_weight"))
+    return members.join(popular, "node").groupBy("bucket").agg(best).select("bucket", F.col("best.node").alias("rep"), F.col("best.weight").alias("rep_weight"))
+
+
+def _with_most_popular(members: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of every bucket's members with its most popular one."""
     near = F.least("weight", "rep_weight") >= F.lit(similarity * 0.999) * F.greatest("weight", "rep_weight")
     pairs = members.join(reps, "bucket").filter((F.col("node") != F.col("rep")) & near)
     return pairs.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).distinct()
@@ -396,10 +401,12 @@ def _links(pairs: DataFrame, features: DataFrame, similarity: float) -> DataFram
     return both.mapInArrow(_verify(similarity), "a binary, b binary, similarity double")
 
 
-def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, label, weight, rest) of texts in buckets that hold several labels. A pair of
-    different labels has one text that isn't of its bucket's most frequent label: rest."""
-    own = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _open_members(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label, weight, rest) of texts in buckets that hold several labels, not counting the
+    most popular text, which all have been compared with. A pair of different labels has one text
+    that isn't of its bucket's most frequent label: rest."""
+    others = members.join(reps.select("bucket", F.col("rep").alias("node")), ["bucket", "node"], "left_anti")
+    own = others.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     common = own.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
     common = common.agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("bucket", F.col("top.label").alias("most"))
     open_ = own.join(common, "bucket")
