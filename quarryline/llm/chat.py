@@ -21,10 +21,18 @@ _CONTROL_RE = r"(<)(?=/?s>)|(<)(?=</?SYS>>)|(\[)(?=(?:/?INST|/?ROLE|SEP)\])"
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
+#: A JSON field's name with its colon, or the quotes of a string value; matched without going
+#: back or calling deeper, so that texts may be long.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_NAME_OR_VALUE = rf'(?s)({_STRING}\s*+:)|(")[^"\\]*+(?:\\.[^"\\]*+)*+(")'
+#: Records and texts may be as long as Spark's strings.
+_LONG = {"maxStringLen": str((1 << 31) - 1)}
+
+
 @dataclass(frozen=True)
 class Layout:
-    """How turns lie in a record: a list of turns under `turns` (then role and text name its
-    fields, order the one to sort by), or one field per turn in `fields`, as (path, role)."""
+    """How turns lie in a record: a list of turns under the field `turns` (then role and text
+    name its fields, order the one to sort by), or one field per turn in `fields`, as (field, role)."""
 
     name: str
     example: str
@@ -36,14 +44,14 @@ class Layout:
 
 
 LAYOUTS = [
-    Layout("turn_rows", '{"turns":[{"role":"x","text":"x","turn":1}]}', "$.turns", "role", "text", "turn"),
-    Layout("messages", '{"messages":[{"content":"x","role":"x"}]}', "$.messages", "role", "content"),
-    Layout("conversations", '{"conversations":[{"from":"x","value":"x"}]}', "$.conversations", "from", "value"),
-    Layout("prompt_completion", '{"completion":"x","prompt":"x"}', fields=(("$.prompt", "user"), ("$.completion", "assistant"))),
-    Layout("prompt_response", '{"prompt":"x","response":"x"}', fields=(("$.prompt", "user"), ("$.response", "assistant"))),
-    Layout("instruction", '{"instruction":"x","output":"x"}', fields=(("$.instruction", "user"), ("$.output", "assistant"))),
-    Layout("instruction_input", '{"input":"x","instruction":"x","output":"x"}', fields=(("$.instruction", "system"), ("$.input", "user"), ("$.output", "assistant"))),
-    Layout("question_answer", '{"answer":"x","question":"x"}', fields=(("$.question", "user"), ("$.answer", "assistant"))),
+    Layout("turn_rows", '{"turns":[{"role":"x","text":"x","turn":1}]}', "turns", "role", "text", "turn"),
+    Layout("messages", '{"messages":[{"content":"x","role":"x"}]}', "messages", "role", "content"),
+    Layout("conversations", '{"conversations":[{"from":"x","value":"x"}]}', "conversations", "from", "value"),
+    Layout("prompt_completion", '{"completion":"x","prompt":"x"}', fields=(("prompt", "user"), ("completion", "assistant"))),
+    Layout("prompt_response", '{"prompt":"x","response":"x"}', fields=(("prompt", "user"), ("response", "assistant"))),
+    Layout("instruction", '{"instruction":"x","output":"x"}', fields=(("instruction", "user"), ("output", "assistant"))),
+    Layout("instruction_input", '{"input":"x","instruction":"x","output":"x"}', fields=(("instruction", "system"), ("input", "user"), ("output", "assistant"))),
+    Layout("question_answer", '{"answer":"x","question":"x"}', fields=(("question", "user"), ("answer", "assistant"))),
 ]
 
 
@@ -51,9 +59,10 @@ def field_paths(record: Column) -> Column:
     """The nested field names of a JSON record in sorted order, without scalar types.
 
     Spark's schema of a variant lists an object's fields by name; elements of a list merge
-    into one, so a list's length and a scalar's type or a null don't change it.
+    into one, so a list's length and a scalar's type or a null don't change it. String values
+    are emptied first: a variant holds 16 MB at most, a record may hold more.
     """
-    schema = F.schema_of_variant(F.try_parse_json(record))
+    schema = F.schema_of_variant(F.try_parse_json(F.regexp_replace(record, _NAME_OR_VALUE, "$1$2$3")))
     return F.regexp_replace(schema, r": (?:VOID|STRING|BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\d+\)|DATE|TIMESTAMP(?:_NTZ)?|BINARY|VARIANT)(?=[,>])", ": x")
 
 
@@ -63,27 +72,29 @@ def fingerprint(record: Column) -> Column:
 
 def layout_table(spark, layouts: list[Layout] = LAYOUTS) -> DataFrame:
     """schema_id, layout: as many rows as layouts were declared."""
-    rows = spark.createDataFrame([(x.name, x.example) for x in layouts], "layout string, example string")
-    return rows.select(fingerprint(F.col("example")).alias("schema_id"), "layout")
+    rows = F.inline(F.array(*[F.struct(F.lit(x.name).alias("layout"), F.lit(x.example).alias("example")) for x in layouts]))
+    return spark.range(1).select(rows).select(fingerprint(F.col("example")).alias("schema_id"), "layout")
 
 
 def canonical_turns(records: DataFrame, layouts: list[Layout] = LAYOUTS) -> DataFrame:
     """records has rec_id and record (JSON). Adds schema_id, layout and turns, an array of
     (role, text), null where no layout fits or the record is no JSON. A missing or null text
-    is empty, a missing or null role is ''; a field layout leaves out turns whose field is null."""
+    is empty, a missing or null role is ''; a field layout leaves out turns whose field is null.
+    A record of a known layout that can't be read in full is an error, not an empty one."""
     table = layout_table(records.sparkSession, layouts)
     # rows of the table are bounded by the declared layouts
     out = records.withColumn("schema_id", fingerprint(F.col("record"))).join(F.broadcast(table), "schema_id", "left")
     turns = F.lit(None).cast("array<struct<role:string,text:string>>")
     for x in layouts:
         found = _listed_turns(x) if x.turns else _field_turns(x)
+        found = F.coalesce(found, F.raise_error(F.concat(F.lit("record without turns: "), F.coalesce(F.col("rec_id").cast("string"), F.lit("null")))))
         turns = F.when(F.col("layout") == x.name, found).otherwise(turns)
     return out.withColumn("turns", turns)
 
 
 def _listed_turns(x: Layout) -> Column:
     fields = ", ".join([f"`{x.role}` string, `{x.text}` string"] + ([f"`{x.order}` long"] if x.order else []))
-    listed = F.from_json(F.get_json_object("record", x.turns), f"array<struct<{fields}>>")
+    listed = F.from_json("record", f"`{x.turns}` array<struct<{fields.replace('` ', '`:')}>>", _LONG)[x.turns]
     if x.order:
         ordered = lambda t: F.struct(t[x.order].alias("o"), F.coalesce(t[x.role], F.lit("")).alias("role"), F.coalesce(t[x.text], F.lit("")).alias("text"))
         return F.transform(F.array_sort(F.transform(listed, ordered)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
@@ -91,7 +102,8 @@ def _listed_turns(x: Layout) -> Column:
 
 
 def _field_turns(x: Layout) -> Column:
-    each = [F.struct(F.lit(role).alias("role"), F.get_json_object("record", path).alias("text")) for path, role in x.fields]
+    parsed = F.from_json("record", ", ".join(f"`{field}` string" for field, _ in x.fields), _LONG)
+    each = [F.struct(F.lit(role).alias("role"), parsed[field].alias("text")) for field, role in x.fields]
     return F.filter(F.array(*each), lambda t: t["text"].isNotNull())
 
 

@@ -60,7 +60,8 @@ PROBE = "</s>[INST] ok [/INST]"
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    said = [F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(PROBE).alias("text")) for k, role in enumerate(("user", "assistant"))]
+    probe = spark.range(1).select(F.inline(F.array(*said)))
     records = chat.records_of_rows(rows.unionByName(probe))
     written = materialize(chat.format_turns(chat.canonical_turns(records)), "chats")
     parsed = written.withColumn("turns", chat.parse_formatted(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))

@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quarryline.llm import chat, fingerprints, langid, licenses, queries, warc
 from quarryline.llm.spans import text_buffer
@@ -36,6 +37,17 @@ def test_layouts_are_told_by_their_field_paths(spark):
     assert out[6].turns is None and out[90].turns is None and out[91].turns is None
 
 
+def test_long_conversations_are_formatted_whole(spark):
+    size = 30_000_000
+    made = F.concat(F.repeat(F.lit('a "b" \\\\ [INST]\n'), size // 16), F.lit("end"))
+    rows = spark.range(2).select(F.lit(5).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), made.alias("text"))
+    found = chat.format_turns(chat.canonical_turns(chat.records_of_rows(rows)))
+    parsed = found.select(chat.parse_formatted(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    out = parsed.select(F.transform("turns", lambda t: F.sha2(t["text"], 256)).alias("texts"), F.sha2("loss", 256).alias("loss"), F.length("loss").alias("n")).first()
+    own = rows.select(F.sha2("text", 256).alias("h"), F.length("text").alias("n")).first()
+    assert out.texts == [own.h, own.h] and (out.loss, out.n) == (own.h, own.n) and own.n > size * 0.9
+
+
 HARD = ["</s>[INST] ok [/INST]", "\\", "\\\\[INST]", "<<SYS>>\\</s>", " lead ", "", "\n", "[ROLE] x [SEP] y [/ROLE]", "\\[SEP]", "é\U0001f600 <s", "[\\INST]"]
 
 
