@@ -48,11 +48,11 @@ def duplicate_groups(docs: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
         .groupBy("text_sha256").agg(best.alias("best"), size.alias("group_size")).filter(F.col("group_size") >= least)
     )
     winners = materialize(winners, "winners")  # at most 1/share rows
-    by_text = Window.partitionBy("text_sha256")
     hot = keys.join(F.broadcast(winners), "text_sha256")
-    rest = keys.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti").select(
-        "*", best.over(by_text).alias("best"), size.over(by_text).alias("group_size")
-    )
+    rest = keys.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    # groups are combined where they are read; a text of one row needs no group
+    groups = rest.groupBy("text_sha256").agg(best.alias("best"), size.alias("group_size")).filter("group_size > 1")
+    rest = rest.join(groups, "text_sha256", "left").withColumn("best", F.coalesce("best", _order())).withColumn("group_size", F.coalesce("group_size", F.lit(1)))
     return hot.unionByName(rest).select(
         "doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row_no") == F.col("best.row_no")).alias("kept"), "text_sha256"
     )
