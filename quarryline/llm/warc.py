@@ -31,8 +31,6 @@ ARCHIVE_BYTES = 256 << 20
 GAP_BYTES = 64 << 10
 READ_BYTES = 4 << 20
 GZIP_LEVEL = 4
-#: Parts that a frequent payload's rows are dealt into.
-SALTS = 64
 
 INDEX = "archive string, offset long, length long, url string, digest string, page_id long, record_type string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -44,25 +42,22 @@ def with_record_types(pages: DataFrame, share: float = HEAVY_SHARE) -> DataFrame
 
     Of equal payloads of at least MIN_REVISIT_BYTES bytes the one with the largest page_id is
     the response (rows that repeat that page_id too), the others revisit it; smaller ones are
-    all responses. A null html is an empty payload. Rows of frequent payloads are salted, so
-    one page that makes up a third of all rows is dealt over SALTS tasks.
+    all responses. A null html is an empty payload. The responses of frequent payloads (at most
+    1/share) are broadcast and their rows dealt out evenly, as small payloads are; rows of the
+    other payloads meet their response by a shuffle.
     """
     payload = F.encode(text_or_empty("html"), "UTF-8")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_or_empty("html").alias("html"))
     key = F.sha2(F.col("payload"), 256)
-    marked = own.withColumn("payload", payload).withColumn("size", F.octet_length("payload")).withColumn("key", F.when(F.col("size") >= MIN_REVISIT_BYTES, key)).drop("payload")
+    marked = own.withColumn("payload", payload).withColumn("key", F.when(F.octet_length("payload") >= MIN_REVISIT_BYTES, key)).drop("payload")
     keys = materialize(marked.select("key", "page_id").filter("key IS NOT NULL"), "payloads")
-    groups = keys.groupBy("key").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "response")
-    heavy = heavy_values(keys, "key", share).withColumn("hot", F.lit(True))  # at most 1/share rows
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    groups = groups.join(F.broadcast(heavy), "key", "left").select("key", "response", F.explode(salts).alias("salt"))
-    # small payloads have no partner: they are dealt out by their own id
-    row = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-    salt = F.when(F.col("hot"), row).otherwise(F.lit(0))
-    dealt = marked.join(F.broadcast(heavy), "key", "left").withColumn("salt", salt)
-    dealt = dealt.withColumn("join_key", F.coalesce("key", F.concat(F.lit("small "), F.xxhash64("page_id", "url").cast("string"))))
-    groups = groups.withColumnRenamed("key", "join_key")
-    joined = dealt.join(groups, ["join_key", "salt"], "left")
+    last = F.max("page_id").alias("response")
+    frequent = keys.join(F.broadcast(heavy_values(keys, "key", share)), "key", "left_semi").groupBy("key").agg(last)
+    frequent = materialize(frequent.select("key", F.col("response").alias("hot_response"), F.lit(True).alias("hot")), "frequent-payloads")
+    groups = keys.join(F.broadcast(frequent.select("key")), "key", "left_anti").groupBy("key").agg(last, F.count(F.lit(1)).alias("n")).filter("n > 1")
+    alone = F.concat(F.lit("alone "), F.xxhash64("page_id", "url").cast("string"))
+    dealt = marked.join(F.broadcast(frequent), "key", "left").withColumn("join_key", F.when(F.col("hot"), alone).otherwise(F.coalesce("key", alone)))
+    joined = dealt.join(groups.select(F.col("key").alias("join_key"), "response"), "join_key", "left").withColumn("response", F.coalesce("hot_response", "response"))
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     return joined.select(
         "page_id", "url", "html", F.sha1(F.encode("html", "UTF-8")).alias("digest"),
