@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,15 @@ _cleaned: set[str] = set()
 
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application below the one that the cluster shares."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_FALLBACK
+    # a path without a scheme is in Spark's file system, whoever reads it
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    base = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    base = re.sub(r"^file:/+", "file:///", base)
     path = f"{base.rstrip('/')}/quarryline-{spark.sparkContext.applicationId}"
     if path not in _cleaned:
         _cleaned.add(path)
