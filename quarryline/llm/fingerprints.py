@@ -18,18 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import materialize, text_or_empty
 from .spans import byte_values, chunks, mix, prefix_sums, span_hashes, text_buffer
 
 SKETCH = 64
 FIRST_LEVEL = 2
-#: Ranges of doc_id per shuffle partition, to even out the ranges.
-RANGES_PER_TASK = 2
-#: Bound of the number of ranges; their limits are all that the driver sees.
-MAX_RANGES = 4096
+#: Characters of a text by which rows of one doc_id are put in order.
+TIE_CHARS = 256
 
 #: Label of a symbol that repeats the one before: a run is never cut.
 _RUN = 255
@@ -197,60 +196,69 @@ def _compare(ids: list, texts: list[str], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[: len(rows)], kind), *columns], ["doc_id", *(n for n, _ in _OUT)])
 
 
+#: What a row of a walked range is: a finished one, or the range's first or last text.
+_DONE, _FIRST, _LAST = 0, 1, 2
+
+
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (range, doc_id, text, guest) in order; the last of a range is the next one's first."""
-    held: tuple | None = None
+    """Finished rows for all texts of an ordered range but the last one, then the range's first
+    and last text, whose neighbours other ranges have."""
+    part = TaskContext.get().partitionId()
+    held = first = kind = None
+
+    def mark(found: pa.RecordBatch, what: int, text: str | None) -> pa.RecordBatch:
+        n = found.num_rows
+        more = [pa.array([part] * n, pa.int32()), pa.array([what] * n, pa.int32()), pa.array([text] * n, pa.string())]
+        return pa.RecordBatch.from_arrays([*found.columns, *more], [*found.schema.names, "part", "what", "text"])
+
+    def border(what: int, row: tuple) -> pa.RecordBatch:
+        none = [pa.array([None], t) for _, t in _OUT]
+        return mark(pa.RecordBatch.from_arrays([pa.array([row[0]], kind), *none], ["doc_id", *(n for n, _ in _OUT)]), what, row[1])
+
     for batch in batches:
+        kind = batch.schema.types[0]
         for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            ranges, ids, texts, _ = (c.to_pylist() for c in part.columns)
+            ids, texts = (c.to_pylist() for c in batch.slice(at, 512).columns)
             if held:
-                ranges, ids, texts = [held[0], *ranges], [held[1], *ids], [held[2], *texts]
-            kind = part.schema.types[1]
-            begin = 0
-            for i in range(1, len(ids) + 1):
-                if i == len(ids) or ranges[i] != ranges[begin]:
-                    if i - begin > 1:
-                        yield _compare(ids[begin:i], texts[begin:i], kind)
-                    begin = i
-            held = (ranges[-1], ids[-1], texts[-1])
-
-
-def neighbours(docs: DataFrame) -> DataFrame:
-    """(range, doc_id, text, guest): docs in ranges of doc_id, each range followed by a copy of
-    the first row of the next range (the last by that of the first), flagged guest.
-
-    Order: doc_id (null first), then text. Ranges are cut at quantiles of doc_id, rows that
-    repeat a doc_id stay in one range.
-    """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", text_or_empty("text").alias("text"))
-    parts = min(MAX_RANGES, RANGES_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    limits = docs.select("doc_id").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
-    limits = sorted({int(x) for x in limits})
-    number = F.coalesce(F.size(F.filter(F.array(*map(F.lit, limits)).cast("array<long>"), lambda x: x <= F.col("doc_id"))), F.lit(0)) if limits else F.lit(0)
-    number = F.when(F.col("doc_id").isNull(), 0).otherwise(number)
-    placed = rows.withColumn("range", number)
-    # the smallest id of each range: as many rows as ranges, at most MAX_RANGES
-    heads = placed.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("head")).orderBy("range").collect()
-    firsts = [(r["range"], r["head"]["doc_id"]) for r in heads]
-    before = [(firsts[i - 1][0], doc_id) for i, (_, doc_id) in enumerate(firsts)]
-    guests = spark.createDataFrame(before, "guest_of int, head long")
-    copies = placed.join(F.broadcast(guests), F.col("doc_id").eqNullSafe(F.col("head"))).select(F.col("guest_of").alias("range"), "doc_id", "text")
-    # only one row of a head's id is the first
-    copies = copies.groupBy("range", "doc_id").agg(F.min("text").alias("text"))
-    return placed.select("range", "doc_id", "text", F.lit(False).alias("guest")).unionByName(copies.withColumn("guest", F.lit(True)))
+                ids, texts = [held[0], *ids], [held[1], *texts]
+            else:
+                first = ids[0], texts[0]
+            if len(ids) > 1:
+                yield mark(_compare(ids, texts, kind), _DONE, None)
+            held = ids[-1], texts[-1]
+    if held:
+        yield border(_FIRST, first)
+        yield border(_LAST, held)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, following text)."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            doc_id, text, following = (c[i].as_py() for c in batch.columns)
+            yield _compare([doc_id, None], [text, following], batch.schema.types[0])
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Null text counts as empty; an empty text's fingerprint is ''. The next document is the one
-    with the next doc_id (of rows that repeat it, the next text); after the last comes the first.
-    Texts are dealt out once, by range of doc_id; each task walks its ranges in order.
+    Null text counts as empty; an empty text's fingerprint is ''. Order: doc_id (null first),
+    then the text's first TIE_CHARS characters, then as read; so rows that repeat a doc_id, or
+    a text too, may be any number. After the last document comes the first.
+
+    Texts are dealt out once, by range of that order; each task walks its range. The first and
+    the last text of every range, two rows a task, then meet those of the ranges beside it.
     """
-    rows = neighbours(docs)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartition(parts, "range").sortWithinPartitions("range", "guest", F.asc_nulls_first("doc_id"), "text")
+    rows = docs.select("doc_id", text_or_empty("text").alias("text")).withColumn("tie", F.substring("text", 1, TIE_CHARS)).withColumn("row_no", F.monotonically_increasing_id())
+    order = [F.asc_nulls_first("doc_id"), "tie", "row_no"]
+    ranges = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return ordered.mapInArrow(_walk, f"doc_id {kind}, {FIELDS}")
+    walked = materialize(ranges.mapInArrow(_walk, f"doc_id {kind}, {FIELDS}, part int, what int, text string"), "walked")
+    first = walked.filter(F.col("what") == _FIRST).select("part", F.col("text").alias("following"))
+    # as many numbers as tasks
+    around = first.select("part").withColumn("next_part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())))
+    last = walked.filter(F.col("what") == _LAST).select("doc_id", "text", "part").join(around, "part")
+    met = last.join(first.withColumnRenamed("part", "next_part"), "next_part").select("doc_id", "text", "following")
+    done = walked.filter(F.col("what") == _DONE).select("doc_id", *(name for name, _ in _OUT))
+    return done.unionByName(met.mapInArrow(_meet, f"doc_id {kind}, {FIELDS}"))
