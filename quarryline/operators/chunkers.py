@@ -147,8 +147,9 @@ def markdown_chunks(files: DataFrame) -> DataFrame:
 
 
 def json_members(text: str) -> list[tuple[str | None, int, int]] | None:
-    """(key, start, end) in characters of each root member, comments allowed; None if the text
-    is no object with members. What follows the object is a member without a key."""
+    """(key, start, end) in characters of each root member from its key to the end of its value,
+    comments allowed; None if the text is no object with members. What follows the object is a
+    member without a key."""
     n, i, depth, members, begin, key, at_key = len(text), 0, 0, [], None, None, False
     last = 0
     while i < n:
@@ -186,15 +187,16 @@ def json_members(text: str) -> list[tuple[str | None, int, int]] | None:
                 last = i + 1
                 break
         elif c == "," and depth == 1 and begin is not None:
-            members.append((key, begin, i + 1))
+            members.append((key, begin, i))
             begin, at_key = None, True
         elif depth == 0 and not c.isspace():
             return None
         i += 1
     if depth or not members:
         return None
-    if text[last:].strip():
-        members.append((None, last, n))
+    members = [(k, a, a + len(text[a:b].rstrip(" \t\r\n"))) for k, a, b in members]
+    if text[last:].strip(" \t\r\n"):
+        members.append((None, n - len(text[last:].lstrip(" \t\r\n")), n))
     return members
 
 
@@ -204,19 +206,26 @@ def _json_spans(texts: pd.Series) -> pd.Series:
 
 
 def json_chunks(files: DataFrame) -> DataFrame:
-    """One chunk per root key, on whole lines; texts that are no object fall back to windows."""
+    """One chunk per root key, from the key to the end of its value, going on every SECTION_LINES
+    lines under the same symbol; texts that are no object fall back to windows."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = files.withColumn("text", text).withColumn("members", _json_spans(text))
-    member = found.filter("members IS NOT NULL").select(*FILE, "text", F.posexplode("members").alias("k", "m"))
-    line_of = lambda at: F.regexp_count(F.substring(F.col("text"), F.lit(1), at), F.lit("\n")) + 1
-    begins = member.select(*FILE, line_of(F.col("m.start")).alias("line_no"), F.col("m.symbol").alias("symbol"))
-    first = begins.groupBy(*FILE, "line_no").agg(F.min_by("symbol", F.coalesce("symbol", F.lit("\uffff"))).alias("symbol"), F.lit(True).alias("boundary"))
-    lines = line_rows(found.join(member.select(*FILE).distinct(), FILE, "left_semi")).join(first, [*FILE, "line_no"], "left").withColumn("boundary", F.coalesce("boundary", F.lit(False)))
-    # the opening brace belongs to no key
-    preamble = lines.withColumn("line_text", F.trim("line"))
-    lines = preamble.filter(F.col("boundary") | ~F.col("line_text").isin("{", "}")).drop("line_text")
-    lines = lines.withColumn("symbol", cut_bytes(F.col("symbol"), SYMBOL_BYTES))
-    return _sections(lines, "key").unionByName(window_chunks(found.filter("members IS NULL").select(*FILE, "text")))
+    member = found.filter("members IS NOT NULL").select(*FILE, "text", F.explode("members").alias("m"))
+    body = F.substring(F.col("text"), F.col("m.start") + 1, F.col("m.end") - F.col("m.start"))
+    before = F.substring(F.col("text"), F.lit(1), F.col("m.start"))
+    whole = member.select(*FILE, cut_bytes(F.col("m.symbol"), SYMBOL_BYTES).alias("symbol"), body.alias("whole"), F.octet_length(before).alias("at"), (F.regexp_count(before, F.lit("\n")) + 1).alias("first"))
+    lines = whole.withColumn("lines", F.split("whole", "\n", -1))
+    piece = lines.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / SECTION_LINES).cast("int"))).alias("piece"))
+    from_ = F.col("piece") * SECTION_LINES
+    more = from_ + SECTION_LINES < F.size("lines")
+    part = F.array_join(F.slice("lines", from_ + 1, SECTION_LINES), "\n")
+    skipped = F.when(F.col("piece") == 0, 0).otherwise(F.octet_length(F.array_join(F.slice("lines", F.lit(1), from_), "\n")) + 1)
+    rows = piece.select(
+        *FILE, "symbol", F.when(more, F.concat(part, F.lit("\n"))).otherwise(part).alias("body"), (F.col("at") + skipped).alias("start_byte"),
+        (F.col("first") + from_).alias("start_line"), (F.col("first") + F.least(from_ + SECTION_LINES, F.size("lines")) - 1).alias("end_line"),
+    ).filter("body <> ''")
+    rows = rows.withColumn("end_byte", F.col("start_byte") + F.octet_length("body"))
+    return _finish(rows, "key").unionByName(window_chunks(found.filter("members IS NULL").select(*FILE, "text")))
 
 
 #: Where definitions begin, per language: (kind, pattern with the name as group 1). They hold
@@ -240,7 +249,11 @@ def _without_strings(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(line, r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`[^`]*`", "\"\""), r"//.*$|/\*.*?\*/", "")
 
 
-def code_chunks(files: DataFrame) -> DataFrame:
+#: Blocks that name the container of what stands in them, without being a definition.
+MEMBER_BLOCKS = {"rust": [("impl", r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[\w:]+(?:<[^>]*>)?\s+for\s+)?(\w+)")]}
+
+
+def code_chunks(files: DataFrame, rules: dict = DEFINITIONS) -> DataFrame:
     """Definitions of code files, each with its whole body; a definition inside another is a
     chunk of its own too.
 
@@ -255,16 +268,23 @@ def code_chunks(files: DataFrame) -> DataFrame:
     indent = F.length(F.regexp_extract("line", r"^[ \t]*", 0))
     lines = lines.withColumn("after", F.sum(delta).over(upto)).withColumn("before", F.col("after") - delta).withColumn("indent", indent).withColumn("opens", bare.contains("{"))
     kind, symbol = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for lang, rules in DEFINITIONS.items():
-        for name, pattern in reversed(rules):
+    for lang, own in rules.items():
+        for name, pattern in reversed(own):
             hit = (F.col("lang") == lang) & (F.regexp_extract("line", pattern, 1) != "")
             kind, symbol = F.when(hit, name).otherwise(kind), F.when(hit, F.regexp_extract("line", pattern, 1)).otherwise(symbol)
     lines = lines.withColumn("kind_name", kind).withColumn("symbol", symbol)
     by_indent = F.col("lang").isin(*_BY_INDENT)
-    # a bodiless declaration of a block language ends on its line
-    single = ~by_indent & ~F.col("opens") & F.col("line").rlike(r";\s*$")
+    # a declaration of a block language without a body ends on its line: with a semicolon, or
+    # where neither it nor the next line goes on
+    following = F.coalesce(F.lead("line").over(upto), F.lit(""))
+    goes_on = F.col("line").rlike(r"[,(:=>]\s*$") | following.rlike(r"^\s*(?:\{|:|where\b|throws\b|extends\b|implements\b)")
+    lines = lines.withColumn("ends", F.col("line").rlike(r";\s*$") | ~goes_on)
+    single = ~by_indent & ~F.col("opens") & F.col("ends")
+    # Python: a line ends definitions of its own indent or deeper ones, as far as there are any
+    deepest = F.max(F.when(F.col("kind_name").isNotNull(), F.col("indent"))).over(Window.partitionBy(*FILE))
+    lines = lines.withColumn("deepest", deepest)
     starts = lines.filter("kind_name IS NOT NULL").select(*FILE, "lang", F.when(by_indent, F.col("indent")).otherwise(F.col("before")).alias("level"), "line_no", "kind_name", "symbol", "start_byte", single.alias("single"))
-    closing = F.when(by_indent, F.when((F.col("lang") == "python") & (F.trim("line") != ""), F.sequence(F.col("indent"), F.lit(60))).when(F.col("line").rlike(r"^\s*end\b"), F.array(F.col("indent")))).otherwise(
+    closing = F.when(by_indent, F.when((F.col("lang") == "python") & (F.trim("line") != "") & (F.col("indent") <= F.col("deepest")), F.sequence(F.col("indent"), F.col("deepest"))).when(F.col("line").rlike(r"^\s*end\b"), F.array(F.col("indent")))).otherwise(
         F.when(bare.contains("}"), F.when(F.col("after") < F.col("before"), F.sequence(F.col("after"), F.col("before") - 1)).when(F.col("after") == F.col("before"), F.array(F.col("before")))).when(F.col("after") < F.col("before"), F.sequence(F.col("after"), F.col("before") - 1))
     )
     ends = lines.withColumn("levels", closing).filter("levels IS NOT NULL").select(*FILE, F.explode("levels").alias("level"), "line_no", F.lit(True).alias("closes"))
@@ -278,21 +298,18 @@ def code_chunks(files: DataFrame) -> DataFrame:
     found = both.withColumn("close", F.when(python, later - 1).otherwise(nxt)).filter("NOT own")
     total = lines.groupBy(*FILE).agg(F.max("line_no").alias("last"))
     found = found.join(total, FILE).withColumn("end_line", F.when(F.col("single"), F.col("line_no")).otherwise(F.coalesce("close", "last")))
-    found = found.select(*FILE, "kind_name", "symbol", F.col("line_no").alias("start_line"), "end_line")
-    body = lines.select(*FILE, "line_no", "line", "end", "start_byte").join(found, FILE).filter("line_no BETWEEN start_line AND end_line")
-    # blank lines behind a definition aren't part of it
-    kept = body.groupBy(*FILE, "kind_name", "symbol", "start_line").agg(
-        F.max(F.when(F.trim("line") != "", F.col("line_no"))).alias("end_line"), F.min("start_byte").alias("start_byte"), F.array_sort(F.collect_list(F.struct("line_no", "line", "end"))).alias("rows")
-    )
-    used = F.filter("rows", lambda r: r["line_no"] <= F.col("end_line"))
-    text = F.regexp_replace(F.array_join(F.transform(used, lambda r: F.concat(r["line"], r["end"])), ""), "\n$", "")
-    kept = kept.withColumn("body", text).drop("rows").withColumn("end_byte", F.col("start_byte") + F.octet_length("body"))
-    return _finish(kept)
+    # definitions meet their file once; bodies are slices of its lines, less blank ones at the end
+    own = found.groupBy(*FILE).agg(F.collect_list(F.struct("kind_name", "symbol", F.col("line_no").alias("start_line"), "end_line", "start_byte")).alias("defs"))
+    each = files.select(*FILE, F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines")).join(own, FILE).select(*FILE, "lines", F.explode("defs").alias("d"))
+    text = F.array_join(F.slice("lines", F.col("d.start_line"), F.col("d.end_line") - F.col("d.start_line") + 1), "\n")
+    rows = each.select(*FILE, "d.kind_name", "d.symbol", "d.start_line", "d.start_byte", F.regexp_replace(text, r"(?:\n[ \t\r]*)+\z", "").alias("body"))
+    rows = rows.withColumn("end_line", F.col("start_line") + F.regexp_count("body", F.lit("\n"))).withColumn("end_byte", F.col("start_byte") + F.octet_length("body"))
+    return _finish(rows)
 
 
 def chunk_files(files: DataFrame) -> DataFrame:
-    """All files by the chunker of their language; unknown languages by windows."""
-    lang = language_of("path")
+    """All files by the chunker of their language; unknown languages and files without a path by windows."""
+    lang = F.coalesce(language_of("path"), F.lit("unknown"))
     of = lambda *names: files.filter(lang.isin(*names))
     out = markdown_chunks(of("markdown")).unionByName(yaml_chunks(of("yaml"))).unionByName(toml_chunks(of("toml"))).unionByName(json_chunks(of("json")))
     return out.unionByName(code_chunks(of(*DEFINITIONS))).unionByName(window_chunks(files.filter(lang == "unknown")))

@@ -6,9 +6,10 @@ path, line, kind, rev, resolution), dst null where the name is resolved at query
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.paths import under_prefix
@@ -181,63 +182,105 @@ def containers(defs: DataFrame) -> DataFrame:
     return met.groupBy("path", "id").agg(F.min_by("container", F.struct(F.col("b") - F.col("a"), "container")).alias("container"))
 
 
-#: Where calls, imports and bases stand, per language (patterns with the name as group 1).
-_CALL = r"\b([A-Za-z_]\w*)\s*\("
+#: Where calls, imports and bases stand, per language (patterns with the name as group 1). Of
+#: bases the pattern gives the list.
+_CALL = r"\b([A-Za-z_]\w*)!?\s*\("
 _NOT_CALLS = "if for while switch catch return function func fn def class sizeof match when elif except with and or not in is print new await super require require_relative".split()
 IMPORT_PATTERNS = {
     "go": r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([^\"]+)\"\s*$", "c": r"^\s*#\s*include\s+[<\"]([^>\"]+)[>\"]",
-    "python": r"^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))", "javascript": r"^\s*import\b.*?['\"]([^'\"]+)['\"]|\brequire\(\s*['\"]([^'\"]+)['\"]",
-    "typescript": r"^\s*import\b.*?['\"]([^'\"]+)['\"]|\brequire\(\s*['\"]([^'\"]+)['\"]", "java": r"^\s*import\s+(?:static\s+)?([\w.]+)", "kotlin": r"^\s*import\s+([\w.]+)",
+    "python": r"^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))", "javascript": r"^\s*import\b.*?['\"]([^'\"]+)['\"]",
+    "typescript": r"^\s*import\b.*?['\"]([^'\"]+)['\"]", "java": r"^\s*import\s+(?:static\s+)?([\w.]+)", "kotlin": r"^\s*import\s+([\w.]+)",
     "rust": r"^\s*(?:pub\s+)?use\s+([\w:]+?)(?:::\{.*)?(?:\s+as\s+\w+)?;?\s*$", "ruby": r"^\s*require(?:_relative)?\s*\(?['\"]([^'\"]+)['\"]",
 }
 INHERIT_PATTERNS = {
-    "python": r"^\s*class\s+\w+\(([\w.]+)", "javascript": r"class\s+\w+\s+extends\s+([\w.]+)", "typescript": r"(?:class|interface)\s+\w+(?:<[^>]*>)?\s+(?:extends|implements)\s+([\w.]+)",
-    "java": r"(?:class|interface)\s+\w+(?:<[^>]*>)?\s+(?:extends|implements)\s+([\w.]+)", "kotlin": r"class\s+\w+(?:\([^)]*\))?\s*:\s*([\w.]+)", "ruby": r"^\s*class\s+\w+\s*<\s*([\w:]+)",
-    "rust": r"^\s*impl(?:<[^>]*>)?\s+([\w:]+)(?:<[^>]*>)?\s+for\b",
+    "python": r"^\s*class\s+\w+\(([^)]*)\)", "javascript": r"\bclass\s+\w+\s+extends\s+([\w.]+)", "typescript": r"\b(?:class|interface)\s+\w+(?:<[^>]*>)?\s+(?:extends|implements)\s+([^{]+)",
+    "java": r"\b(?:class|interface)\s+\w+(?:<[^>]*>)?\s+(?:extends|implements)\s+([^{]+)", "kotlin": r"\bclass\s+\w+(?:\([^)]*\))?\s*:\s*([^{]+)", "ruby": r"^\s*class\s+\w+\s*<\s*([\w:]+)",
 }
 
 
-def extract_refs(lines: DataFrame, chunks: DataFrame) -> DataFrame:
+def _by_language(patterns: dict[str, str]) -> Column:
+    name = F.lit("")
+    for lang, pattern in patterns.items():
+        groups = [F.regexp_extract("line", pattern, g + 1) for g in range(re.compile(pattern).groups)]
+        got = groups[0] if len(groups) == 1 else F.when(groups[0] != "", groups[0]).otherwise(groups[1])
+        name = F.when(F.col("lang") == lang, got).otherwise(name)
+    return name
+
+
+def _base_names(clause: Column) -> Column:
+    """Names in a list of bases: without arguments, keywords and named arguments, last parts."""
+    bare = F.regexp_replace(F.regexp_replace(clause, r"<[^<>]*>|\([^()]*\)|\[[^\[\]]*\]", ""), r"\w+\s*=[^,]*|\b(?:extends|implements|by)\b", ",")
+    last = F.transform(F.split(bare, r"[,\s]+"), lambda x: F.regexp_extract(x, r"(\w+)$", 1))
+    return F.filter(last, lambda x: x != "")
+
+
+def extract_refs(lines: DataFrame, chunks: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """refs(repo, src, name, path, line, kind, rev) of code: calls, imports and bases by line.
 
     lines: line_rows() with lang. A ref belongs to the smallest chunk around its line, else to the
-    file; the first line of equal refs counts. Go receivers name their container (rev).
+    file; the first line of equal refs counts. A line that begins a definition doesn't call it.
+    Go receivers and functions in blocks (code_chunks() by MEMBER_BLOCKS) name their container (rev).
     """
     from quarryline.operators.chunkers import _without_strings
 
     rows = lines.withColumn("bare", _without_strings(F.col("line")))
-    calls = rows.select("repo", "path", "lang", "line_no", F.explode(F.regexp_extract_all("bare", F.lit(_CALL), F.lit(1))).alias("name"), F.lit("CALLS").alias("kind"), "line")
-    calls = calls.filter(~F.col("name").isin(*_NOT_CALLS) & ~F.col("line").rlike(r"^\s*(?:[\w@]+\s+)*(?:func|fn|def|fun|function|class|struct|interface|trait)\b.*"))
-    out = calls.drop("line")
-    for kind, patterns in (("IMPORTS", IMPORT_PATTERNS), ("INHERITS", INHERIT_PATTERNS)):
-        name = F.lit("")
-        for lang, pattern in patterns.items():
-            groups = [F.regexp_extract("line", pattern, g + 1) for g in range(pattern.count("(") - pattern.count("(?") - pattern.count(r"\("))]
-            got = groups[0] if len(groups) == 1 else F.when(groups[0] != "", groups[0]).otherwise(groups[1])
-            name = F.when(F.col("lang") == lang, got).otherwise(name)
-        out = out.unionByName(rows.select("repo", "path", "lang", "line_no", name.alias("name"), F.lit(kind).alias("kind")).filter("name <> ''"))
-    receiver = rows.filter("lang = 'go'").select("repo", "path", "lang", "line_no", F.regexp_extract("line", r"^func\s+\(\s*\w+\s+\*?(\w+)", 1).alias("name"), F.lit("CONTAINS").alias("kind")).filter("name <> ''")
-    out = out.unionByName(receiver).withColumn("name", F.substring("name", 1, 255))
+    own = ["repo", "path", "lang", "line_no"]
+    calls = rows.select(*own, F.explode(F.regexp_extract_all("bare", F.lit(_CALL), F.lit(1))).alias("name"), F.lit("CALLS").alias("kind"), "line")
+    signature = F.col("lang").isin("typescript") & F.col("line").rlike(r"^\s*\w+\s*(?:<[^>]*>)?\([^)]*\)\s*:\s*[^{]+;?\s*$")
+    calls = calls.filter(~F.col("name").isin(*_NOT_CALLS) & ~signature & ~F.col("line").rlike(r"^\s*(?:#|import\b|use\b|package\b)")).drop("line")
+    begun = chunks.select("repo", "path", F.col("start_line").alias("line_no"), F.col("symbol").alias("name"))
+    # JavaScript and the like: `class A extends B(` calls nothing by a class's name
+    heads = rows.filter(F.col("line").rlike(r"^\s*(?:[\w@]+\s+)*(?:class|struct|interface|trait|impl)\b")).select("repo", "path", "line_no")
+    calls = calls.join(begun, ["repo", "path", "line_no", "name"], "left_anti").join(heads, ["repo", "path", "line_no"], "left_anti")
+    imports = rows.select(*own, _by_language(IMPORT_PATTERNS).alias("name"), F.lit("IMPORTS").alias("kind")).filter("name <> ''")
+    bases = rows.select(*own, F.explode(_base_names(_by_language(INHERIT_PATTERNS))).alias("name"), F.lit("INHERITS").alias("kind"))
+    receiver = rows.filter("lang = 'go'").select(*own, F.regexp_extract("line", r"^func\s+\(\s*\w+\s+\*?(\w+)", 1).alias("name"), F.lit("CONTAINS").alias("kind")).filter("name <> ''")
+    out = calls.select(*own, "name", "kind").unionByName(imports).unionByName(bases).unionByName(receiver)
+    if blocks is not None:
+        one = lambda d: F.concat_ws("\u0000", "repo", "path")
+        inner = chunks.filter("kind_name = 'function'").select("repo", "path", "lang", "start_line", one(chunks).alias("at"))
+        spans = blocks.select(one(blocks).alias("path"), F.col("symbol").alias("id"), F.col("start_line").alias("start"), F.col("end_line").alias("end"))
+        held = enclosing(inner.select(F.col("at").alias("path"), F.col("start_line").alias("pos")).distinct(), spans).withColumnRenamed("path", "at").withColumnRenamed("pos", "start_line")
+        out = out.unionByName(inner.join(held, ["at", "start_line"]).select("repo", "path", "lang", F.col("start_line").alias("line_no"), F.col("inside").alias("name"), F.lit("CONTAINS").alias("kind")))
+    out = out.withColumn("name", F.substring("name", 1, 255))
     defs = chunks.select(F.concat_ws("\u0000", "repo", "path").alias("path"), F.col("key").alias("id"), F.col("start_line").alias("start"), F.col("end_line").alias("end"))
-    at = out.select(F.concat_ws("\u0000", "repo", "path").alias("path"), F.col("line_no").alias("pos"), F.monotonically_increasing_id().alias("ref_no"), F.col("path").alias("file"), "repo", "name", "kind")
+    at = out.select(F.concat_ws("\u0000", "repo", "path").alias("path"), F.col("line_no").alias("pos"), F.col("path").alias("file"), "repo", "name", "kind")
     inside = enclosing(at.select("path", "pos").distinct(), defs)
-    owned = at.join(inside, ["path", "pos"], "left").withColumn("src", F.when(F.col("kind") == "IMPORTS", F.concat(F.lit("file:"), "file")).otherwise(F.coalesce("inside", F.concat(F.lit("file:"), "file"))))
+    # what an interface declares isn't called there
+    kinds = chunks.filter("kind_name = 'interface'").select(F.col("key").alias("inside"), F.lit(True).alias("declares"))
+    owned = at.join(inside, ["path", "pos"], "left").join(kinds, "inside", "left").filter("kind <> 'CALLS' OR declares IS NULL").withColumn("src", F.when(F.col("kind") == "IMPORTS", F.concat(F.lit("file:"), "file")).otherwise(F.coalesce("inside", F.concat(F.lit("file:"), "file"))))
     return owned.groupBy("repo", "src", "name", F.col("file").alias("path"), "kind").agg(F.min("pos").alias("line")).withColumn("rev", F.col("kind") == "CONTAINS")
 
 
+def module_prefixes(files: DataFrame) -> DataFrame:
+    """(prefix): names by which a repository's own files import each other, from its go.mod,
+    package.json and Cargo.toml files."""
+    base = F.element_at(F.split("path", "/"), -1)
+    name = (
+        F.when(base == "go.mod", F.regexp_extract("text", r"(?m)^\s*module\s+\"?([^\s\"]+)", 1))
+        .when(base == "package.json", F.get_json_object("text", "$.name"))
+        .when(base == "Cargo.toml", F.regexp_replace(F.regexp_extract("text", r"(?ms)^\[package\].*?^\s*name\s*=\s*\"([^\"]+)\"", 1), "-", "_"))
+    )
+    return files.select(name.alias("prefix")).filter("prefix <> ''").distinct()
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
     """(src, name, dst, resolution, confidence): imports(src, name) to files(path) where one file
     fits, else to a module.
 
     Names lose quotes, ./ and ../, a known module prefix(prefix) and crate::; dots and :: become
-    slashes. A file fits if its path, its path without extension, or its directory ends in the
-    name. Every suffix of a path is a row, so this is an equi-join; several files: a module.
+    slashes. A file fits if its path, or its path without extension, ends in the name. Every
+    suffix of a path is a row, so this is an equi-join; several files: a module. A name's
+    beginnings meet the prefixes by an equi-join too.
     """
     name = F.regexp_replace(F.regexp_replace("name", r"^(?:\.{1,2}/)+", ""), r"^(?:crate|self|super)::", "")
-    rows = imports.withColumn("wanted", name)
+    rows = imports.select("src", "name").distinct().withColumn("wanted", name)
     if prefixes is not None:
-        longest = rows.join(F.broadcast(prefixes), rows["wanted"].startswith(F.concat("prefix", F.lit("/"))), "left").groupBy("src", "name", "wanted").agg(F.max("prefix").alias("prefix"))
-        rows = longest.withColumn("wanted", F.when(F.col("prefix").isNotNull(), F.substring("wanted", F.length("prefix") + 2, F.lit(1 << 20))).otherwise(F.col("wanted")))
+        parts = F.split("wanted", "/|::")
+        begin = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+        own = rows.select("src", "name", F.explode(begin).alias("prefix")).join(prefixes.select("prefix").distinct(), "prefix")
+        longest = own.groupBy("src", "name").agg(F.max(F.length("prefix")).alias("cut"))
+        rows = rows.join(longest, ["src", "name"], "left").withColumn("wanted", F.when(F.col("cut").isNotNull(), F.regexp_replace(F.substring("wanted", F.col("cut") + 1, F.lit(1 << 20)), "^(?:/|::)", "")).otherwise(F.col("wanted")))
     dotted = F.when(F.col("wanted").contains("/") | F.col("wanted").rlike(r"\.(?:h|c|hpp|js|ts|rb|py|go)$"), F.col("wanted")).otherwise(F.regexp_replace("wanted", r"::|\.", "/"))
     rows = rows.withColumn("wanted", dotted)
     parts = F.split("path", "/")
@@ -246,9 +289,99 @@ def resolve_imports(imports: DataFrame, files: DataFrame, prefixes: DataFrame |
     each = files.select("path", F.explode(F.array_distinct(F.concat(suffix(parts), suffix(bare)))).alias("wanted"))
     one = each.groupBy("wanted").agg(F.min("path").alias("file"), F.countDistinct("path").alias("n")).filter("n = 1")
     # a single bare word is a standard module unless the importer said it is a file
-    local = rows.withColumn("local", F.col("name").rlike(r"^\.|/|::|\.")) 
+    local = rows.withColumn("local", F.col("name").rlike(r"^\.|/|::|\."))
     met = local.join(one, "wanted", "left").withColumn("hit", F.col("file").isNotNull() & F.col("local"))
-    return met.select("src", "name", F.when(F.col("hit"), F.concat(F.lit("file:"), "file")).otherwise(F.concat(F.lit("mod:"), "name")).alias("dst"), F.when(F.col("hit"), "IMPORT").otherwise("TEXTUAL").alias("resolution"), F.when(F.col("hit"), IMPORT).otherwise(EXACT).alias("confidence"))
+    return met.select("src", "name", F.when(F.col("hit"), F.concat(F.lit("file:"), "file")).otherwise(F.concat(F.lit("mod:"), "name")).alias("dst"), F.when(F.col("hit"), "IMPORT").otherwise("EXACT").alias("resolution"), F.when(F.col("hit"), IMPORT).otherwise(EXACT).alias("confidence"))
+
+
+def rewrite_imports(refs: DataFrame, resolved: DataFrame) -> DataFrame:
+    """refs with the IMPORTS of resolve_imports() led to what they were resolved to; idempotent."""
+    found = resolved.select("src", "name", F.col("dst").alias("new_dst"), F.col("resolution").alias("new_resolution"), F.lit("IMPORTS").alias("kind"))
+    met = refs.join(found, ["src", "name", "kind"], "left")
+    return met.withColumn("dst", F.coalesce("new_dst", "dst")).withColumn("resolution", F.coalesce("new_resolution", "resolution")).select(*refs.columns)
+
+
+def build_graph(files: DataFrame, prefixes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """nodes and refs of code files(repo, path, text, and seq if they have an order).
+
+    Definitions are nodes by their chunk key; files and imported modules are nodes too. Refs hold
+    the import of a file or module, the container of a nested definition, and names to be resolved
+    at query time. Rows of other languages are left out.
+    """
+    from quarryline.functions.paths import language_of
+    from quarryline.operators import chunkers
+
+    code = files.withColumn("lang", language_of("path")).filter(F.col("lang").isin(*chunkers.DEFINITIONS))
+    order = F.col("seq").cast("long") if "seq" in files.columns else F.xxhash64("repo", "path")
+    chunks = table_between_rounds(chunkers.code_chunks(code).drop("body"))
+    blocks = chunkers.code_chunks(code.filter(F.col("lang").isin(*chunkers.MEMBER_BLOCKS)), chunkers.MEMBER_BLOCKS)
+    lines = chunkers.line_rows(code).withColumn("lang", language_of("path"))
+    said = extract_refs(lines, chunks, blocks)
+    said = said.select("src", F.when(F.col("kind") == "IMPORTS", F.concat(F.lit("mod:"), "name")).alias("dst"), "name", "path", "line", "kind", "rev", F.when(F.col("kind") == "IMPORTS", "EXACT").otherwise("TEXTUAL").alias("resolution"))
+    nested = containers(chunks.select("path", F.col("key").alias("id"), F.col("kind_name").alias("kind"), F.col("start_byte").alias("start"), F.col("end_byte").alias("end")))
+    starts = chunks.select(F.col("key").alias("id"), "start_line", F.col("symbol").alias("name"))
+    nested = nested.join(starts, "id").select(F.col("container").alias("src"), F.col("id").alias("dst"), "name", "path", F.col("start_line").alias("line"), F.lit("CONTAINS").alias("kind"), F.lit(False).alias("rev"), F.lit("EXACT").alias("resolution"))
+    refs = rewrite_imports(said, resolve_imports(said.filter("kind = 'IMPORTS'"), code, prefixes)).unionByName(nested)
+    refs = table_between_rounds(refs)
+    numbered = code.select("path", "lang", order.alias("file_seq"))
+    symbols = chunks.drop("lang").join(numbered, "path").select(
+        F.col("key").alias("id"), F.col("kind_name").alias("kind"), "lang", F.col("symbol").alias("name"), "path", "start_line", "end_line", (F.col("file_seq") * (1 << 20) + F.col("start_line")).alias("seq")
+    )
+    none = F.lit(None).cast("int")
+    as_files = numbered.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("file").alias("kind"), "lang", F.element_at(F.split("path", "/"), -1).alias("name"), "path", none.alias("start_line"), none.alias("end_line"), (F.col("file_seq") * (1 << 20)).alias("seq"))
+    modules = refs.filter("kind = 'IMPORTS' AND dst LIKE 'mod:%'").select(F.col("dst").alias("id")).distinct()
+    modules = modules.select("id", F.lit("module").alias("kind"), F.lit(None).cast("string").alias("lang"), F.substring("id", 5, 1 << 20).alias("name"), F.lit(None).cast("string").alias("path"), none.alias("start_line"), none.alias("end_line"), F.lit(0).cast("long").alias("seq"))
+    return symbols.unionByName(as_files).unionByName(modules), refs
+
+
+#: Names of functions where programs begin (fixed values).
+ENTRYPOINTS = ("main", "Main", "ServeHTTP", "Handler")
+
+
+def trace_path(nodes: DataFrame, edges: DataFrame, name: str, path: str | None = None, mask: str | None = "CALLS", direction: str = "both", max_depth: int = DEFAULT_DEPTH, limit: int = TRACE_LIMIT) -> DataFrame:
+    """trace() from the latest node of a name, of those under path if given, with one exactly at
+    path before the others; at most `limit` hops, those of least depth first."""
+    found = nodes.filter(F.col("name") == name)
+    if path:
+        found = found.filter(under_prefix("path", path)).withColumn("exact", F.col("path") == path)
+    else:
+        found = found.withColumn("exact", F.lit(False))
+    seed = found.orderBy(F.desc("exact"), F.desc("seq")).limit(1).select(F.col("id").alias("seed"))
+    hops = trace(edges, seed, mask, direction, max_depth)
+    return with_endpoints(hops, nodes.select("id", "name", "path")).orderBy("depth", "src", "dst", "line").limit(min(limit, 256))
+
+
+def find_references(nodes: DataFrame, edges: DataFrame, lines: DataFrame, name: str, limit: int = 50) -> DataFrame:
+    """(source, path, line, src, text): the graph's references of a name; if it has none, the
+    lines(path, line_no, line) that hold it as a whole word."""
+    hit = references(edges, nodes, name, limit=limit)
+    hit = hit.join(nodes.select(F.col("id").alias("src"), F.col("path").alias("path")), "src", "left")
+    graph = table_between_rounds(hit.select(F.lit("graph").alias("source"), "path", "line", "src", F.lit(None).cast("string").alias("text")))
+    if not graph.isEmpty():
+        return graph
+    word = lines.filter(F.col("line").rlike(rf"\b\Q{name}\E\b"))
+    return word.select(F.lit("grep").alias("source"), "path", F.col("line_no").alias("line"), F.lit(None).cast("string").alias("src"), F.col("line").alias("text")).orderBy("path", "line").limit(limit)
+
+
+def language_mix(nodes: DataFrame) -> DataFrame:
+    """(lang, files) of the code files."""
+    return nodes.filter("kind = 'file'").groupBy("lang").agg(F.count(F.lit(1)).alias("files"))
+
+
+def architecture(nodes: DataFrame, edges: DataFrame, hub_limit: int = HUB_LIMIT, each: int = 8) -> DataFrame:
+    """(part, name, path, kind, n): a repository at a glance. Parts: size, languages by number of
+    files, hubs by degree, and of each of ENTRYPOINTS the latest definitions."""
+    none = F.lit(None).cast("string")
+    size = counts(nodes, edges)
+    size = size.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in ("nodes", "edges")])).alias("s"))
+    size = size.select(F.lit("size").alias("part"), "s.name", none.alias("path"), none.alias("kind"), "s.n")
+    langs = language_mix(nodes).select(F.lit("language").alias("part"), F.col("lang").alias("name"), none.alias("path"), none.alias("kind"), F.col("files").alias("n"))
+    top = hubs(edges, nodes, hub_limit).join(nodes.select("id", "name", "path", "kind"), "id")
+    top = top.select(F.lit("hub").alias("part"), "name", "path", "kind", F.col("degree").alias("n"))
+    begins = nodes.filter(F.col("name").isin(*ENTRYPOINTS) & F.col("kind").isin(*SYMBOL_NODES))
+    latest = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("seq")))
+    begins = begins.withColumn("k", latest).filter(F.col("k") <= each).select(F.lit("entrypoint").alias("part"), "name", "path", "kind", F.lit(None).cast("long").alias("n"))
+    return size.unionByName(langs).unionByName(top).unionByName(begins)
 
 
 def changed_symbols(hunks: DataFrame, outline: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 2, limit: int = 40) -> DataFrame:

@@ -571,3 +571,11 @@ def k4_polled_changes(spark, sf):
 @query(f"WITH {EVENTS} SELECT date_trunc('hour', ts) AS hour, kind, count(*) AS events FROM ev GROUP BY 1, 2")
 def k6_windowed_counts(spark, sf):
     return watch.windowed_counts(data.watch_events(spark, sf))
+
+
+# --- files of code ------------------------------------------------------------------------------
+
+from quarryline.plans import code_queries  # noqa: E402
+
+QUERIES.update(code_queries.QUERIES)
+ORACLES.update(code_queries.ORACLES)
