@@ -47,6 +47,15 @@ def fingerprint_md5(rows: DataFrame, by: list[str], key: str = "key", digest: st
     return rows.groupBy(*by).agg(F.md5(joined).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
 
 
+def fingerprint_ranges(rows: DataFrame, by: list[str], key: str = "key", digest: str = "hash") -> DataFrame:
+    """A digest per group for groups of any size: rows are put into 65536 ranges by a hash of the
+    key, each range has the digest of its sorted rows, the group that of its ranges' digests."""
+    ranged = rows.withColumn("_range", F.substring(F.md5(F.col(key).cast("binary")), 1, 4))
+    parts = fingerprint_md5(ranged, [*by, "_range"], key, digest)
+    whole = fingerprint_md5(parts, by, "_range", "fingerprint").drop("n")
+    return whole.join(parts.groupBy(*by).agg(F.sum("n").alias("n")), by)
+
+
 @F.pandas_udf(T.LongType())
 def tagged_id(tag_and_name: pd.Series) -> pd.Series:
     """Id of a file ('F\\0path') or module ('M\\0name') node: 64 bits of the hash, top bit set."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.hashing import fingerprint_md5
+from quarryline.operators.rounds import table_between_rounds
 
 
 class NullKey(ValueError):
@@ -76,15 +77,16 @@ def manifest_diff(prev: DataFrame, now: DataFrame, scope: tuple[str, ...] = ("re
     return both.select(*on, op.alias("op")).filter("op IS NOT NULL")
 
 
-def directory_rollup(leaves: DataFrame, max_depth: int = 64) -> DataFrame:
+def directory_rollup(leaves: DataFrame) -> DataFrame:
     """(repo, dir, depth, fingerprint, n) of every directory, '' being the root.
 
     leaves: repo, path, hash. Directories are combined from the deepest level up; a level's
-    children meet in one shuffle, and there are as many levels as the deepest path has.
+    children meet in one shuffle. There are as many levels as the deepest path has; each is a
+    table before the one above it is made.
     """
     rows = leaves.select("repo", F.split("path", "/").alias("parts"), F.col("hash"))
     rows = rows.withColumn("depth", F.size("parts") - 1)
-    deepest = min(max_depth, rows.agg(F.max("depth")).first()[0] or 0)
+    deepest = rows.agg(F.max("depth")).first()[0] or 0
     out, below = None, None
     for depth in range(deepest, -1, -1):
         here = rows.filter(F.col("depth") == depth).select("repo", F.array_join(F.slice("parts", 1, depth), "/").alias("dir"), F.element_at("parts", -1).alias("key"), "hash")
@@ -92,7 +94,7 @@ def directory_rollup(leaves: DataFrame, max_depth: int = 64) -> DataFrame:
             up = F.split("dir", "/")
             child = below.select("repo", F.array_join(F.slice(up, 1, depth), "/").alias("dir"), F.element_at(up, -1).alias("key"), F.col("fingerprint").alias("hash"))
             here = here.unionByName(child)
-        below = fingerprint_md5(here, ["repo", "dir"])
+        below = table_between_rounds(fingerprint_md5(here, ["repo", "dir"]))
         level = below.withColumn("depth", F.lit(depth))
         out = level if out is None else out.unionByName(level)
     return out.select("repo", "dir", "depth", "fingerprint", "n")

@@ -7,12 +7,12 @@ path, line, kind, rev, resolution), dst null where the name is resolved at query
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.paths import under_prefix
+from quarryline.operators.rounds import table_between_rounds
 from quarryline.schemas import SYMBOL_NODES, edge_kinds, node_kinds
 
 #: Confidence of edges (fixed values): exact, import, same file, other file, and the number of
@@ -22,14 +22,6 @@ MAX_CANDIDATES = 8
 DEFAULT_DEPTH, TRACE_LIMIT, HUB_LIMIT = 2, 64, 10
 
 
-def table_between_rounds(df: DataFrame) -> DataFrame:
-    """Cuts lineage: a table in the folder that the cluster shares."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/quarryline-graph-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def resolve_names(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src, dst, name, path, kind, line, confidence) of refs(src, name, path, kind, line).
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.paths import double_star_glob, in_skipped_dir, search_glob
+from quarryline.operators.chunkers import cut_bytes
 from quarryline.schemas import FILE_BYTES
 
 GREP_LIMIT, GLOB_LIMIT, TREE_LIMIT, TREE_DEPTH, HEAD_LINES = 200, 500, 2000, 3, 20
@@ -239,7 +240,8 @@ def _stage(rows: DataFrame, argv: list[str]) -> DataFrame:
         return sed(rows, script, "n" in flags)
     if command == "paste" and "s" in flags:
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\t")
-        return rows.limit(FILE_BYTES).agg(F.lit(1).alias("line_no"), joined.alias("line"))
+        # a line takes a byte at least: the first FILE_BYTES lines hold all that is shown
+        return rows.orderBy("line_no").limit(FILE_BYTES).agg(F.lit(1).alias("line_no"), cut_bytes(joined, FILE_BYTES).alias("line"))
     return rows  # cat, paste of one input
 
 

@@ -45,8 +45,8 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def named_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A call per line of every first item: from the part with the supplier's number to the name of the part sold."""
-    item = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_suppkey")
+    """A call per line item: from the part with the supplier's number to the name of the part sold."""
+    item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     part = table(spark, sf_dir, "part")
     to = part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name"))
     own = part.select(F.col("p_partkey").alias("l_suppkey"), F.col("p_brand").alias("path"))

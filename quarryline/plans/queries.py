@@ -108,6 +108,12 @@ def h2_fingerprint(spark, sf):
     return hashing.fingerprint_md5(data.chunks(spark, sf), ["repo"], "key", "hash")
 
 
+@query(f"""WITH {CHUNKS}, parts AS (SELECT repo, substr(md5(key), 1, 4) AS r, md5(string_agg(key || ':' || hash, ',' ORDER BY key)) AS h, count(*) AS n FROM chunks GROUP BY repo, r)
+SELECT repo, md5(string_agg(r || ':' || h, ',' ORDER BY r)) AS fingerprint, sum(n)::BIGINT AS n FROM parts GROUP BY repo""")
+def h2_range_fingerprint(spark, sf):
+    return hashing.fingerprint_ranges(data.chunks(spark, sf), ["repo"], "key", "hash")
+
+
 @query()
 def h1_content_hash(spark, sf):
     return data.files(spark, sf).select("doc_id", F.hex(hashing.content_hash(F.encode("text", "UTF-8"))).alias("hash"))
@@ -274,11 +280,11 @@ def v11_terms(spark, sf):
 
 
 @query(f"""WITH {FILES}, q AS (SELECT {TERMS.format("'Of the thand ering, nders and worthless'")} AS terms),
-c AS (SELECT doc_id AS id, round((doc_id % 97) / 97.0::DOUBLE, 6) AS score, substr(text, 1, 60) AS snippet, text FROM files WHERE repo = 'src1'),
+c AS (SELECT doc_id AS id, round((doc_id % 97) / 97.0::DOUBLE, 6) AS score, substr(text, 1, 60) AS snippet, text FROM files),
 b AS (SELECT id, score, len(list_filter(terms, lambda t: contains(lower(chr(10) || snippet), t))) AS near, len(list_filter(terms, lambda t: contains(lower(text), t))) AS far FROM c, q)
 SELECT id, score, (CASE WHEN near > 0 THEN near ELSE far END)::INT AS boost, round(score + (CASE WHEN near > 0 THEN near ELSE far END) * 0.05, 6) AS final_score FROM b ORDER BY final_score DESC, id LIMIT 8""")
 def v12_hybrid(spark, sf):
-    hits = data.files(spark, sf).filter("repo = 'src1'").select(F.col("doc_id").alias("id"), F.round((F.col("doc_id") % 97) / 97.0, 6).alias("score"), F.lit(None).cast("string").alias("symbol"), F.substring("text", 1, 60).alias("snippet"), "text")
+    hits = data.files(spark, sf).select(F.col("doc_id").alias("id"), F.round((F.col("doc_id") % 97) / 97.0, 6).alias("score"), F.lit(None).cast("string").alias("symbol"), F.substring("text", 1, 60).alias("snippet"), "text")
     return search.hybrid(hits, search.significant_terms(F.lit("Of the thand ering, nders and worthless"))).select("id", "score", "boost", "final_score")
 
 
@@ -305,7 +311,7 @@ def v15_get_chunk(spark, sf):
 # --- graph ------------------------------------------------------------------------------------
 
 NODES = "nodes AS (SELECT 'p' || p_partkey AS id, p_name AS name, p_brand AS path, p_partkey AS seq, (p_partkey % 1000)::INT AS start_line, (p_partkey % 1000 + 5)::INT AS end_line FROM part)"
-REFS = """refs AS (SELECT 'p' || l_suppkey AS src, t.p_name AS name, o.p_brand AS path, (min(l_orderkey) % 1000)::INT AS line FROM lineitem JOIN part t ON t.p_partkey = l_partkey JOIN part o ON o.p_partkey = l_suppkey WHERE l_linenumber = 1 GROUP BY 1, 2, 3)"""
+REFS = """refs AS (SELECT 'p' || l_suppkey AS src, t.p_name AS name, o.p_brand AS path, (min(l_orderkey) % 1000)::INT AS line FROM lineitem JOIN part t ON t.p_partkey = l_partkey JOIN part o ON o.p_partkey = l_suppkey GROUP BY 1, 2, 3)"""
 RESOLVED = NODES + ", " + REFS + """, c AS (SELECT r.*, n.id AS dst, n.seq, n.path = r.path AS near, count(*) OVER (PARTITION BY r.src, r.name, r.path) AS total, bool_or(n.path = r.path) OVER (PARTITION BY r.src, r.name, r.path) AS shadow FROM refs r JOIN nodes n ON n.name = r.name),
 k AS (SELECT *, row_number() OVER (PARTITION BY src, name, path ORDER BY seq DESC) AS rk FROM c WHERE near OR NOT shadow),
 named AS (SELECT src, dst, name, path, line, CASE WHEN near THEN 0.9 ELSE round(0.75 * least(1.0, 3.0 / total), 6) END::DOUBLE AS confidence FROM k WHERE rk <= 8)"""
@@ -430,20 +436,19 @@ def w7_wc(spark, sf):
 
 
 def _all_lines(spark, sf):
-    files = data.files(spark, sf).filter("repo = 'src1'")
-    each = files.select("doc_id", F.posexplode(workspace.lines_of()).alias("pos", "line"))
+    each = data.files(spark, sf).select("doc_id", F.posexplode(workspace.lines_of()).alias("pos", "line"))
     return each.select((F.col("doc_id") * 100_000 + F.col("pos")).alias("line_no"), "line")
 
 
-SRC1 = rf"{LINES}, e AS (SELECT f.doc_id * 100000 + generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM ll JOIN files f USING (repo, path) WHERE repo = 'src1')"
+ALL_LINES = rf"{LINES}, e AS (SELECT f.doc_id * 100000 + generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM ll JOIN files f USING (repo, path))"
 
 
-@query(f"WITH {SRC1} SELECT line_no, regexp_replace(regexp_replace(line, 'the', 'THE'), '[aeiou]', '_', 'g') AS line FROM e WHERE NOT regexp_matches(line, 'xyz')")
+@query(f"WITH {ALL_LINES} SELECT line_no, regexp_replace(regexp_replace(line, 'the', 'THE'), '[aeiou]', '_', 'g') AS line FROM e WHERE NOT regexp_matches(line, 'xyz')")
 def w8_sed(spark, sf):
     return workspace.sed(_all_lines(spark, sf), "/xyz/d; s/the/THE/; s/[aeiou]/_/g")
 
 
-@query(f"WITH {SRC1}, w AS (SELECT split_part(line, ' ', 1) AS w FROM e WHERE regexp_matches(line, 'er')), u AS (SELECT w, count(*) AS n FROM w GROUP BY w) SELECT row_number() OVER (ORDER BY w) AS k, n || ' ' || w AS line FROM u")
+@query(f"WITH {ALL_LINES}, w AS (SELECT split_part(line, ' ', 1) AS w FROM e WHERE regexp_matches(line, 'er')), u AS (SELECT w, count(*) AS n FROM w GROUP BY w) SELECT row_number() OVER (ORDER BY w) AS k, n || ' ' || w AS line FROM u")
 def w10_pipe(spark, sf):
     out = workspace.run_pipe(_all_lines(spark, sf), "grep er | cut -d ' ' -f 1 | sort | uniq -c | nl")
     return out.select(F.split("line", "\t")[0].cast("long").alias("k"), F.split("line", "\t")[1].alias("line"))
@@ -484,12 +489,15 @@ def g22_changed_symbols(spark, sf):
 # --- text and conversations -------------------------------------------------------------------
 
 
-@query(r"""WITH a AS (SELECT page_id, regexp_extract(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<script.*?</script>', ' ', 'gsi'), '<style.*?</style>', ' ', 'gsi'), '<article[^>]*>(.*?)</article>', 1, 'si') AS b, html FROM pages),
-t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(b, '<br\s*/?>', chr(10), 'gi'), '</(p|div|section|article|header|footer|li|ul|ol|tr|table|h[1-6]|pre|blockquote|figure|main|nav|aside)>', chr(10), 'gi'), '<[^>]+>', ' ', 'g') AS t FROM a WHERE regexp_matches(html, '</article>')),
+@query(r"""WITH n AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<script.*?</script>', ' ', 'gsi'), '<style.*?</style>', ' ', 'gsi'), '<head.*?</head>', ' ', 'gsi') AS h FROM pages),
+a AS (SELECT page_id, h, regexp_extract(h, '<main[^>]*>(.*?)</main>', 1, 'si') AS m, list_filter(regexp_extract_all(h, '<article[^>]*>(.*?)</article>', 1, 'si'), lambda x: regexp_matches(x, '\S')) AS arts FROM n),
+c AS (SELECT page_id, CASE WHEN h IS NULL THEN NULL WHEN regexp_matches(m, '\S') THEN m WHEN len(arts) > 0 THEN list_reduce(arts, lambda x, y: CASE WHEN length(y) > length(x) THEN y ELSE x END)
+  ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<nav.*?</nav>', ' ', 'gsi'), '<header.*?</header>', ' ', 'gsi'), '<footer.*?</footer>', ' ', 'gsi'), '<aside.*?</aside>', ' ', 'gsi') END AS b FROM a),
+t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(b, '<br\s*/?>', chr(10), 'gi'), '</(p|div|section|article|header|footer|li|ul|ol|tr|table|h[1-6]|pre|blockquote|figure|main|nav|aside)>', chr(10), 'gi'), '<[^>]+>', ' ', 'g') AS t FROM c),
 d AS (SELECT page_id, replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&amp;', '&') AS t FROM t)
 SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[ \t\f\x0B\r]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM d""")
 def t1_html_text(spark, sf):
-    return data.table(spark, sf, "pages").filter(F.contains("html", F.lit("</article>"))).select("page_id", text.html_text("html").alias("text"))
+    return data.table(spark, sf, "pages").select("page_id", text.html_text("html").alias("text"))
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si'), '&quot;', '"'), '&lt;', '<'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""")
