@@ -19,6 +19,14 @@ class Rejected(ValueError):
     """An input that the read-only tools don't run."""
 
 
+class UnsafePipe(Rejected):
+    pass
+
+
+class UnsafeSed(Rejected):
+    pass
+
+
 def _text() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
@@ -113,13 +121,15 @@ def sed(rows: DataFrame, script: str, quiet: bool = False) -> DataFrame:
             else:  # printed once more
                 rows = rows.withColumn("line", F.explode(F.when(hit, F.array("line", "line")).otherwise(F.array("line"))))
         else:
-            raise Rejected(f"sed command {command!r}")
+            raise UnsafeSed(f"sed command {command!r}")
     return rows
 
 
 #: What a pipe may run and the flags it may not have (fixed values).
 PIPE_COMMANDS = "rg grep head tail wc sort uniq cut tr nl cat paste sed".split()
 DENIED_FLAGS = {"rg": ["--pre", "--pre-glob", "--hostname-bin", "--search-zip", "-z"], "sort": ["-o", "--output", "--files0-from"], "sed": ["-i", "--in-place", "-f", "--file"]}
+#: Short flags whose value may be written behind them.
+VALUED_FLAGS = {"rg": "efgtTmABCjrM", "sort": "ktSTo", "sed": "efl"}
 SHELL_OPERATORS = "><;&$`(){}\n\r"
 
 _TOKEN = re.compile(r"'(?P<single>[^']*)'|\"(?P<double>(?:\\[\"\\]|[^\"])*)\"|\\(?P<escaped>.)|(?P<gap>[ \t]+)|(?P<bar>\|)|(?P<plain>[^ \t|'\"\\><;&$`(){}\n\r]+)", re.DOTALL)
@@ -131,7 +141,7 @@ def tokenize_pipe(command: str) -> list[list[str]]:
     while at < len(command):
         m = _TOKEN.match(command, at)
         if not m:
-            raise Rejected(f"{command[at]!r} in a pipe" if command[at] in SHELL_OPERATORS else "a quote without an end")
+            raise UnsafePipe(f"{command[at]!r} in a pipe" if command[at] in SHELL_OPERATORS else "a quote without an end")
         at = m.end()
         if m["gap"] or m["bar"]:
             if word is not None:
@@ -145,20 +155,26 @@ def tokenize_pipe(command: str) -> list[list[str]]:
     if word is not None:
         stages[-1].append(word)
     if not all(stages):
-        raise Rejected("an empty stage")
+        raise UnsafePipe("an empty stage")
     return stages
 
 
 def check_stage(argv: list[str]) -> None:
     command, *args = argv
     if command not in PIPE_COMMANDS:
-        raise Rejected(f"command {command!r}")
+        raise UnsafePipe(f"command {command!r}")
     for a in args:
-        if (a.split("=", 1)[0] if a.startswith("-") else a) in DENIED_FLAGS.get(command, ()):
-            raise Rejected(f"flag {a!r} of {command}")
+        denied = DENIED_FLAGS.get(command, ())
+        if a.startswith("-") and a.split("=", 1)[0] in denied:
+            raise UnsafePipe(f"flag {a!r} of {command}")
+        for letter in a[1:] if re.match("-[^-]", a) else "":
+            if f"-{letter}" in denied:
+                raise UnsafePipe(f"flag {a!r} of {command}")
+            if letter in VALUED_FLAGS.get(command, ""):
+                break
         for path in (a, a.partition("=")[2]):
             if path.startswith("/") or ".." in path.replace("\\", "/").split("/"):
-                raise Rejected(f"path {path!r}")
+                raise UnsafePipe(f"path {path!r}")
 
 
 def _number(args: list[str], default: int) -> int:

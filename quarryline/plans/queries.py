@@ -583,7 +583,8 @@ def k6_windowed_counts(spark, sf):
 
 # --- files of code ------------------------------------------------------------------------------
 
-from quarryline.plans import code_queries  # noqa: E402
+from quarryline.plans import code_queries, engine_queries  # noqa: E402
 
-QUERIES.update(code_queries.QUERIES)
-ORACLES.update(code_queries.ORACLES)
+for more in (code_queries, engine_queries):
+    QUERIES.update(more.QUERIES)
+    ORACLES.update(more.ORACLES)
