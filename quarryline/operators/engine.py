@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarryline.operators import diff
 from quarryline.operators.search import clamp_k
+from quarryline.sources.files import Snapshots
 
 #: Events that one step takes; retries of a vector write and the pause before each, in seconds
 #: for the first; bytes of a blame that are shown; rows of a batch to embed (fixed values).
@@ -235,3 +236,23 @@ def error_code(error: Exception) -> str:
         if isinstance(error, kind):
             return code
     return "INTERNAL"
+
+
+def index_tree(store: Snapshots, files: DataFrame, prefixes: DataFrame | None = None) -> Bootstrap:
+    """One run over files(repo, path, text): chunks, manifest and graph of the tree are saved.
+
+    Where an earlier run is stored, only files whose hash differs are chunked; chunks of the others
+    are carried over. The graph's imports are resolved over the whole tree.
+    """
+    from quarryline.operators import chunkers, graph
+
+    leaves = files.select("repo", "path", F.md5(F.coalesce("text", F.lit(""))).alias("hash"))
+    earlier = store.load("chunks")
+    found = bootstrap(store.load("manifest") if earlier is not None else None, leaves)
+    changed = found.changes.filter("op <> 'deleted'").select("repo", "path")
+    fresh = chunkers.chunk_files(files.join(changed, ["repo", "path"], "left_semi"))
+    store.save("chunks", diff.carry_over(earlier, found.changes, fresh) if found.warm else fresh)
+    nodes, refs = graph.build_graph(files, prefixes)
+    for name, table in (("manifest", leaves), ("nodes", nodes), ("refs", refs)):
+        store.save(name, table)
+    return found

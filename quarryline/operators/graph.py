@@ -304,7 +304,7 @@ def build_graph(files: DataFrame, prefixes: DataFrame | None = None) -> tuple[Da
     from quarryline.operators import chunkers
 
     code = files.withColumn("lang", language_of("path")).filter(F.col("lang").isin(*chunkers.DEFINITIONS))
-    order = F.col("seq").cast("long") if "seq" in files.columns else F.xxhash64("repo", "path")
+    order = F.col("seq").cast("long") if "seq" in files.columns else F.pmod(F.xxhash64("repo", "path"), F.lit(1 << 42))
     chunks = table_between_rounds(chunkers.code_chunks(code).drop("body"))
     blocks = chunkers.code_chunks(code.filter(F.col("lang").isin(*chunkers.MEMBER_BLOCKS)), chunkers.MEMBER_BLOCKS)
     lines = chunkers.line_rows(code).withColumn("lang", language_of("path"))
