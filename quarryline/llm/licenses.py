@@ -53,6 +53,15 @@ TEMPLATES = [
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
     ("cc-by-nd-4.0", "Licensed under CC BY-ND 4.0"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("cc0-1.0", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work."),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version of the License, or (at your option) any later version."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version of the License, or (at your option) any later version."),
+    ("artistic-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the Artistic License (2.0)"),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 
