@@ -36,7 +36,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 14, 5
 RARE, FLOOR = 0.01, 0.5
 #: Shingles that a task counts before it forgets those too rare to matter.
-COUNTED = 1 << 20
+COUNTED = 1 << 18
 #: Sizes of one slice differ by this factor at most.
 SLICE = 1.02
 #: A table of up to so many (node, id) rows is broadcast, a larger one is shuffled.
