@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,22 +14,30 @@ _cleaned: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application below the one that the cluster shares."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = LOCAL_FALLBACK
-    path = f"{base.rstrip('/')}/quarryline-rounds-{spark.sparkContext.applicationId}"
+    # a path without a scheme is in Spark's file system, whoever reads it
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    base = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    path = f"{re.sub(r'^file:/+', 'file:///', base).rstrip('/')}/quarryline-rounds-{spark.sparkContext.applicationId}"
     if path not in _cleaned:
         _cleaned.add(path)
-        atexit.register(_remove, spark, path)
+        atexit.register(_remove_at_exit, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
     try:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        remove_folder(spark, path)
     except Exception:  # the session has already ended: the folder stays for the cluster's own clean-up
         pass
 
@@ -38,3 +47,24 @@ def table_between_rounds(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """Tables of successive rounds: those of a round that is over can be dropped."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def save(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((out, path))
+        return out
+
+    def drop_but(self, *tables: DataFrame) -> None:
+        for df, path in self.paths:
+            if not any(df is t for t in tables):
+                remove_folder(self.spark, path)
+        self.paths = [(df, p) for df, p in self.paths if any(df is t for t in tables)]
