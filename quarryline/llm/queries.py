@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, extraction, fingerprints, langid, licenses, mixing, neardup, packing, warc
+from . import chat, exact_dedup, extraction, fingerprints, langid, licenses, mixing, neardup, negatives, packing, resampling, sharding, warc
 from .shared import materialize
 
 
@@ -76,11 +76,25 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_license_scan, op3_language_id, op4_warc, op5_minhash_near_dedup,
         op6_source_mixing, op7_exact_dedup, op8_packing, op9_chat_formatting, op10_fingerprints,
+        op11_sharding, op12_hard_negatives, op13_importance_resampling,
     )
 }
 
@@ -122,6 +136,50 @@ SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n
 FROM words w LEFT JOIN base b USING (doc_id) LEFT JOIN mine m USING (doc_id)"""
 
 
+#: The table of a byte-wise crc32, and the crc32 of a string in SQL (the polynomial is a fixed value).
+CRC_TABLE = """SELECT list(c ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))"""
+
+
+def _crc_sql(text: str) -> str:
+    data = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), (2 * i + 1)::INT, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _sharding_sql() -> str:
+    """The crc of a long text is put together from those of pieces of 256 bytes: `far` carries a
+    crc over 256 zero bytes, `z` the crc's first value over fewer."""
+    least = "list_position(loads, list_min(loads))"
+    zeros = "lambda c, k: xor(c >> 8, tab[(c & 255) + 1])"
+    over = "xor(xor(far[(a & 255) + 1], far[((a >> 8) & 255) + 257]), xor(far[((a >> 16) & 255) + 513], far[(a >> 24) + 769]))"
+    piece = "list_transform(range(256), lambda i: ('0x' || substr(p, (2 * i + 1)::INT, 2))::BIGINT)"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(coalesce(text, '')) AS sha FROM documents),
+tables AS ({CRC_TABLE}),
+shifts AS (
+  SELECT (SELECT list(c ORDER BY i) FROM (SELECT i, list_reduce(list_prepend(((i % 256) << (8 * (i // 256)))::BIGINT, range(256)), {zeros}) AS c FROM range(1024) r(i), tables)) AS far,
+    (SELECT list(c ORDER BY i) FROM (SELECT i, list_reduce(list_prepend(4294967295::BIGINT, range(i)), {zeros}) AS c FROM range(256) r(i), tables)) AS z
+), g AS (SELECT sha, any_value(t) AS t, strlen(any_value(t)) AS n, sum(strlen(t) + 1)::BIGINT AS bytes FROM d GROUP BY sha),
+h AS (SELECT sha, (n + 255) // 256 AS parts, lpad(hex(encode(t)), ((n + 255) // 256 * 512)::INT, '0') AS h FROM g WHERE n > 0),
+pieces AS (SELECT sha, i, substr(h, (512 * i + 1)::INT, 512) AS p FROM (SELECT sha, h, unnest(range(parts)) AS i FROM h)),
+lists AS (
+  SELECT sha, list(c ORDER BY i) AS cs FROM (SELECT sha, i, list_reduce(list_prepend(0::BIGINT, {piece}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])) AS c FROM pieces, tables)
+  GROUP BY sha
+), c AS (
+  SELECT g.sha, CASE WHEN n = 0 THEN 0 ELSE xor(xor(list_reduce(cs, lambda a, b: xor(b, {over})), list_reduce(list_prepend(z[n % 256 + 1], range(n // 256)), lambda a, k: {over})), 4294967295) END AS crc
+  FROM shifts, g LEFT JOIN lists USING (sha)
+), o AS (SELECT sha, bytes, row_number() OVER (ORDER BY bytes DESC, sha) AS k FROM g),
+s AS (
+  SELECT 0::BIGINT AS k, ''::VARCHAR AS sha, -1::BIGINT AS shard, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] AS loads
+  UNION ALL
+  SELECT o.k, o.sha, {least} - 1, list_transform(range(8), lambda i: loads[i + 1] + CASE WHEN i + 1 = {least} THEN o.bytes ELSE 0 END)
+  FROM s JOIN o ON o.k = s.k + 1
+)
+SELECT d.doc_id, (strlen(d.t) + 1)::BIGINT AS size, c.crc::BIGINT AS text_crc32, 'bytes' AS law, s.shard::INT AS shard,
+  row_number() OVER (PARTITION BY s.shard ORDER BY d.doc_id NULLS FIRST, d.sha) - 1 AS slot, NULL::INT AS grown_shard
+FROM d JOIN s ON s.sha = d.sha JOIN c ON c.sha = d.sha"""
+
+
 ORACLES = {
     "op2_license_scan": _license_sql(),
     "op4_warc": """
@@ -167,4 +225,39 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(n + marks)::BIGINT AS formatted_chars
 FROM m GROUP BY conv_id""",
+    "op11_sharding": _sharding_sql(),
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+  WHERE p.k <= 5
+)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
+    "op13_importance_resampling": rf"""
+WITH tables AS ({CRC_TABLE}),
+words AS (
+  SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+  UNION ALL
+  SELECT 'b', item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+), buckets AS (SELECT w, {_crc_sql("w")} % 10000 AS bucket FROM (SELECT DISTINCT w FROM words), tables),
+counts AS (SELECT bucket, count(*) FILTER (side = 'd')::DOUBLE AS s, count(*) FILTER (side = 'b')::DOUBLE AS t FROM words JOIN buckets USING (w) GROUP BY bucket),
+totals AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM counts),
+gains AS (SELECT bucket, floor(1000 * ln(((t + 1) * (s_all + 10000)) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM counts, totals),
+weights AS (SELECT doc_id, count(*)::BIGINT AS n_features, sum(gain)::BIGINT AS weight FROM words JOIN buckets USING (w) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+    + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM documents d LEFT JOIN weights USING (doc_id)
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS k, count(*) FILTER (n_features >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= 10 * n // 100 THEN k END AS rank FROM ranked""",
 }
