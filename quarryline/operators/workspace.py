@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.functions.patterns import posix_pattern
 from quarryline.functions.paths import double_star_glob, in_skipped_dir, search_glob
-from quarryline.operators.chunkers import cut_bytes
 from quarryline.schemas import FILE_BYTES
 
 GREP_LIMIT, GLOB_LIMIT, TREE_LIMIT, TREE_DEPTH, HEAD_LINES = 200, 500, 2000, 3, 20
@@ -97,168 +97,167 @@ def wc(files: DataFrame) -> DataFrame:
     return files.select("repo", "path", F.size(lines_of()).cast("long").alias("lines"), F.size(words).cast("long").alias("words"), F.octet_length(_text()).cast("long").alias("bytes"))
 
 
-def sed(rows: DataFrame, script: str, quiet: bool = False) -> DataFrame:
-    """rows(line_no, line, …) edited by s/x/y/[g], /x/d, n,md, n,mp or /x/p; other commands are rejected."""
-    for command in [c.strip() for c in re.split(r"[;\n]", script) if c.strip()]:
-        if m := re.fullmatch(r"s(.)((?:\\.|(?!\1).)*)\1((?:\\.|(?!\1).)*)\1(g?)", command):
-            pattern, with_ = m[2], re.sub(r"\\(\d)", r"$\1", m[3].replace("$", r"\$"))
-            if m[4]:
-                new = F.regexp_replace("line", pattern, with_)
-            else:  # only the first match: what stands before it is held by a group of its own
-                shifted = re.sub(r"\$(\d)", lambda g: f"${int(g[1]) + 1}", with_)
-                new = F.regexp_replace("line", f"^(.*?)(?:{pattern})", "$1" + shifted)
-            rows = rows.withColumn("line", new)
-        elif m := re.fullmatch(r"(?:/((?:\\.|[^/])*)/|(\d+)(?:,(\d+|\$))?)([dp])", command):
-            if m[1] is not None:
-                hit = F.col("line").rlike(m[1])
-            else:
-                last = F.lit(1 << 30) if m[3] == "$" else F.lit(int(m[3] or m[2]))
-                hit = F.col("line_no").between(F.lit(int(m[2])), last)
-            if m[4] == "d":
-                rows = rows.filter(~hit)
-            elif quiet:
-                rows = rows.filter(hit)
-            else:  # printed once more
-                rows = rows.withColumn("line", F.explode(F.when(hit, F.array("line", "line")).otherwise(F.array("line"))))
-        else:
-            raise UnsafeSed(f"sed command {command!r}")
-    return rows
-
+@dataclass
+class SedCommand:
+    name: str
+    hit: Column | None  # None: every line
+    arguments: tuple[str, ...] = ()
+    needs_total: bool = False
 
-#: What a pipe may run and the flags it may not have (fixed values).
-PIPE_COMMANDS = "rg grep head tail wc sort uniq cut tr nl cat paste sed".split()
-DENIED_FLAGS = {"rg": ["--pre", "--pre-glob", "--hostname-bin", "--search-zip", "-z"], "sort": ["-o", "--output", "--files0-from"], "sed": ["-i", "--in-place", "-f", "--file"]}
-#: Short flags whose value may be written behind them.
-VALUED_FLAGS = {"rg": "efgtTmABCjrM", "sort": "ktSTo", "sed": "efl"}
-SHELL_OPERATORS = "><;&$`(){}\n\r"
 
-_TOKEN = re.compile(r"'(?P<single>[^']*)'|\"(?P<double>(?:\\[\"\\]|[^\"])*)\"|\\(?P<escaped>.)|(?P<gap>[ \t]+)|(?P<bar>\|)|(?P<plain>[^ \t|'\"\\><;&$`(){}\n\r]+)", re.DOTALL)
+_SED_ADDRESS = re.compile(r"(?:(?P<re>/(?:\\.|\[\^?\]?[^\]]*\]|[^/\\\[])+/)(?P<fold>I?)|(?P<first>\d+)(?:~(?P<step>\d+)|,(?P<plus>\+?)(?P<last>\d+|\$))?|(?P<end>\$))?\s*(?P<not>!?)\s*")
 
 
-def tokenize_pipe(command: str) -> list[list[str]]:
-    """Words of each stage of a command; quotes are removed, shell operators rejected."""
-    stages, word, at = [[]], None, 0
-    while at < len(command):
-        m = _TOKEN.match(command, at)
-        if not m:
-            raise UnsafePipe(f"{command[at]!r} in a pipe" if command[at] in SHELL_OPERATORS else "a quote without an end")
-        at = m.end()
-        if m["gap"] or m["bar"]:
-            if word is not None:
-                stages[-1].append(word)
-            word = None
-            if m["bar"]:
-                stages.append([])
+def sed_commands(script: str, extended: bool = False) -> list[SedCommand]:
+    """The commands of a script: s, y, d, p, q, = and G, each with a line, a range of lines, every
+    n-th line, the last line or a pattern before it, or `!`; others are rejected."""
+    out, at = [], 0
+    while at < len(script):
+        if script[at] in " \t;\n":
+            at += 1
             continue
-        part = m["single"] if m["single"] is not None else re.sub(r"\\([\"\\])", r"\1", m["double"]) if m["double"] is not None else m["escaped"] or m["plain"]
-        word = (word or "") + part
-    if word is not None:
-        stages[-1].append(word)
-    if not all(stages):
-        raise UnsafePipe("an empty stage")
-    return stages
-
-
-def check_stage(argv: list[str]) -> None:
-    command, *args = argv
-    if command not in PIPE_COMMANDS:
-        raise UnsafePipe(f"command {command!r}")
-    for a in args:
-        denied = DENIED_FLAGS.get(command, ())
-        if a.startswith("-") and a.split("=", 1)[0] in denied:
-            raise UnsafePipe(f"flag {a!r} of {command}")
-        for letter in a[1:] if re.match("-[^-]", a) else "":
-            if f"-{letter}" in denied:
-                raise UnsafePipe(f"flag {a!r} of {command}")
-            if letter in VALUED_FLAGS.get(command, ""):
-                break
-        for path in (a, a.partition("=")[2]):
-            if path.startswith("/") or ".." in path.replace("\\", "/").split("/"):
-                raise UnsafePipe(f"path {path!r}")
-
-
-def _number(args: list[str], default: int) -> int:
-    for i, a in enumerate(args):
-        if a in ("-n", "-c") and i + 1 < len(args):
-            return int(args[i + 1])
-        if m := re.fullmatch(r"-n?(\d+)", a):
-            return int(m[1])
-    return default
-
-
-def run_pipe(rows: DataFrame, command: str) -> DataFrame:
-    """rows(line_no, line) through the stages of a command, each a DataFrame step; the result has
-    line_no and line again."""
-    stages = tokenize_pipe(command)
-    for argv in stages:
-        check_stage(argv)
-    return reduce(_stage, stages, rows)
-
-
-def _renumbered(rows: DataFrame, *order: Column | str) -> DataFrame:
-    """Lines numbered in a new order. Ranks come from the sizes of the sorted parts, so no task
-    holds all lines."""
-    by_part = rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_own", F.monotonically_increasing_id())
-    sizes = by_part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_own").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", "_first", before.alias("_before"))  # a row per partition
-    return by_part.join(F.broadcast(offsets), "_part").select((F.col("_own") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "line")
-
-
-def _stage(rows: DataFrame, argv: list[str]) -> DataFrame:
-    command, *args = argv
-    flags = {c for a in args if re.fullmatch(r"-[A-Za-z]+", a) for c in a[1:]}
-    words = [a for a in args if not a.startswith("-")]
-    if command in ("grep", "rg"):
-        pattern = ("(?i)" if "i" in flags else "") + (re.escape(words[0]) if "F" in flags else words[0])
-        hit = F.col("line").rlike(pattern)
-        kept = rows.filter(~hit if "v" in flags else hit)
-        return kept.agg(F.lit(1).alias("line_no"), F.count(F.lit(1)).cast("string").alias("line")) if "c" in flags else kept
-    if command == "head":
-        return rows.orderBy("line_no").limit(_number(args, 10))
-    if command == "tail":
-        return rows.orderBy(F.desc("line_no")).limit(_number(args, 10))
-    if command == "wc":
-        size = {"l": F.count(F.lit(1)), "w": F.sum(F.size(F.filter(F.split("line", r"\s+"), lambda w: w != ""))), "c": F.sum(F.octet_length("line") + 1)}
-        shown = [size[f] for f in "lwc" if f in flags] or list(size.values())
-        return rows.agg(F.lit(1).alias("line_no"), F.concat_ws(" ", *[F.coalesce(s, F.lit(0)).cast("string") for s in shown]).alias("line"))
-    if command == "sort":
-        key = F.regexp_extract("line", r"^\s*(-?\d+(?:\.\d+)?)", 1).try_cast("double") if "n" in flags else F.col("line")
-        if "u" in flags:
-            rows = rows.groupBy("line").agg(F.min("line_no").alias("line_no"))
-        return _renumbered(rows, key.desc() if "r" in flags else key.asc(), F.col("line").desc() if "r" in flags else F.col("line").asc())
-    if command == "uniq":
-        # a line before is known by its number, which is why numbers are made dense first
-        dense = _renumbered(rows, "line_no")
-        follows = dense.select((F.col("line_no") + 1).alias("line_no"), F.col("line").alias("before"))
-        starts = dense.join(follows, "line_no", "left").filter("before IS NULL OR before <> line").select("line_no", "line")
-        if "c" not in flags:
-            return starts
-        total = dense.agg(F.max("line_no").alias("last"))
-        order = _renumbered(starts.select("line_no", F.col("line_no").cast("string").alias("line")), F.col("line_no")).select(F.col("line").cast("long").alias("line_no"), F.col("line_no").alias("k"))
-        nxt = order.select((F.col("k") - 1).alias("k"), F.col("line_no").alias("next"))
-        size = starts.join(order, "line_no").join(nxt, "k", "left").join(F.broadcast(total)).withColumn("n", F.coalesce("next", F.col("last") + 1) - F.col("line_no"))
-        return size.select("line_no", F.concat(F.col("n").cast("string"), F.lit(" "), F.col("line")).alias("line"))
-    if command == "cut":
-        sep = next((a[2:] if len(a) > 2 else args[i + 1] for i, a in enumerate(args) if a.startswith("-d")), "\t")
-        field = next((a[2:] if len(a) > 2 else args[i + 1] for i, a in enumerate(args) if a.startswith("-f")), "1")
-        parts = F.split("line", re.escape(sep), -1)
-        picked = [F.get(parts, int(i) - 1) for r in field.split(",") for i in (range(int(r.split("-")[0]), int(r.split("-")[1]) + 1) if "-" in r else [r])]
-        return rows.withColumn("line", F.when(F.contains("line", F.lit(sep)), F.concat_ws(sep, *picked)).otherwise(F.col("line")))
-    if command == "tr":
-        spread = lambda s: re.sub(r"(.)-(.)", lambda m: "".join(map(chr, range(ord(m[1]), ord(m[2]) + 1))), s)
-        a, b = spread(words[0]), spread(words[1]) if len(words) > 1 and "d" not in flags else ""
-        return rows.withColumn("line", F.translate("line", a, (b + b[-1:] * len(a))[: len(a)] if b else ""))
-    if command == "nl":
-        return _renumbered(rows, "line_no").withColumn("line", F.concat(F.col("line_no").cast("string"), F.lit("\t"), F.col("line")))
-    if command == "sed":
-        script = next((args[i + 1] for i, a in enumerate(args) if a in ("-e", "--expression")), words[0] if words else "")
-        return sed(rows, script, "n" in flags)
-    if command == "paste" and "s" in flags:
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\t")
-        # a line takes a byte at least: the first FILE_BYTES lines hold all that is shown
-        return rows.orderBy("line_no").limit(FILE_BYTES).agg(F.lit(1).alias("line_no"), cut_bytes(joined, FILE_BYTES).alias("line"))
-    return rows  # cat, paste of one input
+        if script[at] == "#":
+            at = (script + "\n").index("\n", at)
+            continue
+        m = _SED_ADDRESS.match(script, at)
+        at = m.end()
+        hit = _sed_hit(m, extended)
+        name = script[at : at + 1]
+        at += 1
+        arguments: tuple[str, ...] = ()
+        if name in ("s", "y"):
+            if at >= len(script):
+                raise UnsafeSed(f"sed command {name!r} without an end")
+            mark = re.escape(script[at])
+            part = rf"((?:\\.|\[\^?\]?[^\]\n]*\]|(?!{mark})[^\n])*)" if name == "s" else rf"((?:\\.|(?!{mark})[^\n])*)"
+            body = re.compile(rf"{mark}{part}{mark}((?:\\.|(?!{mark})[^\n])*){mark}([^;\n]*)", re.DOTALL).match(script, at)
+            if not body or not re.fullmatch("[gIip]*" if name == "s" else "", body[3].strip()) or not body[1]:
+                raise UnsafeSed(f"sed command {script[at - 1 :]!r}")
+            delimiter = script[at]
+            arguments = tuple(x.replace("\\" + delimiter, delimiter) if delimiter not in "\\()[]{}.*+?^$|" else x for x in (body[1], body[2])) + (body[3].strip(),)
+            at = body.end()
+        elif not name or name not in "dpq=G":
+            raise UnsafeSed(f"sed command {script[at - 1 :]!r}")
+        elif not re.match(r"[ \t]*(?:[;\n#]|$)", script[at:]):
+            raise UnsafeSed(f"{script[at:]!r} behind sed command {name!r}")
+        out.append(SedCommand(name, hit, arguments, bool(m["end"] or m["last"] == "$")))
+    if not out:
+        raise UnsafeSed("an empty sed script")
+    return out
+
+
+def _sed_hit(m: re.Match, extended: bool) -> Column | None:
+    n = F.col("line_no")
+    if m["re"]:
+        fold = "(?iu)" if m["fold"] else ""
+        hit = F.col("line").rlike(f"(?d){fold}{posix_pattern(m['re'][1:-1].replace(chr(92) + '/', '/'), extended)}")
+    elif m["end"]:
+        hit = n == F.col("last_no")
+    elif m["first"] is None:
+        if m["not"]:
+            raise UnsafeSed("'!' without an address")
+        return None
+    elif m["step"]:
+        first, step = int(m["first"]), int(m["step"])
+        hit = (n >= first) & (F.pmod(n - first, F.lit(step)) == 0) if step else n == first
+    else:
+        first = int(m["first"])
+        if m["last"] == "$":
+            hit = n >= first
+        else:
+            last = first + int(m["last"]) if m["plus"] else int(m["last"] or first)
+            hit = n.between(first, max(first, last))
+    return ~hit if m["not"] else hit
+
+
+def _sed_with(text: str, shift: int) -> str:
+    """A replacement as Java writes it, group numbers raised by `shift`."""
+    out = []
+    for unit in re.findall(r"\\.|.", text, re.DOTALL):
+        if re.fullmatch(r"\\\d", unit):
+            out.append(f"${int(unit[1]) + shift}")
+        elif unit == "&":
+            out.append(f"${shift}" if shift else "$0")
+        elif len(unit) > 1 and unit[1] == "n":
+            raise UnsafeSed("a line end in a replacement of sed")
+        else:
+            c = {"\\t": "\t"}.get(unit, unit[-1])
+            out.append("\\" + c if c in "\\$" else c)
+    return "".join(out)
+
+
+def _substituted(command: SedCommand, extended: bool) -> tuple[Column, Column]:
+    """The line after an s command, and whether it matched."""
+    pattern, text, flags = command.arguments
+    java = posix_pattern(pattern, extended)
+    head = "(?diu)" if "i" in flags.lower() else "(?d)"
+    if "g" in flags:
+        new = F.regexp_replace("line", head + java, _sed_with(text, 0))
+    else:  # only the first match: what stands before it is held by a group of its own, the match by another
+        java_shifted = re.sub(r"\\(\\|\d)", lambda g: g[0] if g[1] == "\\" else f"\\{int(g[1]) + 2}", java)
+        new = F.regexp_replace("line", f"{head}^((?s:.*?))({java_shifted})", "$1" + _sed_with(text, 2))
+    return new, F.col("line").rlike(head + java)
+
+
+def edited(rows: DataFrame, script: str, quiet: bool = False, extended: bool = False) -> tuple[DataFrame, bool]:
+    """rows(line_no, line, …) after a script, and whether a line can appear more than once: then the
+    column `copy` counts a line's prints. line_no is the number that addresses mean."""
+    commands = sed_commands(script, extended)
+    own = rows.columns
+    if any(c.needs_total for c in commands):
+        rows = rows.crossJoin(F.broadcast(rows.agg(F.max("line_no").alias("last_no"))))  # one row
+    prints = any(c.name in "p=G" or (c.name == "s" and "p" in c.arguments[2]) for c in commands) or quiet
+    if prints:
+        rows = rows.withColumn("printed", F.array().cast("array<string>")).withColumn("live", F.lit(True))
+    stops = any(c.name == "q" for c in commands)
+    if stops:
+        rows = rows.withColumn("stopped", F.lit(False))
+    for c in commands:
+        hit = F.lit(True) if c.hit is None else c.hit
+        if prints:
+            hit = F.col("live") & hit
+        if stops:
+            hit = ~F.col("stopped") & hit
+        if c.name == "s":
+            new, matched = _substituted(c, extended)
+            if "p" in c.arguments[2]:
+                rows = rows.withColumn("matched", hit & matched)
+            rows = rows.withColumn("line", new if c.hit is None and not prints and not stops else F.when(hit, new).otherwise(F.col("line")))
+            if "p" in c.arguments[2]:
+                rows = rows.withColumn("printed", F.when(F.col("matched"), F.array_append("printed", F.col("line"))).otherwise(F.col("printed"))).drop("matched")
+        elif c.name == "y":
+            plain = [re.sub(r"\\(.)", r"\1", x) for x in c.arguments[:2]]
+            if len(plain[0]) != len(plain[1]):
+                raise UnsafeSed("sets of different length in y")
+            rows = rows.withColumn("line", F.when(hit, F.translate("line", *plain)).otherwise(F.col("line")))
+        elif c.name == "d":
+            rows = rows.withColumn("live", F.col("live") & ~hit) if prints else rows.filter(~hit)
+        elif c.name == "q":
+            stop = rows.filter(hit).agg(F.min("line_no").alias("stop_no"))  # one row
+            rows = rows.crossJoin(F.broadcast(stop)).filter(F.col("stop_no").isNull() | (F.col("line_no") <= F.col("stop_no")))
+            rows = rows.withColumn("stopped", F.col("line_no").eqNullSafe(F.col("stop_no"))).drop("stop_no")
+        elif c.name == "G":
+            # the pattern space gets an empty line behind it: printed as a line of its own
+            raise_if_edited_after(commands, c)
+            rows = rows.withColumn("printed", F.when(hit, F.array_append("printed", F.col("line"))).otherwise(F.col("printed"))).withColumn("line", F.when(hit, F.lit("")).otherwise(F.col("line")))
+        else:
+            shown = F.col("line") if c.name == "p" else F.col("line_no").cast("string")
+            rows = rows.withColumn("printed", F.when(hit, F.array_append("printed", shown)).otherwise(F.col("printed")))
+    if not prints:
+        return rows.select(*own), False
+    all_ = F.when(F.col("live") & F.lit(not quiet), F.array_append("printed", F.col("line"))).otherwise(F.col("printed"))
+    rest = [c for c in own if c != "line"]
+    return rows.select(*rest, F.posexplode(all_).alias("copy", "line")), True
+
+
+def raise_if_edited_after(commands: list[SedCommand], command: SedCommand) -> None:
+    if commands[-1] is not command:
+        raise UnsafeSed("commands behind G")
+
+
+def sed(rows: DataFrame, script: str, quiet: bool = False, extended: bool = False) -> DataFrame:
+    """rows(line_no, line, …) edited by a script of sed_commands()."""
+    return edited(rows, script, quiet, extended)[0].select(*rows.columns)
 
 
 def diff_hunks(diffs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import hashing, paths, text
-from quarryline.operators import diff, graph, search, vectors, workspace
+from quarryline.operators import diff, graph, pipes, search, vectors, workspace
 from quarryline.plans import data
 from quarryline.sources import files as sources
 from quarryline.streaming import watch
@@ -450,7 +450,7 @@ def w8_sed(spark, sf):
 
 @query(f"WITH {ALL_LINES}, w AS (SELECT split_part(line, ' ', 1) AS w FROM e WHERE regexp_matches(line, 'er')), u AS (SELECT w, count(*) AS n FROM w GROUP BY w) SELECT row_number() OVER (ORDER BY w) AS k, n || ' ' || w AS line FROM u")
 def w10_pipe(spark, sf):
-    out = workspace.run_pipe(_all_lines(spark, sf), "grep er | cut -d ' ' -f 1 | sort | uniq -c | nl")
+    out = pipes.run_pipe(_all_lines(spark, sf), "grep er | cut -d ' ' -f 1 | sort | uniq -c | nl")
     return out.select(F.split("line", "\t")[0].cast("long").alias("k"), F.split("line", "\t")[1].alias("line"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quarryline import schemas
 from quarryline.functions import hashing, paths, text
-from quarryline.operators import chunkers, diff, engine, graph, search, vectors, workspace
+from quarryline.operators import chunkers, diff, engine, graph, pipes, search, vectors, workspace
 from quarryline.sources import files as sources
 from quarryline.sources.files import Snapshots
 from quarryline.streaming import watch
@@ -144,14 +144,14 @@ def test_deeply_indented_python_and_files_without_a_path(spark):
 @pytest.mark.parametrize("command", ["cat x > y", "cat x; ls", "cat `x`", "cat $(x)", "cat x | | wc", "cat 'x", "ls", "sort -o out", "sort -oout", "sort -uo out", "sort --output=x", "sed -i s/a/b/", "sed -nf x", "rg --pre=x y", "rg -z x", "cat /etc/passwd", "cat ../x", "head x --file=../y", "", "cat x & wc"])
 def test_pipes_that_are_not_run(command):
     with pytest.raises(workspace.UnsafePipe):
-        for argv in workspace.tokenize_pipe(command):
-            workspace.check_stage(argv)
+        for argv in pipes.tokenize_pipe(command):
+            pipes.check_stage(argv)
 
 
 @pytest.mark.parametrize("command", ["grep -v 'a b' | sort -u | uniq -c", "rg -e foo | head -n5", "sed -e s/f/i/ | cut -d, -f1", "tail -3 | wc -l"])
 def test_pipes_that_are_run(command):
-    for argv in workspace.tokenize_pipe(command):
-        workspace.check_stage(argv)
+    for argv in pipes.tokenize_pipe(command):
+        pipes.check_stage(argv)
 
 
 @pytest.mark.parametrize("script", ["w out", "s/a/b/e", "s/a/b/w x", "e ls", "r x", "1,2!d;W x", "y/a/b/;Q"])
@@ -169,12 +169,12 @@ LINES = ["b 2", "a 1", "c 3", "a 1", "d 4"]
 ])
 def test_stages_of_a_pipe(spark, command, expected):
     rows = spark.createDataFrame(list(enumerate(LINES, 1)), "line_no long, line string").repartition(3)
-    assert [r.line for r in workspace.run_pipe(rows, command).orderBy("line_no").collect()] == expected
+    assert [r.line for r in pipes.run_pipe(rows, command).orderBy("line_no").collect()] == expected
 
 
 def test_paste_keeps_the_order_and_its_limit(spark):
     rows = spark.range(70_000).select((70_000 - F.col("id")).alias("line_no"), F.lit("x").alias("line"))
-    out = workspace.run_pipe(rows, "paste -s").first()["line"]
+    out = pipes.run_pipe(rows, "paste -s").first()["line"]
     assert len(out) == schemas.FILE_BYTES and set(out) == {"x", "\t"}
 
 
