@@ -32,6 +32,8 @@ ANCHOR_BLOCK = 4096
 SAMPLE_ROWS = 4096
 #: Rows whose pivot distances are bounded together, and rows that a task holds at once.
 BLOCK_ROWS, BATCH_ROWS = 128, 4096
+#: One product of a whole block costs about this many times less a pair than single pairs do.
+SPARSE = 8
 #: Whole numbers below this are exact in doubles.
 EXACT = float(1 << 53)
 LONG_MAX = (1 << 63) - 1
@@ -69,15 +71,29 @@ def matrix(vectors, dim: int) -> np.ndarray:
     return out.astype(np.float64) if largest * largest * max(dim, 1) < EXACT else out.astype(object)
 
 
+def _exact(rows: np.ndarray, anchors: np.ndarray) -> bool:
+    """Whether doubles hold all inner products of rows and anchors."""
+    if rows.dtype == object or anchors.dtype == object:
+        return False
+    return float(np.abs(rows).max(initial=0.0)) * float(np.abs(anchors).max(initial=0.0)) * max(rows.shape[1], 1) < EXACT
+
+
 def products(rows: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     """Exact inner products, rows by anchors; beyond a long's range they are cut to it."""
-    if rows.dtype == object or anchors.dtype == object or float(np.abs(rows).max(initial=0.0)) * float(np.abs(anchors).max(initial=0.0)) * max(rows.shape[1], 1) >= EXACT:
+    if not _exact(rows, anchors):
         whole = np.vectorize(int, otypes=[object])
         exact = np.dot(whole(rows), whole(anchors).T) if rows.size and anchors.size else np.zeros((len(rows), len(anchors)), object)
         return np.clip(exact, -LONG_MAX, LONG_MAX).astype(np.int64)
     return (rows @ anchors.T).astype(np.int64)
 
 
+def pair_products(rows: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows[i] and anchors[i]."""
+    if not _exact(rows, anchors):
+        return np.array([products(r[None], a[None])[0, 0] for r, a in zip(rows, anchors, strict=True)], np.int64)
+    return np.einsum("ij,ij->i", rows, anchors).astype(np.int64)
+
+
 class Space:
     """Pivots, in the space where inner products are distances."""
 
@@ -146,14 +162,18 @@ class Wanted:
                 continue
             least, most = self.space.brackets(stored[part], stored[part], self.pivots[asked], self.squares[asked])
             open_ = (most >= lowest[asked]) & (least <= highest[asked]) & ((labels[part][:, None] == self.labels[asked]) == self.same)
-            near, of = open_.any(1), open_.any(0)
-            if not near.any():
+            r, a = np.nonzero(open_)
+            if not len(r):
                 continue
-            at, asked, open_ = first + np.flatnonzero(near), asked[of], open_[near][:, of]
-            score = products(rows[at], self.matrix[asked])
+            near, of = np.unique(r), np.unique(a)
+            if len(r) * SPARSE < len(near) * len(of):
+                score = pair_products(rows[first + r], self.matrix[asked[a]])
+            else:
+                score = products(rows[first + near], self.matrix[asked[of]])[np.searchsorted(near, r), np.searchsorted(of, a)]
+            row, anchor = first + r, asked[a]
             for j in range(self.low.shape[1]):
-                r, a = np.nonzero(open_ & (score >= self.low[asked, j]) & (score <= self.high[asked, j]))
-                yield at[r], asked[a], np.full(len(r), j), score[r, a]
+                hit = (score >= self.low[anchor, j]) & (score <= self.high[anchor, j])
+                yield row[hit], anchor[hit], np.full(int(hit.sum()), j), score[hit]
 
 
 class Best:
