@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize, text_or_empty
-from .spans import byte_values, chunks, mix, prefix_sums, span_hashes, text_buffer
+from .spans import bytes_hashes, chunks, mix, span_hashes, text_buffer
 
 SKETCH = 64
 FIRST_LEVEL = 2
@@ -100,18 +100,18 @@ def phrase_names(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray
     """
     filled = np.flatnonzero(np.diff(offsets) > 0)
     levels = []
-    symbols, values = data, byte_values(data)
+    symbols = data
     text = filled
     first = offsets[:-1][filled]
     while len(text):
         starts = np.flatnonzero(phrase_starts(symbols, first))
-        names = span_hashes(prefix_sums(values), starts, np.append(starts[1:], len(values)))
+        names = (span_hashes if levels else bytes_hashes)(symbols, starts, np.append(starts[1:], len(symbols)))
         begin = np.searchsorted(starts, first)
         count = np.diff(np.append(begin, len(starts)))
         levels.append((names, np.repeat(text, count)))
         more = count > 1
         keep = np.repeat(more, count)
-        symbols = values = names[keep]
+        symbols = names[keep]
         text, count = text[more], count[more]
         first = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
     return levels

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import HEAVY_SHARE, Tables, heavy_values, materialize, text_or_empty, unused, without_ids
-from .spans import chunks, mix, prefix_sums, span_hashes, text_buffer, word_hashes
+from .spans import chunks, mix, span_hashes, text_buffer, word_hashes
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -57,7 +57,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     begin = np.concatenate([[0], np.cumsum(count)[:-1]]) if len(count) else np.zeros(0, np.int64)
     starts = np.arange(total) - begin[text] + at[:-1][text]
     ends = np.minimum(starts + SHINGLE_WORDS, at[1:][text])
-    hashes = span_hashes(prefix_sums(words), starts, ends)
+    hashes = span_hashes(words, starts, ends)
     # texts are in order already: one sort by (text, hash), with the hash's upper 44 bits
     order = np.argsort((text.astype(np.uint64) << np.uint64(44)) | (hashes >> np.uint64(20)))
     hashes, text = hashes[order], text[order]

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .spans import byte_values, chunks, prefix_sums, rehash_long, span_hashes, text_buffer
+from .spans import bytes_hashes, chunks, differing, text_buffer
 
 CAPACITY = 1024
 SMALLEST = 64
@@ -44,8 +44,9 @@ class WordIds:
     no match goes on over a space behind such a run, so the words' ids, joined, are the text's.
     A text with other white space, or two such characters together, goes to the tokenizer whole.
 
-    Words are told apart by a 64-bit hash, those of over 64 bytes by a digest; each distinct word is encoded once and kept in sorted
-    arrays of at most CACHE_WORDS words.
+    Words are found by a 64-bit hash; each distinct word is encoded once and kept, with its bytes, in
+    sorted arrays of at most CACHE_WORDS words. Every word is compared with the bytes kept for its
+    hash: a text with a word that has another's hash goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -62,6 +63,9 @@ class WordIds:
 
     def _clear(self) -> None:
         self.keys, self.at, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.bytes, self.begin, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    hashes = staticmethod(bytes_hashes)
 
     def _tokens(self, texts: list[str]) -> list[list[int]]:
         """Ids of texts without special tokens' strings."""
@@ -94,6 +98,10 @@ class WordIds:
         begin = np.concatenate([self.at[:-1], at + len(self.ids)])
         count = np.concatenate([np.diff(self.at), n])
         order = np.argsort(all_keys)
+        size = np.array([len(w) for w in words], np.int64)
+        self.begin = np.concatenate([self.begin, len(self.bytes) + np.cumsum(size) - size])[order]
+        self.size = np.concatenate([self.size, size])[order]
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words), np.uint8)])
         self.keys, self.ids = all_keys[order], _gather(all_ids, begin[order], count[order])
         self.at = np.concatenate([[0], np.cumsum(count[order])])
 
@@ -116,10 +124,10 @@ class WordIds:
         begins[edges] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(data))
-        hashes = rehash_long(span_hashes(prefix_sums(byte_values(data)), starts, ends), data, starts, ends)
         text_of = np.searchsorted(offsets, starts, side="right") - 1
         plain = ~whole[text_of]
-        starts, ends, hashes, text_of = starts[plain], ends[plain], hashes[plain], text_of[plain]
+        starts, ends, text_of = starts[plain], ends[plain], text_of[plain]
+        hashes = self.hashes(data, starts, ends)
         keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         place = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         new = self.keys[place] != keys if len(self.keys) else np.ones(len(keys), bool)
@@ -130,6 +138,13 @@ class WordIds:
                 new = np.ones(len(keys), bool)
             self._learn(keys[new], [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
         place = np.searchsorted(self.keys, keys)[inverse]
+        other = self.size[place] != ends - starts
+        same = np.flatnonzero(~other)
+        other[same] = differing(data, starts[same], self.bytes, self.begin[place[same]], self.size[place[same]])
+        if other.any():
+            whole[text_of[other]] = True
+            plain = ~whole[text_of]
+            place, text_of = place[plain], text_of[plain]
         begin, count = self.at[place], self.at[place + 1] - self.at[place]
         ids = _gather(self.ids, begin, count)
         per_text = np.bincount(text_of, weights=count, minlength=n).astype(np.int64)

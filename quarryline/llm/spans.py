@@ -1,8 +1,9 @@
 """Hashes of many spans of a batch of texts at once, with numpy.
 
-Texts of an Arrow column lie in one buffer. A polynomial prefix hash modulo 2**64 over that
-buffer gives the hash of any span of bytes by one subtraction and one product, so words,
-shingles and phrases are hashed without a Python step for each.
+Texts of an Arrow column lie in one buffer. Words are read from it eight bytes at a time, and each
+step mixes the bits of the hash so far with the next ones, for all words at once, so words, shingles
+and phrases are hashed without a Python step for each. No sum or product of the parts gives a hash:
+two different words with one hash can't be put together from known ones.
 """
 
 from __future__ import annotations
@@ -16,24 +17,11 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; one longer text is taken whole.
 CHUNK_BYTES = 1 << 20
-#: Longer words are hashed each on its own: a polynomial modulo 2**64 has known collisions
-#: of long words (of 1024 letters and more).
+#: Longer words are hashed each on its own, by a digest.
 LONG_WORD = 64
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE_VALUE = np.random.Generator(np.random.PCG64(20240611)).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = 1 << (n - 1).bit_length()
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            table = np.full(size, base, np.uint64)
-            table[0] = 1
-            _powers[name] = np.multiply.accumulate(table)
-    return _powers["up"], _powers["down"]
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,30 +33,75 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def prefix_sums(values: np.ndarray) -> np.ndarray:
-    """Prefix hashes of a sequence of 64-bit values; one longer than the sequence."""
-    up, _ = _power_tables(len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
+def _digest(part: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(part.tobytes(), digest_size=8).digest(), "big")
+
+
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the spans [start, end) of 64-bit values, equal for equal contents wherever they
+    stand; those of over LONG_WORD values by a digest."""
+    lengths = ends - starts
+    out = mix(lengths.astype(np.uint64) + _SEED)
+    for i in np.flatnonzero(lengths > LONG_WORD):
+        out[i] = _digest(values[starts[i] : ends[i]])
+    alive = np.flatnonzero((lengths > 0) & (lengths <= LONG_WORD))
+    for j in range(LONG_WORD):
+        alive = alive[lengths[alive] > j] if j else alive
+        if not len(alive):
+            break
+        if len(alive) == len(out):
+            out = mix(out ^ values[starts + j]) + _SEED
+        else:
+            out[alive] = mix(out[alive] ^ values[starts[alive] + j]) + _SEED
     return out
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the spans [start, end), equal for equal contents wherever they stand."""
-    _, down = _power_tables(len(sums))
-    lengths = (ends - starts).astype(np.uint64)
-    return mix((sums[ends] - sums[starts]) * down[starts] + lengths * np.uint64(0xD6E8FEB86659FD93))
-
-
-def rehash_long(hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """hashes, with those of spans of over LONG_WORD bytes replaced by a digest."""
-    for i in np.flatnonzero(ends - starts > LONG_WORD):
-        hashes[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "big")
-    return hashes
+class Lanes:
+    """Bytes read eight at a time, from any place on."""
+
+    def __init__(self, data: np.ndarray):
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        self.view = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+
+    def at(self, places: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The next bytes at places, `left` of them (at most eight), as numbers."""
+        short = np.minimum(left, 8).astype(np.uint64)
+        mask = np.where(short == 8, _FULL, (np.uint64(1) << (short * np.uint64(8) & np.uint64(63))) - np.uint64(1))
+        return self.view[places] & mask
+
+
+def bytes_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the spans [start, end) of bytes; those of over LONG_WORD bytes by a digest."""
+    lanes, lengths = Lanes(data), ends - starts
+    out = mix(lengths.astype(np.uint64) + _SEED)
+    long = np.flatnonzero(lengths > LONG_WORD)
+    alive = np.flatnonzero((lengths > 0) & (lengths <= LONG_WORD))
+    for j in range(0, LONG_WORD, 8):
+        alive = alive[lengths[alive] > j] if j else alive
+        if not len(alive):
+            break
+        out[alive] = mix(out[alive] ^ lanes.at(starts[alive] + j, lengths[alive] - j)) + _SEED
+    for i in long:
+        out[i] = _digest(data[starts[i] : ends[i]])
+    return out
 
 
-def byte_values(data: np.ndarray) -> np.ndarray:
-    return _BYTE_VALUE[data]
+def differing(data: np.ndarray, starts: np.ndarray, other: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which spans of data aren't, byte by byte, those of the same length in `other`."""
+    a, b = Lanes(data), Lanes(other)
+    out = np.zeros(len(starts), bool)
+    long = lengths > LONG_WORD
+    for i in np.flatnonzero(long):
+        out[i] = not np.array_equal(data[starts[i] : starts[i] + lengths[i]], other[begins[i] : begins[i] + lengths[i]])
+    alive = np.flatnonzero((lengths > 0) & ~long)
+    for j in range(0, LONG_WORD, 8):
+        alive = alive[lengths[alive] > j] if j else alive
+        if not len(alive):
+            break
+        left = lengths[alive] - j
+        out[alive] |= a.at(starts[alive] + j, left) != b.at(begins[alive] + j, left)
+    return out
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -123,5 +156,4 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     cuts = cuts[(folded[cuts - 1] != 0) & (folded[cuts] != 0)]
     begin[cuts], end[cuts - 1] = True, True
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    hashes = span_hashes(prefix_sums(byte_values(folded)), starts, ends)
-    return rehash_long(hashes, folded, starts, ends), np.searchsorted(starts, offsets)
+    return bytes_hashes(folded, starts, ends), np.searchsorted(starts, offsets)

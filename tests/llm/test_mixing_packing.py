@@ -40,6 +40,51 @@ def test_long_words_that_collide_in_a_polynomial_get_their_own_ids():
         a, b = a + b, b + a
 
 
+PAIR = "IlIlllllllllllllllIllIIlIIIIllIlllllIllIIllIIIllllllIllIllllllll", "lIlIIlIllIlIIllIIIllIlllllllIIlIlIIlllIlllllllIIlIIIllllIllIIlIl"
+
+
+def test_words_with_one_polynomial_hash_get_their_own_ids():
+    tokenizer, encoder = Tokenizer.from_file(PATH), packing.WordIds(PATH)
+    texts = [f"a {PAIR[0]} b", f"a {PAIR[1]} b", " ".join(PAIR), PAIR[1]]
+    data, offsets = packing.text_buffer(__import__("pyarrow").array(texts))
+    ids, at = encoder.encode(data, offsets)
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("bits", [0, 3, 9])
+def test_ids_are_right_whatever_words_share_a_hash(bits):
+    tokenizer, encoder = Tokenizer.from_file(PATH), packing.WordIds(PATH)
+    encoder.hashes = lambda data, starts, ends: packing.bytes_hashes(data, starts, ends) & np.uint64((1 << bits) - 1)
+    rng = np.random.Generator(np.random.PCG64(1))
+    texts = [" ".join("".join("abcdeé"[k] for k in rng.integers(0, 6, rng.integers(1, 12))) for _ in range(20)) for _ in range(60)] + [t or "" for t in ODD[:-1]] + ["x" * 700 + " y", "x" * 701 + " y", "z " + "x" * 700]
+    for part in (texts[:30], texts[20:], texts):
+        data, offsets = packing.text_buffer(__import__("pyarrow").array(part))
+        ids, at = encoder.encode(data, offsets)
+        for i, t in enumerate(part):
+            assert ids[at[i] : at[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_hashes_of_spans():
+    from quarryline.llm import spans
+
+    rng = np.random.Generator(np.random.PCG64(2))
+    data = rng.integers(0, 3, 5000, dtype=np.uint8)
+    starts = rng.integers(0, 4000, 3000)
+    ends = starts + np.where(rng.random(3000) < 0.05, rng.integers(0, 900, 3000), rng.integers(0, 20, 3000))
+    by_content = {}
+    for h, a, b in zip(spans.bytes_hashes(data, starts, ends).tolist(), starts, ends, strict=True):
+        assert by_content.setdefault(h, data[a:b].tobytes()) == data[a:b].tobytes()
+    assert len(by_content) == len({data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)})
+    values = data.astype(np.uint64)
+    wide = spans.span_hashes(values, starts, ends).tolist()
+    assert len(set(wide)) == len(by_content)
+    other = np.concatenate([np.full(7, 9, np.uint8), data])
+    assert not spans.differing(data, starts, other, starts + 7, ends - starts).any()
+    other[7 + starts] ^= 1
+    assert spans.differing(data, starts, other, starts + 7, ends - starts)[ends > starts].all()
+
+
 def test_packing_covers_every_token_once(spark):
     tokenizer = Tokenizer.from_file(PATH)
     texts = ODD + [f"text number {i} " + "lorem ipsum dolor " * (i % 90) for i in range(150)]

@@ -136,12 +136,24 @@ def test_language_of_held_out_documents(spark):
     assert np.mean([r.rejected for r in found]) <= 0.01
 
 
-def test_unknown_script_is_rejected_and_short_text_kept(spark):
+def test_unknown_script_and_ties_are_rejected_and_short_text_kept(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    coders = [(lang, langid.coder(data)) for lang, data in langid.fit_dictionaries(docs).items()]
+    tables = langid.fit_dictionaries(docs)
     rng = random.Random(1)
     cyrillic = " ".join("".join(rng.choice("абвгдежзийклмнопрст") for _ in range(6)) for _ in range(300))
-    assert langid._one(cyrillic, coders)[3] and not langid._one("That it.", coders)[3]
+    texts = [cyrillic, "ελληνικά κείμενο", "日本語のテキスト", "qzxj wvkq xxzq", "That it was the.", "the and of the", cyrillic[:20], cyrillic[:500]]
+    out = {r.doc_id: r for r in langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tables).collect()}
+    assert [out[i].rejected for i in range(8)] == [True, True, True, True, False, False, True, True]
+    kept = langid.keep_identified(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tables)
+    assert sorted(r.doc_id for r in kept.collect()) == [4, 5]
+    whole = langid.identify(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), tables).filter("margin = 0 AND NOT rejected")
+    assert whole.isEmpty()
+
+
+def letters(text):
+    import regex
+
+    return " " + regex.sub(r"[^\p{L}\p{M}]+", " ", (text or "").lower()).lstrip() + " "
 
 
 def test_language_against_plain_compression(spark):
@@ -150,11 +162,11 @@ def test_language_against_plain_compression(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     tables = langid.fit_dictionaries(docs)
     long = "Und der " * 400_000 + "und die"  # over 3 MB, over many pieces
-    texts = [r.text for r in docs.limit(60).collect()] + [long, "x", "½ ² ① 12", "αβγ", "the und", None]
+    texts = [r.text for r in docs.limit(60).collect()] + [long, "x", "½ ² ① 12", "αβγ", "the und", None, "", "नमस्ते दुनिया"]
     out = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tables).collect()
     for r in sorted(out, key=lambda r: r.doc_id):
-        text = texts[r.doc_id]
-        if not text or not any(c.isalpha() for c in text):
+        text = letters(texts[r.doc_id])
+        if not text.strip():
             assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
             continue
         sizes = []
@@ -163,10 +175,28 @@ def test_language_against_plain_compression(spark):
             log = min(max(17, len(data).bit_length() - 1), 24)
             params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, min_match=4, search_log=4, hash_log=log, chain_log=log, window_log=log + 2, write_content_size=False, write_checksum=False, write_dict_id=False)
             kept.precompute_compress(compression_params=params)
-            sizes.append(sum(len(zstandard.ZstdCompressor(dict_data=kept, compression_params=params).compress(text.lower()[i : i + 2000].encode())) for i in range(0, len(text.lower()), 2000)))
+            sizes.append(sum(len(zstandard.ZstdCompressor(dict_data=kept, compression_params=params).compress(text[i : i + 2000].encode() * 4)) for i in range(0, len(text), 2000)))
         best, second = sorted(sizes)[:2]
         assert r.lang_pred == list(tables)[sizes.index(best)]
-        assert r.margin == pytest.approx((second - best) / second) and r.rejected == ((second - best + 1) / second < langid.MIN_MARGIN)
+        assert r.margin == pytest.approx((second - best) / second) and r.rejected == ((second - best) / second < langid.MIN_MARGIN)
+
+
+def test_a_label_under_one_repeated_id_or_text_is_learned(spark):
+    rng = random.Random(2)
+    words = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
+    rows = [(7, words("abcd"), "one", "s", 0) for _ in range(3000)] + [(8, "efgh hgfe " * 20, "two", "s", 0)] * 3000 + [(i, words("mnop"), "three", "s", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    tables = langid.fit_dictionaries(docs)
+    assert sorted(tables) == ["one", "three", "two"]
+    assert max(map(len, tables.values())) <= langid.SAMPLE_PIECES * langid.PIECE_CHARS
+
+
+def test_every_piece_of_a_long_text_can_be_learned(spark):
+    rng = random.Random(3)
+    parts = ["".join(rng.choice("abcdefgh ") for _ in range(1990)) + f" mark{chr(97 + i)} " for i in range(20)]
+    docs = spark.createDataFrame([(1, "".join(parts), "en", "s", 0)], DOCS)
+    data = langid.fit_dictionaries(docs)["en"].decode()
+    assert all(f"mark{chr(97 + i)}" in data for i in range(20))
 
 
 def test_every_label_is_learned(spark):
