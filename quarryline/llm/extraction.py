@@ -4,10 +4,14 @@ A page becomes a list of text blocks, and one node for each of its articles and
 outside them. Each gets two costs from a fixed linear classifier: that of being called content
 and that of being called boilerplate; they are the capacities of its edges to the two terminals.
 A block's costs come from its own words, links, tag and names; what an article says of its blocks
-is said by the article's node, to which smoothness edges join them. Only elements that are never
-main text (nav, form and the like) are certain; names of classes are costs among others. Blocks
-that follow each other, and blocks with a common parent element, are joined by smoothness edges
-too. The minimum cut is the labelling of least total cost.
+is said by the article's node, to which smoothness edges join them. An article within an article,
+and a part of one that is named as readers' comments, has a node of its own. Only elements that are
+never main text (nav, controls of forms and the like) are certain, and header, aside, dialog and form
+only for what no article or main within them holds; a form around most of a page's text is its frame
+and says nothing. Names of classes are costs among others. Blocks that follow each other, and blocks
+with a common parent element, are joined by smoothness edges too. The minimum cut is the labelling
+of least total cost. Of a page that would be left without text, the likeliest block is taken for
+certain and the cut made anew.
 
 Nodes whose terminal costs differ by more than all their smoothness edges can carry are settled
 first (they keep that label in every minimum cut); max-flow runs over what is left.
@@ -34,13 +38,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSED_BY = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th", "th": "td th", "option": "option"}
 CONTAINER = frozenset("ul ol dl table body article section div main".split())
 
-BOILERPLATE_ELEMENTS = frozenset("nav footer aside form menu dialog".split())
+BOILERPLATE_ELEMENTS = frozenset("nav footer menu label legend".split())
+#: Boilerplate but for the articles they hold. What such an article says counts like that of one
+#: with a boilerplate name around it, but for a form.
+SOFT_ELEMENTS = frozenset("aside dialog header form".split())
 #: What class, id and role values that name a part of a page are or end with (fixed values).
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus "
     "dropdown feedback footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination pager popup promo promoted promotion "
     "related replies reply respond rss search share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets alert".split()
 )
+#: Those of them that name what readers wrote.
+READER_WORDS = frozenset("comment comments commentlist disqus replies reply respond feedback".split())
 #: Last parts of names that tell a shape only: the part before counts. Names with one of STATES
 #: tell what a page has elsewhere (has-sidebar).
 SHAPES = frozenset("area bar block box buttons container group inner item items links list panel section wrap wrapper".split())
@@ -70,7 +79,8 @@ class Block:
     linked: int  # characters of text in links
     parent: int  # number of the parent element
     tag: str
-    article: int  # number of the outermost article element around it, or 0
+    article: int  # number of the article, or part of one, around it, or 0
+    form: int  # number of the form around it, outside articles, or 0
     boilerplate: bool  # for certain
     named_boilerplate: bool
     around: bool  # what stands around its article has a boilerplate name
@@ -83,6 +93,8 @@ class Element:
     number: int
     hidden: bool = False
     boilerplate: bool = False
+    soft: bool = False  # boilerplate, but for articles
+    form: int = 0
     article: int = 0
     named_boilerplate: bool = False
     around: bool = False
@@ -104,7 +116,7 @@ def blocks_of(page: str) -> list[Block]:
             text = _SPACE.sub(" ", "".join(parts)).strip()
             if text:
                 own = next(e for e in reversed(stack) if e.tag in BLOCK or not e.tag)
-                out.append(Block(text, min(linked, len(text)), own.number, own.tag, own.article, stack[-1].boilerplate, stack[-1].named_boilerplate, stack[-1].around, own.named_content))
+                out.append(Block(text, min(linked, len(text)), own.number, own.tag, own.article, own.form, stack[-1].boilerplate or stack[-1].soft, stack[-1].named_boilerplate, stack[-1].around, own.named_content))
             parts.clear()
             linked = 0
 
@@ -167,21 +179,32 @@ def blocks_of(page: str) -> list[Block]:
         top = stack[-1]
         number += 1
         element = Element(
-            tag, number, top.hidden or tag in HIDDEN, top.boilerplate or tag in BOILERPLATE_ELEMENTS, top.article or number * (tag in ("article", "main")),
+            tag, number, top.hidden or tag in HIDDEN, top.boilerplate or tag in BOILERPLATE_ELEMENTS, top.soft, top.form, top.article,
             top.named_boilerplate, top.around, top.named_content, top.link or tag == "a",
         )
-        if tag in ("article", "main") and top.named_boilerplate:
-            element.named_boilerplate, element.around = False, True
-        if tag == "header" and not top.article:
-            element.boilerplate = True
+        if tag == "article" or (tag == "main" and not top.article):
+            # an article stands for itself, whatever is said of what is around it
+            element.article = number
+            element.around = top.around or top.named_boilerplate or top.soft
+            element.named_boilerplate = element.soft = False
+            element.form = 0
+        elif tag == "form" and not top.article and not top.soft:
+            element.form = number
+        elif tag in SOFT_ELEMENTS and not (tag == "header" and top.article):
+            element.soft = True
         if attributes and tag not in ("html", "body"):
             found_attributes = attributes_of(attributes)
             if _unseen(found_attributes):
                 element.hidden = True
             names = [n for a in ("class", "id", "role") for n in found_attributes.get(a, "").lower().split()]
             words = {w for n in names for w in _WORD.findall(n)}
-            if any(map(_names_boilerplate, names)) and tag not in ("article", "main"):
+            if tag in ("article", "main"):
+                if top.article and any(_names_boilerplate(n, READER_WORDS) for n in names):
+                    element.around = True
+            elif any(map(_names_boilerplate, names)):
                 element.named_boilerplate = True
+                if top.article and any(_names_boilerplate(n, READER_WORDS) for n in names):
+                    element.article, element.around = number, True
             elif words & CONTENT_WORDS and not words & BOILERPLATE_WORDS:
                 element.named_content = True
         if not attributes.endswith("/") or tag in BLOCK or tag in RAW:
@@ -211,13 +234,13 @@ def _unseen(attributes: dict[str, str]) -> bool:
     return attributes.get("aria-hidden", "").strip().lower() == "true" or bool(_DISPLAY_NONE.search(attributes.get("style", "")))
 
 
-def _names_boilerplate(name: str) -> bool:
+def _names_boilerplate(name: str, words: frozenset[str] = BOILERPLATE_WORDS) -> bool:
     parts = _WORD.findall(name)
     if STATES.intersection(parts):
         return False
     while len(parts) > 1 and parts[-1] in SHAPES:
         parts.pop()
-    return bool(parts) and parts[-1] in BOILERPLATE_WORDS
+    return bool(parts) and parts[-1] in words
 
 
 def _close_implied(stack: list[Element], tag: str) -> None:
@@ -234,15 +257,16 @@ def _close_implied(stack: list[Element], tag: str) -> None:
             return
 
 
-def score(block: Block, plain: bool = False) -> float:
+def score(block: Block, plain: bool = False, frame: int = 0) -> float:
     """Log-odds of being content. plain: the page has an article with no boilerplate name
-    around it, which makes those with such a name comments or teasers."""
+    around it, which makes those with such a name comments or teasers. frame: the form around
+    most of the page's text."""
     if block.boilerplate:
         return -CERTAIN
     words = block.text.count(" ") + 1
     share = block.linked / max(len(block.text), 1)
     s = BIAS + WORDS * math.log1p(words) - LINKS * share
-    if block.named_boilerplate or (block.around and plain):
+    if block.named_boilerplate or (block.around and plain) or (block.form and block.form != frame):
         s -= BOILERPLATE_NAME
     if block.tag == "p":
         s += PARAGRAPH
@@ -275,15 +299,41 @@ def network(blocks: list[Block]) -> tuple[list[float], list[tuple[int, int, floa
     and one for the outside, on pages that have an article."""
     articles = [b for b in blocks if b.article and not b.boilerplate]
     plain = any(not b.around for b in articles)
-    scores, edges = [score(b, plain) for b in blocks], smoothness(blocks)
+    frame = _frame(blocks)
+    scores, edges = [score(b, plain, frame) for b in blocks], smoothness(blocks)
     if not articles:
         return scores, edges
     sizes = Counter(b.article for b in blocks)
+    around = {b.article for b in blocks if b.around and plain}
     place = {k: len(blocks) + i for i, k in enumerate(sizes)}
-    scores += [n * (ARTICLE if k else OUTSIDE) for k, n in sizes.items()]
+    scores += [n * (ARTICLE if k and k not in around else OUTSIDE) for k, n in sizes.items()]
     return scores, edges + [(i, place[b.article], MEMBER) for i, b in enumerate(blocks)]
 
 
+def _frame(blocks: list[Block]) -> int:
+    """The form that holds over half of the text outside menus and the like, or 0."""
+    sizes: Counter[int] = Counter()
+    for b in blocks:
+        if not b.boilerplate and not b.named_boilerplate:
+            sizes[b.form] += len(b.text) - b.linked
+    form, size = max(sizes.items(), key=lambda x: (x[1], -x[0]), default=(0, 0))
+    return form if 2 * size > sizes.total() else 0
+
+
+def content_blocks(blocks: list[Block]) -> list[bool]:
+    """Which blocks are content by the minimum cut; where none would be, the one of the best score
+    that is no link, has no boilerplate name and isn't boilerplate for certain, and what goes with it."""
+    scores, edges = network(blocks)
+    keep = minimum_cut(scores, edges)[: len(blocks)]
+    if any(keep):
+        return keep
+    able = [i for i, b in enumerate(blocks) if not b.boilerplate and not b.named_boilerplate and not b.around and 2 * b.linked < len(b.text)]
+    if not able:
+        return keep
+    scores[max(able, key=lambda i: (scores[i], -i))] = CERTAIN
+    return minimum_cut(scores, edges)[: len(blocks)]
+
+
 def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """True for the blocks on the content side of a minimum cut; of several such cuts the one
     with the most blocks on the content side."""
@@ -390,8 +440,7 @@ def _max_flow(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bo
 def main_text(page: str | None) -> str:
     """The content blocks of a page, one per line; '' for a null or empty page."""
     blocks = blocks_of(page or "")
-    keep = minimum_cut(*network(blocks))
-    return "\n".join(b.text for b, k in zip(blocks, keep, strict=False) if k)
+    return "\n".join(b.text for b, k in zip(blocks, content_blocks(blocks), strict=True) if k)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,7 +456,8 @@ def extract_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
     """page_id, url, text, n_chars per row of pages; nothing is shuffled.
 
     A null html is an empty page with an empty text. Tags and references that the page's end
-    cuts off are dropped or left as they stand. Rows that repeat a page_id are pages each.
+    cuts off are dropped or left as they stand. Rows that repeat a page_id are pages each. Columns
+    other than page_id, url and the html play no part.
     """
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     return pages.select("page_id", "url", html_column).mapInArrow(_run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -81,6 +81,56 @@ def test_the_cut_changes_labels_that_the_signs_alone_get_wrong(sf):
     assert x.main_text(page) == f"{TEXT}\nYes.\nNo\n{TEXT}"
 
 
+@pytest.mark.parametrize("page, text", [
+    # a form that frames the page, with and without an article in it
+    (f'<body><form id="aspnetForm" action="/"><nav><a href=/>Home</a></nav><article>{BODY}</article><label>Name</label></form></body>', TEXT),
+    (f'<body><form id="aspnetForm"><div id="menu"><a href=/>Home</a></div><div id="content">{BODY}{BODY}</div><label>Search this site</label></form><form><p>Leave your name</p></form></body>', f"{TEXT}\n{TEXT}"),
+    (f"<body><header><article>{BODY}</article></header></body>", TEXT),
+    (f"<body><header><h1>The site</h1></header><article>{BODY}</article></body>", TEXT),
+    (f"<body><dialog open><article>{BODY}</article></dialog></body>", TEXT),
+    (f"<body><article>{BODY}</article><aside><article>{BODY}</article></aside></body>", TEXT),
+    ("<body><p>Hello world.</p></body>", "Hello world."),
+    ("<p>One.</p>", "One."),
+    ("<body><nav><a href=/>Home</a></nav><p>Gone.</p><footer>2020</footer></body>", "Gone."),
+    ("<body><nav><a href=/>Home</a></nav><ul><li><a href=a>Next</a></li></ul><footer>2020</footer></body>", ""),
+])
+def test_frames_and_short_pages(page, text):
+    assert x.main_text(page) == text
+
+
+LONG_COMMENT = "<p>" + "I have read all of this great article twice and will do so again. " * 12 + "</p>"
+
+
+@pytest.mark.parametrize("comments", [
+    '<section id="comments"><article class="comment"><p>I have read all of this great article twice.</p></article><article class="comment"><p>So have I.</p></article></section>',
+    f'<section id="comments"><article class="comment">{LONG_COMMENT}</article></section>',
+    f'<div class="post-comments"><div>{LONG_COMMENT}</div>{LONG_COMMENT}</div>',
+    f'<article class="comment">{LONG_COMMENT}</article><article class="reply comment">{LONG_COMMENT}</article>',
+    f'<ol class="commentlist"><li>{LONG_COMMENT}</li><li>{LONG_COMMENT}</li></ol>',
+    f'<form><label>Comment</label>{LONG_COMMENT}<input type=submit></form>',
+])
+def test_comments_within_the_article_go(comments):
+    assert x.main_text(f"<body><article>{BODY}{BODY}{comments}</article></body>") == f"{TEXT}\n{TEXT}"
+    assert x.main_text(f"<body><main><article>{BODY}{BODY}</article>{comments}</main></body>") == f"{TEXT}\n{TEXT}"
+
+
+def test_articles_within_an_article_and_in_main_stay():
+    assert x.main_text(f"<main>{BODY}<article>{BODY}</article></main>") == f"{TEXT}\n{TEXT}"
+    assert x.main_text(f"<article>{BODY}<article>{BODY}</article></article>") == f"{TEXT}\n{TEXT}"
+
+
+def test_a_very_long_page():
+    body = "".join(f"<p>Part {i} of a very long page with some words in it.</p>" for i in range(20_000))
+    text = x.main_text(f"<body><nav><a href=/>Home</a></nav><article>{body}</article><footer>x</footer></body>")
+    assert text.count("\n") == 19_999 and text.startswith("Part 0 ") and text.endswith("in it.")
+
+
+def test_columns_with_clashing_names(spark):
+    wide = "page_id long, url string, html string, text string, n_chars string, link int"
+    rows = spark.createDataFrame([(1, "u", f"<article>{BODY}</article>", "x", "y", 1)], wide)
+    assert [tuple(r) for r in x.extract_text(rows).collect()] == [(1, "u", TEXT, len(TEXT))]
+
+
 def test_formulas_stay():
     assert x.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold for all of this.</p></article>") == "Let x=1 hold for all of this."
 
