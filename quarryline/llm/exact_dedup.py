@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import HEAVY_SHARE, heavy_values, materialize, text_or_empty, unused, without_ids
+from .shared import HEAVY_SHARE, heavy_values, materialize, repeated_ids, text_or_empty, unused, with_ids, without_ids
 
 #: Characters that don't count when texts are compared.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -61,19 +61,22 @@ def duplicate_groups(docs: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
 def exact_dedup(docs: DataFrame, share: float = HEAVY_SHARE) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
-    Only the ids of dropped rows meet the texts again. Rows that repeat a doc_id are told
-    apart by their digest; of rows that repeat both, one stays.
+    Only the ids of dropped rows meet the texts again. Rows whose doc_id repeats, and no
+    others, are told apart by their digest; of rows that repeat both, one stays.
     """
     groups = materialize(duplicate_groups(docs, share), "groups")
-    if groups.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    repeated = repeated_ids(groups)
+    if repeated is None:
         return without_ids(docs, groups.filter("NOT kept").select("doc_id"))
-    return _with_repeated_ids(docs, groups)
+    keep = with_ids(groups.filter("kept").select("doc_id", "text_sha256"), repeated)
+    dropped = groups.filter("NOT kept").select("doc_id").unionByName(repeated)
+    return without_ids(docs, dropped).unionByName(_with_repeated_ids(with_ids(docs, repeated), keep))
 
 
-def _with_repeated_ids(docs: DataFrame, groups: DataFrame) -> DataFrame:
+def _with_repeated_ids(docs: DataFrame, keep: DataFrame) -> DataFrame:
     sha, size, rank, key, key_sha = unused(docs, "sha", "size", "rank", "key", "key_sha")
-    keep = groups.filter("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(key_sha))
     marked = docs.withColumn(sha, F.sha2(normalised("text"), 256)).withColumn(size, F.length(text_or_empty("text")))
+    keep = keep.toDF(key, key_sha)
     kept = marked.join(keep, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(sha) == F.col(key_sha)), "left_semi")
     order = Window.partitionBy("doc_id", sha).orderBy(F.desc(size))
     return kept.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).select(*docs.columns)

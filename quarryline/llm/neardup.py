@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import HEAVY_SHARE, Tables, heavy_values, materialize, text_or_empty, unused, without_ids
+from .shared import HEAVY_SHARE, heavy_values, materialize, repeated_ids, Tables, text_or_empty, unused, with_ids, without_ids
 from .spans import chunks, mix, span_hashes, text_buffer, word_hashes
 
 SHINGLE_WORDS = 5
@@ -377,8 +377,8 @@ def _labelled(docs: DataFrame, similarity: float) -> DataFrame:
     pairs = tables.save(_by_prefixes(open_, features, similarity), "more-pairs")
     links = tables.save(_links(pairs, features, similarity), "more-links")
     labels = tables.save(merged_labels(labels, links), "all-labels")
-    tables.drop_but(keys, labels)
-    return _classes(keys, labels)
+    tables.drop_but(keys, labels, heavy)
+    return _classes(keys, labels, heavy)
 
 
 def _most_popular(members: DataFrame) -> DataFrame:
@@ -448,30 +448,41 @@ def _by_prefixes(open_: DataFrame, features: DataFrame, similarity: float) -> Da
     return found.distinct()
 
 
-def _classes(keys: DataFrame, labels: DataFrame) -> DataFrame:
+def _classes(keys: DataFrame, labels: DataFrame, heavy: DataFrame) -> DataFrame:
+    """The class of every row. heavy: texts of many rows (at most 1 / HEAVY_SHARE), whose classes
+    are broadcast."""
     copies = keys.groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"))
     labelled = copies.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = materialize(labelled, "labelled")
     classes = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
     table = labelled.join(classes, "label").select("node", "label", "class_id", "class_size")
-    out = keys.join(table, "node")
+    table = materialize(table, "classes")
+    hot = F.broadcast(heavy.select(F.col("hot").alias("node")))
+    out = keys.join(F.broadcast(table.join(hot, "node", "left_semi")), "node")
+    out = out.unionByName(keys.join(hot, "node", "left_anti").join(table, "node"))
     return out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "node", "label")
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows that stay, one of each class, with all their columns: that with the smallest
-    doc_id (none: last), then the smallest node. Of rows that repeat both, one stays."""
+    doc_id (none: last), then the smallest node. Of rows that repeat both, one stays.
+
+    Rows are told apart by their id; only those whose id repeats meet their texts again.
+    """
     found = materialize(_labelled(docs, similarity).select("doc_id", "node", "label", "kept"), "near")
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    repeated = repeated_ids(found)
+    if repeated is None:
         return without_ids(docs, found.filter("NOT kept").select("doc_id"))
-    return _with_repeated_ids(docs, found)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node")))
+    keep = found.groupBy("label").agg(first.alias("first")).select(F.col("first.id").alias("doc_id"), F.col("first.node").alias("node"))
+    keep = with_ids(keep, repeated)
+    return without_ids(docs, found.filter("NOT kept").select("doc_id").unionByName(repeated)).unionByName(_with_repeated_ids(with_ids(docs, repeated), keep))
 
 
-def _with_repeated_ids(docs: DataFrame, found: DataFrame) -> DataFrame:
+def _with_repeated_ids(docs: DataFrame, keep: DataFrame) -> DataFrame:
     """An id doesn't tell rows apart, an id and a text do. Copies of a row go first, where
     they are read, so that no id and text fills a task."""
     node, key, key_node = unused(docs, "node", "key", "key_node")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("node").alias("node")))
-    keep = found.groupBy("label").agg(first.alias("first")).select(F.col("first.id").alias(key), F.col("first.node").alias(key_node))
     once = docs.withColumn(node, node_of("text")).dropDuplicates(["doc_id", node])
+    keep = keep.toDF(key, key_node)
     return once.join(keep, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(node) == F.col(key_node)), "left_semi").select(*docs.columns)

@@ -116,3 +116,15 @@ def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") ->
     """The rows of docs whose id isn't among those of dropped(id); nulls are equal to nulls."""
     (name,) = unused(docs, "dropped_id")
     return docs.join(dropped.toDF(name), F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id is among those of ids(id); nulls are equal to nulls."""
+    (name,) = unused(rows, "wanted_id")
+    return rows.join(ids.toDF(name), F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
+
+
+def repeated_ids(rows: DataFrame, id_col: str = "doc_id") -> DataFrame | None:
+    """The ids of several rows, as a table of one column, or None if there are none."""
+    found = materialize(rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(id_col), "repeated-ids")
+    return None if found.isEmpty() else found

@@ -103,3 +103,17 @@ def test_repeated_rows_leave_one(spark):
     for name, stage in corpus_pipeline.STAGES[1:3]:
         docs = stage(spark, docs, "")
     assert sorted(r.doc_id for r in docs.collect()) == [1, 6]
+
+
+@pytest.mark.parametrize("stage", ["exact dedup", "near dedup"])
+def test_one_repeated_id_moves_no_other_texts(spark, stage):
+    """The texts of rows with an id of their own stay where they are read."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"{rng.randrange(10**9)}" for _ in range(30)), "en", "s") for i in range(2000)] + [(5, "another text of id five", "en", "s")]
+    out = dict(corpus_pipeline.STAGES)[stage](spark, rows_of(spark, rows), "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    lines = plan[plan.index("Union") :].splitlines()[1:]
+    own = "\n".join(lines[: next(i for i, x in enumerate(lines) if x.lstrip(" ").startswith("+-") and x.index("+-") <= lines[0].index(":-"))])
+    # rows of ids of their own meet a broadcast table of ids; only the others are exchanged
+    assert re.search(r"BroadcastHashJoin .*LeftAnti", own) and "Exchange hashpartitioning" not in own and "Exchange hashpartitioning" in plan
+    assert Counter(r.doc_id for r in out.collect()) == Counter(r[0] for r in rows)
