@@ -1,7 +1,9 @@
 """The structural graph: name resolution, edges, traces, hubs, references, imports.
 
-nodes(id, kind, lang, name, path, start_line, end_line, seq), ids strings; refs(src, dst, name,
-path, line, kind, rev, resolution), dst null where the name is resolved at query time.
+nodes(repo, id, kind, lang, name, path, start_line, end_line, seq), ids strings; refs(repo, src,
+dst, name, path, line, kind, rev, resolution), dst null where the name is resolved at query time.
+A node is known by repo and id, and no name, import or edge leads from one repository to another.
+Tables of a single repository may do without the column repo.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.paths import under_prefix
-from quarryline.operators.rounds import table_between_rounds
+from quarryline.operators.rounds import Rounds, table_between_rounds
 from quarryline.schemas import SYMBOL_NODES, edge_kinds, node_kinds
 
 #: Confidence of edges (fixed values): exact, import, same file, other file, and the number of
@@ -22,49 +24,60 @@ MAX_CANDIDATES = 8
 DEFAULT_DEPTH, TRACE_LIMIT, HUB_LIMIT = 2, 64, 10
 
 
+def _repo(*tables: DataFrame) -> list[str]:
+    """The column that keeps repositories apart, if all tables have it."""
+    return ["repo"] if all("repo" in t.columns for t in tables) else []
+
+
 def resolve_names(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(src, dst, name, path, kind, line, confidence) of refs(src, name, path, kind, line).
+    """([repo,] src, dst, name, path, kind, line, confidence) of refs([repo,] src, name, path, kind, line).
 
     A candidate has the name and is a definition. Candidates in the ref's own file shadow the
     others. At most MAX_CANDIDATES are kept, latest first; confidence counts all. Both kinds of
     candidates are cut per name before they meet the refs, so a name with very many definitions
     costs no more than one with eight.
     """
-    defs = nodes.filter(F.col("kind").isin(*SYMBOL_NODES)).select("id", "name", F.col("path").alias("def_path"), "seq")
+    repo = _repo(refs, nodes)
+    defs = nodes.filter(F.col("kind").isin(*SYMBOL_NODES)).select(*repo, "id", "name", F.col("path").alias("def_path"), "seq")
 
     def best(keys: list[str]) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("seq"), "id"))
         total = defs.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
         return defs.withColumn("k", rank).filter(F.col("k") <= MAX_CANDIDATES).groupBy(*keys).agg(F.collect_list("id").alias("ids")).join(total, keys)
 
-    here = best(["name", "def_path"]).select("name", F.col("def_path").alias("path"), F.col("ids").alias("near"))
-    anywhere = best(["name"]).select("name", F.col("ids").alias("far"), "total")
-    own = refs.select("src", "name", "path", "kind", "line").join(here, ["name", "path"], "left").join(anywhere, "name")
+    here = best([*repo, "name", "def_path"]).select(*repo, "name", F.col("def_path").alias("path"), F.col("ids").alias("near"))
+    anywhere = best([*repo, "name"]).select(*repo, "name", F.col("ids").alias("far"), "total")
+    own = refs.select(*repo, "src", "name", "path", "kind", "line").join(here, [*repo, "name", "path"], "left").join(anywhere, [*repo, "name"])
     far = F.round(F.lit(OTHER_FILE) * F.least(F.lit(1.0), F.lit(float(FULL_CANDIDATES)) / F.col("total")), 6)
-    return own.select("src", F.explode(F.coalesce("near", "far")).alias("dst"), "name", "path", "kind", "line", F.when(F.col("near").isNotNull(), SAME_FILE).otherwise(far).alias("confidence"))
+    return own.select(*repo, "src", F.explode(F.coalesce("near", "far")).alias("dst"), "name", "path", "kind", "line", F.when(F.col("near").isNotNull(), SAME_FILE).otherwise(far).alias("confidence"))
 
 
 def edges_view(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(src, dst, kind, resolution, confidence, line) of all edges: files define symbols, direct
+    """([repo,] src, dst, kind, resolution, confidence, line) of all edges: files define symbols, direct
     refs, names resolved now, and refs that name their container instead (rev)."""
+    repo = _repo(refs, nodes)
     defines = nodes.filter(F.col("kind").isin(*SYMBOL_NODES) & F.col("path").isNotNull()).select(
-        F.concat(F.lit("file:"), "path").alias("src"), F.col("id").alias("dst"), F.lit("DEFINES").alias("kind"), F.lit("EXACT").alias("resolution"), F.lit(EXACT).alias("confidence"), F.col("start_line").alias("line")
+        *repo, F.concat(F.lit("file:"), "path").alias("src"), F.col("id").alias("dst"), F.lit("DEFINES").alias("kind"), F.lit("EXACT").alias("resolution"), F.lit(EXACT).alias("confidence"), F.col("start_line").alias("line")
     )
     conf = F.when(F.col("resolution") == "IMPORT", IMPORT).otherwise(EXACT)
-    direct = refs.filter("dst IS NOT NULL").select("src", "dst", "kind", "resolution", conf.alias("confidence"), "line")
+    direct = refs.filter("dst IS NOT NULL").select(*repo, "src", "dst", "kind", "resolution", conf.alias("confidence"), "line")
     named = resolve_names(refs.filter("dst IS NULL AND NOT coalesce(rev, false)"), nodes).withColumn("resolution", F.lit("TEXTUAL"))
     turned = resolve_names(refs.filter("dst IS NULL AND coalesce(rev, false)"), nodes).withColumn("resolution", F.lit("TEXTUAL"))
     cols = ["src", "dst", "kind", "resolution", "confidence", "line"]
-    swapped = turned.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *cols[2:])
-    return defines.unionByName(direct).unionByName(named.select(*cols)).unionByName(swapped)
+    swapped = turned.select(*repo, F.col("dst").alias("src"), F.col("src").alias("dst"), *cols[2:])
+    return defines.unionByName(direct).unionByName(named.select(*repo, *cols)).unionByName(swapped)
+
 
+def edges_from(edges: DataFrame, node: str, mask: str | None = None, repo: str | None = None) -> DataFrame:
+    return in_repo(_masked(edges, mask), repo).filter(F.col("src") == node)
 
-def edges_from(edges: DataFrame, node: str, mask: str | None = None) -> DataFrame:
-    return _masked(edges, mask).filter(F.col("src") == node)
 
+def edges_to(edges: DataFrame, node: str, mask: str | None = None, repo: str | None = None) -> DataFrame:
+    return in_repo(_masked(edges, mask), repo).filter(F.col("dst") == node)
 
-def edges_to(edges: DataFrame, node: str, mask: str | None = None) -> DataFrame:
-    return _masked(edges, mask).filter(F.col("dst") == node)
+
+def in_repo(rows: DataFrame, repo: str | None) -> DataFrame:
+    return rows if repo is None else rows.filter(F.col("repo") == repo)
 
 
 def _masked(edges: DataFrame, mask: str | None) -> DataFrame:
@@ -72,8 +85,9 @@ def _masked(edges: DataFrame, mask: str | None) -> DataFrame:
     return edges.filter(F.col("kind").isin(*kinds)) if kinds else edges
 
 
-def find_nodes(nodes: DataFrame, name: str | None = None, mask: str | None = None, prefix: str | None = None, limit: int = 20) -> DataFrame:
+def find_nodes(nodes: DataFrame, name: str | None = None, mask: str | None = None, prefix: str | None = None, limit: int = 20, repo: str | None = None) -> DataFrame:
     """Nodes of exactly this name, latest first; without a name, in order of insertion."""
+    nodes = in_repo(nodes, repo)
     kinds = node_kinds(mask)
     if kinds:
         nodes = nodes.filter(F.col("kind").isin(*kinds))
@@ -85,54 +99,59 @@ def find_nodes(nodes: DataFrame, name: str | None = None, mask: str | None = Non
 
 
 def trace(edges: DataFrame, seeds: DataFrame, mask: str | None = "CALLS", direction: str = "both", max_depth: int = DEFAULT_DEPTH) -> DataFrame:
-    """(seed, node, depth, src, dst, kind, confidence, line): breadth-first from every seed(seed).
+    """([repo,] seed, node, depth, src, dst, kind, confidence, line): breadth-first from every
+    seed([repo,] seed).
 
     A node is reported once per seed, at its least depth, by its first edge (src, dst, line order).
     All seeds advance together: one join and one anti join per level.
     """
     if direction not in ("out", "in", "both"):
         raise ValueError(direction)
-    own = _masked(edges, mask)
-    out = own.select(F.col("src").alias("at"), F.col("dst").alias("node"), "src", "dst", "kind", "confidence", "line")
-    back = own.select(F.col("dst").alias("at"), F.col("src").alias("node"), "src", "dst", "kind", "confidence", "line")
+    own, repo, rounds = _masked(edges, mask), _repo(edges, seeds), Rounds(edges.sparkSession)
+    if "repo" in edges.columns and not repo:
+        raise ValueError("seeds of a graph of repositories have a column repo")
+    out = own.select(*repo, F.col("src").alias("at"), F.col("dst").alias("node"), "src", "dst", "kind", "confidence", "line")
+    back = own.select(*repo, F.col("dst").alias("at"), F.col("src").alias("node"), "src", "dst", "kind", "confidence", "line")
     hops = {"out": out, "in": back, "both": out.unionByName(back)}[direction]
-    frontier = table_between_rounds(seeds.select("seed", F.col("seed").alias("node")).distinct())
+    frontier = rounds.save(seeds.select(*repo, "seed", F.col("seed").alias("node")).distinct())
     visited, found = frontier, None
     for depth in range(1, max_depth + 1):
-        reach = frontier.withColumnRenamed("node", "at").join(hops, "at")
+        reach = frontier.withColumnRenamed("node", "at").join(hops, [*repo, "at"])
         first = F.min(F.struct("src", "dst", "line", "kind", "confidence")).alias("e")
-        new = reach.join(visited, ["seed", "node"], "left_anti").groupBy("seed", "node").agg(first)
-        new = table_between_rounds(new.select("seed", "node", F.lit(depth).alias("depth"), "e.src", "e.dst", "e.kind", "e.confidence", "e.line"))
+        new = reach.join(visited, [*repo, "seed", "node"], "left_anti").groupBy(*repo, "seed", "node").agg(first)
+        new = rounds.save(new.select(*repo, "seed", "node", F.lit(depth).alias("depth"), "e.src", "e.dst", "e.kind", "e.confidence", "e.line"))
         found = new if found is None else found.unionByName(new)
-        frontier = new.select("seed", "node")
+        frontier = new.select(*repo, "seed", "node")
         visited = visited.unionByName(frontier)
     return found
 
 
 def with_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Names and paths of both ends, null where a node isn't known."""
-    end = lambda p: nodes.select(F.col("id").alias(p), F.col("name").alias(f"{p}_name"), F.col("path").alias(f"{p}_path"))
-    return edges.join(end("src"), "src", "left").join(end("dst"), "dst", "left")
+    repo = _repo(edges, nodes)
+    end = lambda p: nodes.select(*repo, F.col("id").alias(p), F.col("name").alias(f"{p}_name"), F.col("path").alias(f"{p}_path"))
+    return edges.join(end("src"), [*repo, "src"], "left").join(end("dst"), [*repo, "dst"], "left")
 
 
 def hubs(edges: DataFrame, nodes: DataFrame | None = None, k: int = HUB_LIMIT) -> DataFrame:
-    """(id, degree) of the nodes with most CALLS edges in and out; files and modules don't count."""
-    ends = edges.filter("kind = 'CALLS'").select(F.explode(F.array("src", "dst")).alias("id"))
-    degree = ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    """([repo,] id, degree) of the nodes with most CALLS edges in and out; files and modules don't count."""
+    repo = _repo(edges)
+    ends = edges.filter("kind = 'CALLS'").select(*repo, F.explode(F.array("src", "dst")).alias("id"))
+    degree = ends.groupBy(*repo, "id").agg(F.count(F.lit(1)).alias("degree"))
     if nodes is not None:
-        degree = degree.join(nodes.filter(F.col("kind").isin(*SYMBOL_NODES)).select("id"), "id", "left_semi")
-    return degree.orderBy(F.desc("degree"), "id").limit(min(k, 64))
+        degree = degree.join(nodes.filter(F.col("kind").isin(*SYMBOL_NODES)).select(*repo, "id"), [*repo, "id"], "left_semi")
+    return degree.orderBy(F.desc("degree"), "id", *repo).limit(min(k, 64))
 
 
-def references(edges: DataFrame, nodes: DataFrame, name: str, path: str | None = None, limit: int = 50) -> DataFrame:
+def references(edges: DataFrame, nodes: DataFrame, name: str, path: str | None = None, limit: int = 50, repo: str | None = None) -> DataFrame:
     """Incoming CALLS, INHERITS and IMPORTS edges of all nodes of a name; with a path, of those
     in it if there are any."""
-    named = nodes.filter(F.col("name") == name)
+    named, own = in_repo(nodes, repo).filter(F.col("name") == name), _repo(edges, nodes)
     if path:
         exact = named.filter(F.col("path") == path)
         named = exact if not exact.isEmpty() else named
-    hit = edges.filter(F.col("kind").isin("CALLS", "INHERITS", "IMPORTS")).join(named.select(F.col("id").alias("dst")), "dst", "left_semi")
-    return hit.orderBy("src", "dst", "line").limit(min(limit, 64))
+    hit = edges.filter(F.col("kind").isin("CALLS", "INHERITS", "IMPORTS")).join(named.select(*own, F.col("id").alias("dst")), [*own, "dst"], "left_semi")
+    return hit.orderBy("src", "dst", "line", *own).limit(min(limit, 64))
 
 
 def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -140,15 +159,16 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def apply_fragment(nodes: DataFrame, refs: DataFrame, new_nodes: DataFrame, new_refs: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Replaces all that files contributed; with no new rows it removes the files."""
-    keep = lambda d: d.join(paths.select("path"), "path", "left_anti")
+    """Replaces all that files of paths([repo,] path) contributed; with no new rows it removes the files."""
+    keep = lambda d: d.join(paths.select(*_repo(d, paths), "path"), [*_repo(d, paths), "path"], "left_anti")
     return keep(nodes).unionByName(new_nodes, allowMissingColumns=True), keep(refs).unionByName(new_refs, allowMissingColumns=True)
 
 
 def live_modules(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     """Nodes without modules that nothing imports."""
-    used = refs.filter("kind = 'IMPORTS'").select(F.col("dst").alias("id")).distinct()
-    modules = nodes.filter("kind = 'module'").join(used, "id", "left_semi")
+    repo = _repo(nodes, refs)
+    used = refs.filter("kind = 'IMPORTS'").select(*repo, F.col("dst").alias("id")).distinct()
+    modules = nodes.filter("kind = 'module'").join(used, [*repo, "id"], "left_semi")
     return nodes.filter("kind <> 'module'").unionByName(modules)
 
 
@@ -167,11 +187,44 @@ def enclosing(positions: DataFrame, defs: DataFrame, strict: bool = False) -> Da
 
 
 def containers(defs: DataFrame) -> DataFrame:
-    """(id, container): the smallest class, struct or interface strictly around a definition.
-    defs(path, id, kind, start, end)."""
-    outer = defs.filter(F.col("kind").isin("class", "struct", "interface")).select("path", F.col("id").alias("container"), F.col("start").alias("a"), F.col("end").alias("b"))
-    met = defs.join(outer, "path").filter((F.col("a") <= F.col("start")) & (F.col("b") >= F.col("end")) & (F.col("b") - F.col("a") > F.col("end") - F.col("start")))
-    return met.groupBy("path", "id").agg(F.min_by("container", F.struct(F.col("b") - F.col("a"), "container")).alias("container"))
+    """([repo,] path, id, container): the smallest class, struct or interface strictly around a
+    definition. defs([repo,] path, id, kind, start, end).
+
+    Definitions of a file nest or stand apart, as blocks of code do. In order of their starts, the
+    longer first, the containers that are open at a place form a stack; one fold over a file's
+    definitions keeps it, so the work is linear in the definitions but for their sort.
+    """
+    repo = _repo(defs)
+    schema = ", ".join([*(f"`{c}` {defs.schema[c].dataType.simpleString()}" for c in [*repo, "path", "id"]), "container string"])
+    ordered = defs.select(*repo, "path", "id", "start", "end", F.col("kind").isin("class", "struct", "interface").alias("holds"))
+    ordered = ordered.repartition(*repo, "path").sortWithinPartitions(*repo, "path", "start", F.desc("end"), F.desc("holds"), "id")
+    return ordered.mapInArrow(_innermost(len(repo) + 1), schema)
+
+
+def _innermost(n_keys: int):
+    def run(batches):
+        import pyarrow as pa
+
+        file, stack = None, []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            out = [[] for _ in range(n_keys + 2)]
+            for *own, id_, start, end, holds in zip(*columns, strict=True):
+                if own != file:
+                    file, stack = own, []
+                while stack and stack[-1][2] < end:
+                    # over: definitions of code nest or stand apart
+                    stack.pop()
+                around = next((c for c in reversed(stack) if c[2] - c[1] > end - start), None)
+                if around:
+                    for c, v in zip(out, [*own, id_, around[0]], strict=True):
+                        c.append(v)
+                if holds:
+                    stack.append((id_, start, end))
+            kinds = [*batch.schema.types[: n_keys + 1], pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [*batch.schema.names[: n_keys + 1], "container"])
+
+    return run
 
 
 #: Where calls, imports and bases stand, per language (patterns with the name as group 1). Of
@@ -239,13 +292,13 @@ def extract_refs(lines: DataFrame, chunks: DataFrame, blocks: DataFrame | None =
     at = out.select(F.concat_ws("\u0000", "repo", "path").alias("path"), F.col("line_no").alias("pos"), F.col("path").alias("file"), "repo", "name", "kind")
     inside = enclosing(at.select("path", "pos").distinct(), defs)
     # what an interface declares isn't called there
-    kinds = chunks.filter("kind_name = 'interface'").select(F.col("key").alias("inside"), F.lit(True).alias("declares"))
-    owned = at.join(inside, ["path", "pos"], "left").join(kinds, "inside", "left").filter("kind <> 'CALLS' OR declares IS NULL").withColumn("src", F.when(F.col("kind") == "IMPORTS", F.concat(F.lit("file:"), "file")).otherwise(F.coalesce("inside", F.concat(F.lit("file:"), "file"))))
+    kinds = chunks.filter("kind_name = 'interface'").select("repo", F.col("key").alias("inside"), F.lit(True).alias("declares"))
+    owned = at.join(inside, ["path", "pos"], "left").join(kinds, ["repo", "inside"], "left").filter("kind <> 'CALLS' OR declares IS NULL").withColumn("src", F.when(F.col("kind") == "IMPORTS", F.concat(F.lit("file:"), "file")).otherwise(F.coalesce("inside", F.concat(F.lit("file:"), "file"))))
     return owned.groupBy("repo", "src", "name", F.col("file").alias("path"), "kind").agg(F.min("pos").alias("line")).withColumn("rev", F.col("kind") == "CONTAINS")
 
 
 def module_prefixes(files: DataFrame) -> DataFrame:
-    """(prefix): names by which a repository's own files import each other, from its go.mod,
+    """([repo,] prefix): names by which a repository's own files import each other, from its go.mod,
     package.json and Cargo.toml files."""
     base = F.element_at(F.split("path", "/"), -1)
     name = (
@@ -253,12 +306,12 @@ def module_prefixes(files: DataFrame) -> DataFrame:
         .when(base == "package.json", F.get_json_object("text", "$.name"))
         .when(base == "Cargo.toml", F.regexp_replace(F.regexp_extract("text", r"(?ms)^\[package\].*?^\s*name\s*=\s*\"([^\"]+)\"", 1), "-", "_"))
     )
-    return files.select(name.alias("prefix")).filter("prefix <> ''").distinct()
+    return files.select(*_repo(files), name.alias("prefix")).filter("prefix <> ''").distinct()
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
-    """(src, name, dst, resolution, confidence): imports(src, name) to files(path) where one file
-    fits, else to a module.
+    """([repo,] src, name, dst, resolution, confidence): imports([repo,] src, name) to files([repo,]
+    path) where one file of the repository fits, else to a module.
 
     Names lose quotes, ./ and ../, a known module prefix(prefix) and crate::; dots and :: become
     slashes. A file fits if its path, or its path without extension, ends in the name. Every
@@ -266,30 +319,34 @@ def resolve_imports(imports: DataFrame, files: DataFrame, prefixes: DataFrame |
     beginnings meet the prefixes by an equi-join too.
     """
     name = F.regexp_replace(F.regexp_replace("name", r"^(?:\.{1,2}/)+", ""), r"^(?:crate|self|super)::", "")
-    rows = imports.select("src", "name").distinct().withColumn("wanted", name)
+    repo = _repo(imports, files)
+    key = [*repo, "src", "name"]
+    rows = imports.select(*key).distinct().withColumn("wanted", name)
     if prefixes is not None:
         parts = F.split("wanted", "/|::")
         begin = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-        own = rows.select("src", "name", F.explode(begin).alias("prefix")).join(prefixes.select("prefix").distinct(), "prefix")
-        longest = own.groupBy("src", "name").agg(F.max(F.length("prefix")).alias("cut"))
-        rows = rows.join(longest, ["src", "name"], "left").withColumn("wanted", F.when(F.col("cut").isNotNull(), F.regexp_replace(F.substring("wanted", F.col("cut") + 1, F.lit(1 << 20)), "^(?:/|::)", "")).otherwise(F.col("wanted")))
+        of = _repo(rows, prefixes)
+        own = rows.select(*key, F.explode(begin).alias("prefix")).join(prefixes.select(*of, "prefix").distinct(), [*of, "prefix"])
+        longest = own.groupBy(*key).agg(F.max(F.length("prefix")).alias("cut"))
+        rows = rows.join(longest, key, "left").withColumn("wanted", F.when(F.col("cut").isNotNull(), F.regexp_replace(F.substring("wanted", F.col("cut") + 1, F.lit(1 << 20)), "^(?:/|::)", "")).otherwise(F.col("wanted")))
     dotted = F.when(F.col("wanted").contains("/") | F.col("wanted").rlike(r"\.(?:h|c|hpp|js|ts|rb|py|go)$"), F.col("wanted")).otherwise(F.regexp_replace("wanted", r"::|\.", "/"))
     rows = rows.withColumn("wanted", dotted)
     parts = F.split("path", "/")
     suffix = lambda arr: F.transform(F.sequence(F.lit(1), F.size(arr)), lambda i: F.array_join(F.slice(arr, i, F.size(arr)), "/"))
     bare = F.split(F.regexp_replace("path", r"\.[^./]+$", ""), "/")
-    each = files.select("path", F.explode(F.array_distinct(F.concat(suffix(parts), suffix(bare)))).alias("wanted"))
-    one = each.groupBy("wanted").agg(F.min("path").alias("file"), F.countDistinct("path").alias("n")).filter("n = 1")
+    each = files.select(*repo, "path", F.explode(F.array_distinct(F.concat(suffix(parts), suffix(bare)))).alias("wanted"))
+    one = each.groupBy(*repo, "wanted").agg(F.min("path").alias("file"), F.countDistinct("path").alias("n")).filter("n = 1")
     # a single bare word is a standard module unless the importer said it is a file
     local = rows.withColumn("local", F.col("name").rlike(r"^\.|/|::|\."))
-    met = local.join(one, "wanted", "left").withColumn("hit", F.col("file").isNotNull() & F.col("local"))
-    return met.select("src", "name", F.when(F.col("hit"), F.concat(F.lit("file:"), "file")).otherwise(F.concat(F.lit("mod:"), "name")).alias("dst"), F.when(F.col("hit"), "IMPORT").otherwise("EXACT").alias("resolution"), F.when(F.col("hit"), IMPORT).otherwise(EXACT).alias("confidence"))
+    met = local.join(one, [*repo, "wanted"], "left").withColumn("hit", F.col("file").isNotNull() & F.col("local"))
+    return met.select(*key, F.when(F.col("hit"), F.concat(F.lit("file:"), "file")).otherwise(F.concat(F.lit("mod:"), "name")).alias("dst"), F.when(F.col("hit"), "IMPORT").otherwise("EXACT").alias("resolution"), F.when(F.col("hit"), IMPORT).otherwise(EXACT).alias("confidence"))
 
 
 def rewrite_imports(refs: DataFrame, resolved: DataFrame) -> DataFrame:
     """refs with the IMPORTS of resolve_imports() led to what they were resolved to; idempotent."""
-    found = resolved.select("src", "name", F.col("dst").alias("new_dst"), F.col("resolution").alias("new_resolution"), F.lit("IMPORTS").alias("kind"))
-    met = refs.join(found, ["src", "name", "kind"], "left")
+    repo = _repo(refs, resolved)
+    found = resolved.select(*repo, "src", "name", F.col("dst").alias("new_dst"), F.col("resolution").alias("new_resolution"), F.lit("IMPORTS").alias("kind"))
+    met = refs.join(found, [*repo, "src", "name", "kind"], "left")
     return met.withColumn("dst", F.coalesce("new_dst", "dst")).withColumn("resolution", F.coalesce("new_resolution", "resolution")).select(*refs.columns)
 
 
@@ -309,20 +366,20 @@ def build_graph(files: DataFrame, prefixes: DataFrame | None = None) -> tuple[Da
     blocks = chunkers.code_chunks(code.filter(F.col("lang").isin(*chunkers.MEMBER_BLOCKS)), chunkers.MEMBER_BLOCKS)
     lines = chunkers.line_rows(code).withColumn("lang", language_of("path"))
     said = extract_refs(lines, chunks, blocks)
-    said = said.select("src", F.when(F.col("kind") == "IMPORTS", F.concat(F.lit("mod:"), "name")).alias("dst"), "name", "path", "line", "kind", "rev", F.when(F.col("kind") == "IMPORTS", "EXACT").otherwise("TEXTUAL").alias("resolution"))
-    nested = containers(chunks.select("path", F.col("key").alias("id"), F.col("kind_name").alias("kind"), F.col("start_byte").alias("start"), F.col("end_byte").alias("end")))
-    starts = chunks.select(F.col("key").alias("id"), "start_line", F.col("symbol").alias("name"))
-    nested = nested.join(starts, "id").select(F.col("container").alias("src"), F.col("id").alias("dst"), "name", "path", F.col("start_line").alias("line"), F.lit("CONTAINS").alias("kind"), F.lit(False).alias("rev"), F.lit("EXACT").alias("resolution"))
+    said = said.select("repo", "src", F.when(F.col("kind") == "IMPORTS", F.concat(F.lit("mod:"), "name")).alias("dst"), "name", "path", "line", "kind", "rev", F.when(F.col("kind") == "IMPORTS", "EXACT").otherwise("TEXTUAL").alias("resolution"))
+    nested = containers(chunks.select("repo", "path", F.col("key").alias("id"), F.col("kind_name").alias("kind"), F.col("start_byte").alias("start"), F.col("end_byte").alias("end")))
+    starts = chunks.select("repo", F.col("key").alias("id"), "start_line", F.col("symbol").alias("name"))
+    nested = nested.join(starts, ["repo", "id"]).select("repo", F.col("container").alias("src"), F.col("id").alias("dst"), "name", "path", F.col("start_line").alias("line"), F.lit("CONTAINS").alias("kind"), F.lit(False).alias("rev"), F.lit("EXACT").alias("resolution"))
     refs = rewrite_imports(said, resolve_imports(said.filter("kind = 'IMPORTS'"), code, prefixes)).unionByName(nested)
     refs = table_between_rounds(refs)
-    numbered = code.select("path", "lang", order.alias("file_seq"))
-    symbols = chunks.drop("lang").join(numbered, "path").select(
-        F.col("key").alias("id"), F.col("kind_name").alias("kind"), "lang", F.col("symbol").alias("name"), "path", "start_line", "end_line", (F.col("file_seq") * (1 << 20) + F.col("start_line")).alias("seq")
+    numbered = code.select("repo", "path", "lang", order.alias("file_seq"))
+    symbols = chunks.drop("lang").join(numbered, ["repo", "path"]).select(
+        "repo", F.col("key").alias("id"), F.col("kind_name").alias("kind"), "lang", F.col("symbol").alias("name"), "path", "start_line", "end_line", (F.col("file_seq") * (1 << 20) + F.col("start_line")).alias("seq")
     )
     none = F.lit(None).cast("int")
-    as_files = numbered.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("file").alias("kind"), "lang", F.element_at(F.split("path", "/"), -1).alias("name"), "path", none.alias("start_line"), none.alias("end_line"), (F.col("file_seq") * (1 << 20)).alias("seq"))
-    modules = refs.filter("kind = 'IMPORTS' AND dst LIKE 'mod:%'").select(F.col("dst").alias("id")).distinct()
-    modules = modules.select("id", F.lit("module").alias("kind"), F.lit(None).cast("string").alias("lang"), F.substring("id", 5, 1 << 20).alias("name"), F.lit(None).cast("string").alias("path"), none.alias("start_line"), none.alias("end_line"), F.lit(0).cast("long").alias("seq"))
+    as_files = numbered.select("repo", F.concat(F.lit("file:"), "path").alias("id"), F.lit("file").alias("kind"), "lang", F.element_at(F.split("path", "/"), -1).alias("name"), "path", none.alias("start_line"), none.alias("end_line"), (F.col("file_seq") * (1 << 20)).alias("seq"))
+    modules = refs.filter("kind = 'IMPORTS' AND dst LIKE 'mod:%'").select("repo", F.col("dst").alias("id")).distinct()
+    modules = modules.select("repo", "id", F.lit("module").alias("kind"), F.lit(None).cast("string").alias("lang"), F.substring("id", 5, 1 << 20).alias("name"), F.lit(None).cast("string").alias("path"), none.alias("start_line"), none.alias("end_line"), F.lit(0).cast("long").alias("seq"))
     return symbols.unionByName(as_files).unionByName(modules), refs
 
 
@@ -330,29 +387,30 @@ def build_graph(files: DataFrame, prefixes: DataFrame | None = None) -> tuple[Da
 ENTRYPOINTS = ("main", "Main", "ServeHTTP", "Handler")
 
 
-def trace_path(nodes: DataFrame, edges: DataFrame, name: str, path: str | None = None, mask: str | None = "CALLS", direction: str = "both", max_depth: int = DEFAULT_DEPTH, limit: int = TRACE_LIMIT) -> DataFrame:
+def trace_path(nodes: DataFrame, edges: DataFrame, name: str, path: str | None = None, mask: str | None = "CALLS", direction: str = "both", max_depth: int = DEFAULT_DEPTH, limit: int = TRACE_LIMIT, repo: str | None = None) -> DataFrame:
     """trace() from the latest node of a name, of those under path if given, with one exactly at
     path before the others; at most `limit` hops, those of least depth first."""
-    found = nodes.filter(F.col("name") == name)
+    found, own = in_repo(nodes, repo).filter(F.col("name") == name), _repo(edges, nodes)
     if path:
         found = found.filter(under_prefix("path", path)).withColumn("exact", F.col("path") == path)
     else:
         found = found.withColumn("exact", F.lit(False))
-    seed = found.orderBy(F.desc("exact"), F.desc("seq")).limit(1).select(F.col("id").alias("seed"))
+    seed = found.orderBy(F.desc("exact"), F.desc("seq"), *own).limit(1).select(*own, F.col("id").alias("seed"))
     hops = trace(edges, seed, mask, direction, max_depth)
-    return with_endpoints(hops, nodes.select("id", "name", "path")).orderBy("depth", "src", "dst", "line").limit(min(limit, 256))
+    return with_endpoints(hops, nodes.select(*own, "id", "name", "path")).orderBy("depth", "src", "dst", "line").limit(min(limit, 256))
 
 
-def find_references(nodes: DataFrame, edges: DataFrame, lines: DataFrame, name: str, limit: int = 50) -> DataFrame:
-    """(source, path, line, src, text): the graph's references of a name; if it has none, the
+def find_references(nodes: DataFrame, edges: DataFrame, lines: DataFrame, name: str, limit: int = 50, repo: str | None = None) -> DataFrame:
+    """([repo,] source, path, line, src, text): the graph's references of a name; if it has none, the
     lines(path, line_no, line) that hold it as a whole word."""
-    hit = references(edges, nodes, name, limit=limit)
-    hit = hit.join(nodes.select(F.col("id").alias("src"), F.col("path").alias("path")), "src", "left")
-    graph = table_between_rounds(hit.select(F.lit("graph").alias("source"), "path", "line", "src", F.lit(None).cast("string").alias("text")))
+    own = _repo(edges, nodes, lines)
+    hit = references(edges, nodes, name, limit=limit, repo=repo)
+    hit = hit.join(nodes.select(*own, F.col("id").alias("src"), F.col("path").alias("path")), [*own, "src"], "left")
+    graph = table_between_rounds(hit.select(*own, F.lit("graph").alias("source"), "path", "line", "src", F.lit(None).cast("string").alias("text")))
     if not graph.isEmpty():
         return graph
-    word = lines.filter(F.col("line").rlike(rf"\b\Q{name}\E\b"))
-    return word.select(F.lit("grep").alias("source"), "path", F.col("line_no").alias("line"), F.lit(None).cast("string").alias("src"), F.col("line").alias("text")).orderBy("path", "line").limit(limit)
+    word = in_repo(lines, repo).filter(F.col("line").rlike(rf"\b\Q{name}\E\b"))
+    return word.select(*own, F.lit("grep").alias("source"), "path", F.col("line_no").alias("line"), F.lit(None).cast("string").alias("src"), F.col("line").alias("text")).orderBy("path", "line", *own).limit(limit)
 
 
 def language_mix(nodes: DataFrame) -> DataFrame:
@@ -360,18 +418,19 @@ def language_mix(nodes: DataFrame) -> DataFrame:
     return nodes.filter("kind = 'file'").groupBy("lang").agg(F.count(F.lit(1)).alias("files"))
 
 
-def architecture(nodes: DataFrame, edges: DataFrame, hub_limit: int = HUB_LIMIT, each: int = 8) -> DataFrame:
+def architecture(nodes: DataFrame, edges: DataFrame, hub_limit: int = HUB_LIMIT, each: int = 8, repo: str | None = None) -> DataFrame:
     """(part, name, path, kind, n): a repository at a glance. Parts: size, languages by number of
     files, hubs by degree, and of each of ENTRYPOINTS the latest definitions."""
+    nodes, edges, own = in_repo(nodes, repo), in_repo(edges, repo), _repo(nodes, edges)
     none = F.lit(None).cast("string")
     size = counts(nodes, edges)
     size = size.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in ("nodes", "edges")])).alias("s"))
     size = size.select(F.lit("size").alias("part"), "s.name", none.alias("path"), none.alias("kind"), "s.n")
     langs = language_mix(nodes).select(F.lit("language").alias("part"), F.col("lang").alias("name"), none.alias("path"), none.alias("kind"), F.col("files").alias("n"))
-    top = hubs(edges, nodes, hub_limit).join(nodes.select("id", "name", "path", "kind"), "id")
+    top = hubs(edges, nodes, hub_limit).join(nodes.select(*own, "id", "name", "path", "kind"), [*own, "id"])
     top = top.select(F.lit("hub").alias("part"), "name", "path", "kind", F.col("degree").alias("n"))
     begins = nodes.filter(F.col("name").isin(*ENTRYPOINTS) & F.col("kind").isin(*SYMBOL_NODES))
-    latest = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("seq")))
+    latest = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("seq"), *own))
     begins = begins.withColumn("k", latest).filter(F.col("k") <= each).select(F.lit("entrypoint").alias("part"), "name", "path", "kind", F.lit(None).cast("long").alias("n"))
     return size.unionByName(langs).unionByName(top).unionByName(begins)
 
@@ -379,12 +438,14 @@ def architecture(nodes: DataFrame, edges: DataFrame, hub_limit: int = HUB_LIMIT,
 def changed_symbols(hunks: DataFrame, outline: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 2, limit: int = 40) -> DataFrame:
     """(name, path, risk): symbols whose lines a diff touches (direct; at most half the limit when
     that is 4 or more), then what calls them or they call within depth (transitive)."""
+    own = _repo(hunks, outline, edges, nodes)
     spans = outline.filter("symbol IS NOT NULL").withColumn("line", F.explode(F.sequence("start_line", F.greatest("start_line", "end_line"))))
-    direct = spans.join(hunks.select("path", "line").distinct(), ["path", "line"], "left_semi").groupBy(F.col("symbol").alias("name"), "path").agg(F.min("start_line").alias("at"))
+    direct = spans.join(hunks.select(*own, "path", "line").distinct(), [*own, "path", "line"], "left_semi").groupBy(*own, F.col("symbol").alias("name"), "path").agg(F.min("start_line").alias("at"))
     budget = limit // 2 if limit >= 4 else limit
-    direct = table_between_rounds(direct.orderBy("path", "at", "name").limit(budget))
-    seeds = nodes.join(direct.select("name", "path"), ["name", "path"], "left_semi").select(F.col("id").alias("seed"))
-    reached = trace(edges, seeds, "CALLS", "both", depth).select(F.col("node").alias("id"), "depth").groupBy("id").agg(F.min("depth").alias("depth"))
-    indirect = reached.join(nodes, "id").join(direct.select("name", "path"), ["name", "path"], "left_anti").groupBy("name", "path").agg(F.min("depth").alias("depth"))
-    rest = indirect.orderBy("depth", "path", "name").limit(limit - budget)
-    return direct.select("name", "path", F.lit("direct").alias("risk")).unionByName(rest.select("name", "path", F.lit("transitive").alias("risk")))
+    direct = table_between_rounds(direct.orderBy("path", "at", "name", *own).limit(budget))
+    key = [*own, "name", "path"]
+    seeds = nodes.join(direct.select(*key), key, "left_semi").select(*own, F.col("id").alias("seed"))
+    reached = trace(edges, seeds, "CALLS", "both", depth).select(*own, F.col("node").alias("id"), "depth").groupBy(*own, "id").agg(F.min("depth").alias("depth"))
+    indirect = reached.join(nodes, [*own, "id"]).join(direct.select(*key), key, "left_anti").groupBy(*key).agg(F.min("depth").alias("depth"))
+    rest = indirect.orderBy("depth", "path", "name", *own).limit(limit - budget)
+    return direct.select(*key, F.lit("direct").alias("risk")).unionByName(rest.select(*key, F.lit("transitive").alias("risk")))

@@ -1,6 +1,7 @@
 """Code and markup files made from the part table, and what they hold.
 
-Part k becomes one file in one of the KINDS by k modulo their number. @k stands for k, @n for the
+Part k becomes one file in one of the KINDS by k modulo their number; every FORKED-th is in a second
+repository too, under the same path. @k stands for k, @n for the
 next part of the same kind, @p and @q for the packages of the two. DEFINITIONS and REFS list what
 stands in each template, line by line, so that SQL can state a chunker's or the graph's result
 without splitting code.
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGES = 20
+#: Which files the second repository, `fork`, holds.
+FORKED = 3
 
 #: (extension, language, text) by part number modulo their count.
 KINDS = [
@@ -292,12 +295,13 @@ def _filled(text: Column, key: Column) -> Column:
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """repo, path, text, key: a file for each part."""
+    """repo, path, text, key: a file for each part, and again for those in both repositories."""
     key = F.col("p_partkey").cast("long")
     which = F.pmod(key, F.lit(len(KINDS))).cast("int") + 1
     pick = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in KINDS]), which)
     path = _filled(F.concat(F.lit("pkg@p/sub/f@k."), pick(0)), key)
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lit("code").alias("repo"), path.alias("path"), _filled(pick(2), key).alias("text"), key.alias("key"))
+    repos = F.explode(F.when(key % FORKED == 0, F.array(F.lit("code"), F.lit("fork"))).otherwise(F.array(F.lit("code"))))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(repos.alias("repo"), path.alias("path"), _filled(pick(2), key).alias("text"), key.alias("key"))
 
 
 # --- the same in SQL -------------------------------------------------------------------------
@@ -313,23 +317,23 @@ def _filled_sql(text: str, key: str = "k") -> str:
 
 
 FILES_SQL = f"""kinds(i, ext, lang, template) AS (VALUES {", ".join(f"({i}, {_quoted(e)}, {_quoted(lang)}, {_quoted(t)})" for i, (e, lang, t) in enumerate(KINDS))}),
-code AS (SELECT p_partkey::BIGINT AS k, lang, {_filled_sql("'pkg@p/sub/f@k.' || ext", "p_partkey")} AS path, {_filled_sql("template", "p_partkey")} AS text FROM part JOIN kinds ON p_partkey % {len(KINDS)} = i)"""
+code AS (SELECT p_partkey::BIGINT AS k, repo, lang, {_filled_sql("'pkg@p/sub/f@k.' || ext", "p_partkey")} AS path, {_filled_sql("template", "p_partkey")} AS text FROM part JOIN kinds ON p_partkey % {len(KINDS)} = i JOIN (VALUES ('code'), ('fork')) AS r(repo) ON repo = 'code' OR p_partkey % {FORKED} = 0)"""
 
 
 def definitions_sql(langs: list[str], codes: dict[str, int], sections: bool) -> str:
-    """CTEs up to defs(k, lang, path, kind, kind_name, symbol, key, start_line, end_line, body).
+    """CTEs up to defs(k, repo, lang, path, kind, kind_name, symbol, key, start_line, end_line, body).
     sections: bodies keep their last line end."""
     rows = ", ".join(f"({_quoted(lang)}, {codes[kind]}, {_quoted(kind)}, {_quoted(symbol)}, {a}, {b})" for lang in langs for kind, symbol, a, b in DEFINITIONS[lang])
     end = " || CASE WHEN end_line < len(l) THEN chr(10) ELSE '' END" if sections else ""
     return f"""{FILES_SQL},
 known(lang, kind, kind_name, symbol, start_line, end_line) AS (VALUES {rows}),
-found AS (SELECT c.k, c.lang, c.path, d.kind, d.kind_name, {_filled_sql("d.symbol", "c.k")} AS symbol, d.start_line, d.end_line, string_split(c.text, chr(10)) AS l FROM code c JOIN known d ON c.lang = d.lang),
-defs AS (SELECT k, lang, path, kind, kind_name, symbol, path || '::' || kind || '::' || coalesce(symbol, '') || '#' || (row_number() OVER (PARTITION BY path, kind, symbol ORDER BY start_line) - 1) AS key,
+found AS (SELECT c.k, c.repo, c.lang, c.path, d.kind, d.kind_name, {_filled_sql("d.symbol", "c.k")} AS symbol, d.start_line, d.end_line, string_split(c.text, chr(10)) AS l FROM code c JOIN known d ON c.lang = d.lang),
+defs AS (SELECT k, repo, lang, path, kind, kind_name, symbol, path || '::' || kind || '::' || coalesce(symbol, '') || '#' || (row_number() OVER (PARTITION BY repo, path, kind, symbol ORDER BY start_line) - 1) AS key,
   start_line, end_line, array_to_string(l[start_line : end_line], chr(10)){end} AS body FROM found)"""
 
 
 def refs_sql() -> str:
-    """CTE refs(k, lang, path, src, name, kind, line) over code."""
+    """CTE refs(k, repo, lang, path, src, name, kind, line) over code."""
     rows = ", ".join(f"({_quoted(lang)}, {_quoted(symbol)}, {_quoted(name)}, {_quoted(kind)}, {line})" for lang, own in REFS.items() for symbol, name, kind, line in own)
     return f"""said(lang, symbol, name, kind, line) AS (VALUES {rows}),
-refs AS (SELECT c.k, c.lang, c.path, {_filled_sql("s.symbol", "c.k")} AS symbol, {_filled_sql("s.name", "c.k")} AS name, s.kind, s.line FROM code c JOIN said s ON c.lang = s.lang)"""
+refs AS (SELECT c.k, c.repo, c.lang, c.path, {_filled_sql("s.symbol", "c.k")} AS symbol, {_filled_sql("s.name", "c.k")} AS name, s.kind, s.line FROM code c JOIN said s ON c.lang = s.lang)"""

@@ -70,12 +70,6 @@ def c7_code_chunks(spark, sf):
     return _shown(chunkers.code_chunks(_files(spark, sf, *CODE)))
 
 
-@query(f"WITH {corpus.FILES_SQL} SELECT lang, count(*) AS files, sum(strlen(text))::BIGINT AS n_bytes FROM code GROUP BY lang")
-def g17_language_mix(spark, sf):
-    found = corpus.code_files(spark, sf).withColumn("lang", language_of("path"))
-    return found.groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("text").cast("long")).alias("n_bytes"))
-
-
 # --- the graph from files to answers ----------------------------------------------------------
 
 
@@ -91,62 +85,69 @@ def _edges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 #: defs, the refs said in code, what imports lead to, nested definitions, nodes and edges.
 GRAPH = f"""WITH {corpus.definitions_sql(CODE, KIND_CODE, False)}, {corpus.refs_sql()},
-owned AS (SELECT r.*, coalesce((SELECT min(d.key) FROM defs d WHERE d.path = r.path AND d.symbol = r.symbol AND d.start_line <= r.line AND d.end_line >= r.line), 'file:' || r.path) AS src FROM refs r),
-target AS (SELECT o.*, t.path AS hit FROM owned o LEFT JOIN code t ON o.kind = 'IMPORTS' AND o.lang <> 'go' AND o.name NOT IN ('os', 'stdio.h') AND t.k = o.k + {len(corpus.KINDS)}),
-nested AS (SELECT a.path, a.key AS dst, arg_min(b.key, b.end_line - b.start_line) AS src, any_value(a.symbol) AS name, any_value(a.start_line) AS line FROM defs a JOIN defs b ON a.path = b.path AND b.kind_name IN ('class', 'struct', 'interface')
-  AND b.start_line <= a.start_line AND b.end_line >= a.end_line AND b.key <> a.key GROUP BY a.path, a.key),
-all_refs AS (SELECT src, CASE WHEN kind = 'IMPORTS' THEN CASE WHEN hit IS NOT NULL THEN 'file:' || hit ELSE 'mod:' || name END END AS dst, name, path, line, kind, kind = 'CONTAINS' AS rev,
+owned AS (SELECT r.*, coalesce((SELECT min(d.key) FROM defs d WHERE d.repo = r.repo AND d.path = r.path AND d.symbol = r.symbol AND d.start_line <= r.line AND d.end_line >= r.line), 'file:' || r.path) AS src FROM refs r),
+target AS (SELECT o.*, t.path AS hit FROM owned o LEFT JOIN code t ON o.kind = 'IMPORTS' AND o.lang <> 'go' AND o.name NOT IN ('os', 'stdio.h') AND t.k = o.k + {len(corpus.KINDS)} AND t.repo = o.repo),
+nested AS (SELECT a.repo, a.path, a.key AS dst, arg_min(b.key, b.end_line - b.start_line) AS src, any_value(a.symbol) AS name, any_value(a.start_line) AS line FROM defs a JOIN defs b ON a.repo = b.repo AND a.path = b.path AND b.kind_name IN ('class', 'struct', 'interface')
+  AND b.start_line <= a.start_line AND b.end_line >= a.end_line AND b.key <> a.key GROUP BY a.repo, a.path, a.key),
+all_refs AS (SELECT repo, src, CASE WHEN kind = 'IMPORTS' THEN CASE WHEN hit IS NOT NULL THEN 'file:' || hit ELSE 'mod:' || name END END AS dst, name, path, line, kind, kind = 'CONTAINS' AS rev,
   CASE WHEN kind <> 'IMPORTS' THEN 'TEXTUAL' WHEN hit IS NOT NULL THEN 'IMPORT' ELSE 'EXACT' END AS resolution FROM target
-  UNION ALL SELECT src, dst, name, path, line, 'CONTAINS', FALSE, 'EXACT' FROM nested),
-nodes AS (SELECT key AS id, kind_name AS kind, lang, symbol AS name, path, k * 1048576 + start_line AS seq FROM defs
-  UNION ALL SELECT 'file:' || path, 'file', lang, split_part(path, '/', 3), path, k * 1048576 FROM code WHERE lang IN ({", ".join(f"'{x}'" for x in CODE)})
-  UNION ALL SELECT DISTINCT dst, 'module', NULL, dst[5:], NULL, 0 FROM all_refs WHERE dst LIKE 'mod:%'),
-cand AS (SELECT r.src, n.id AS dst, r.kind, r.rev, r.line, r.path, n.path AS def_path, count(*) OVER (PARTITION BY r.src, r.name, r.kind, r.path) AS total, max((n.path = r.path)::INT) OVER (PARTITION BY r.src, r.name, r.kind, r.path) AS near
-  FROM all_refs r JOIN nodes n ON r.dst IS NULL AND n.name = r.name AND n.kind IN ('function', 'method', 'class', 'struct', 'interface')),
-named AS (SELECT CASE WHEN rev THEN dst ELSE src END AS src, CASE WHEN rev THEN src ELSE dst END AS dst, kind, 'TEXTUAL' AS resolution, CASE WHEN near = 1 THEN 0.9 ELSE round(0.75 * least(1.0, 3.0 / total), 6) END::DOUBLE AS confidence, line FROM cand WHERE near = 0 OR def_path = path),
-edges AS (SELECT 'file:' || path AS src, key AS dst, 'DEFINES' AS kind, 'EXACT' AS resolution, 1.0::DOUBLE AS confidence, start_line AS line FROM defs
-  UNION ALL SELECT src, dst, kind, resolution, CASE WHEN resolution = 'IMPORT' THEN 0.95 ELSE 1.0 END::DOUBLE, line FROM all_refs WHERE dst IS NOT NULL
+  UNION ALL SELECT repo, src, dst, name, path, line, 'CONTAINS', FALSE, 'EXACT' FROM nested),
+nodes AS (SELECT repo, key AS id, kind_name AS kind, lang, symbol AS name, path, k * 1048576 + start_line AS seq FROM defs
+  UNION ALL SELECT repo, 'file:' || path, 'file', lang, split_part(path, '/', 3), path, k * 1048576 FROM code WHERE lang IN ({", ".join(f"'{x}'" for x in CODE)})
+  UNION ALL SELECT DISTINCT repo, dst, 'module', NULL, dst[5:], NULL, 0 FROM all_refs WHERE dst LIKE 'mod:%'),
+cand AS (SELECT r.repo, r.src, n.id AS dst, r.kind, r.rev, r.line, r.path, n.path AS def_path, count(*) OVER w AS total, max((n.path = r.path)::INT) OVER w AS near,
+  row_number() OVER (PARTITION BY r.repo, r.src, r.name, r.kind, r.path ORDER BY n.seq DESC, n.id) AS latest
+  FROM all_refs r JOIN nodes n ON r.dst IS NULL AND n.repo = r.repo AND n.name = r.name AND n.kind IN ('function', 'method', 'class', 'struct', 'interface') WINDOW w AS (PARTITION BY r.repo, r.src, r.name, r.kind, r.path)),
+named AS (SELECT repo, CASE WHEN rev THEN dst ELSE src END AS src, CASE WHEN rev THEN src ELSE dst END AS dst, kind, 'TEXTUAL' AS resolution, CASE WHEN near = 1 THEN 0.9 ELSE round(0.75 * least(1.0, 3.0 / total), 6) END::DOUBLE AS confidence, line
+  FROM cand WHERE (near = 0 AND latest <= 8) OR def_path = path),
+edges AS (SELECT repo, 'file:' || path AS src, key AS dst, 'DEFINES' AS kind, 'EXACT' AS resolution, 1.0::DOUBLE AS confidence, start_line AS line FROM defs
+  UNION ALL SELECT repo, src, dst, kind, resolution, CASE WHEN resolution = 'IMPORT' THEN 0.95 ELSE 1.0 END::DOUBLE, line FROM all_refs WHERE dst IS NOT NULL
   UNION ALL SELECT * FROM named)"""
 
 
-@query(f"{GRAPH} SELECT src, dst, name, path, line::INT AS line, kind, rev, resolution FROM all_refs")
+@query(f"{GRAPH} SELECT repo, src, dst, name, path, line::INT AS line, kind, rev, resolution FROM all_refs")
 def g1_graph_refs(spark, sf):
-    return _graph(spark, sf)[1].select("src", "dst", "name", "path", F.col("line").cast("int").alias("line"), "kind", "rev", "resolution")
+    return _graph(spark, sf)[1].select("repo", "src", "dst", "name", "path", F.col("line").cast("int").alias("line"), "kind", "rev", "resolution")
 
 
-@query(f"{GRAPH} SELECT id, kind, lang, name, path, seq::BIGINT AS seq FROM nodes")
+@query(f"{GRAPH} SELECT repo, id, kind, lang, name, path, seq::BIGINT AS seq FROM nodes")
 def g7_graph_nodes(spark, sf):
-    return _graph(spark, sf)[0].select("id", "kind", "lang", "name", "path", "seq")
+    return _graph(spark, sf)[0].select("repo", "id", "kind", "lang", "name", "path", "seq")
+
+
+@query(f"{GRAPH} SELECT lang, count(*) AS files FROM nodes WHERE kind = 'file' GROUP BY lang")
+def g17_language_mix(spark, sf):
+    return graph.language_mix(_graph(spark, sf)[0])
 
 
-@query(f"{GRAPH} SELECT src, dst, kind, resolution, confidence, line::INT AS line FROM edges")
+@query(f"{GRAPH} SELECT repo, src, dst, kind, resolution, confidence, line::INT AS line FROM edges")
 def g10_graph_edges(spark, sf):
     return _edges(spark, sf)[1].withColumn("line", F.col("line").cast("int"))
 
 
-@query(f"{GRAPH} SELECT src, name, dst, resolution FROM all_refs WHERE kind = 'IMPORTS'")
+@query(f"{GRAPH} SELECT repo, src, name, dst, resolution FROM all_refs WHERE kind = 'IMPORTS'")
 def g19_resolved_imports(spark, sf):
-    return _graph(spark, sf)[1].filter("kind = 'IMPORTS'").select("src", "name", "dst", "resolution")
+    return _graph(spark, sf)[1].filter("kind = 'IMPORTS'").select("repo", "src", "name", "dst", "resolution")
 
 
-@query(f"""{GRAPH}, seed AS (SELECT id FROM nodes WHERE name = 'help26'),
-calls AS (SELECT src AS a, dst AS b FROM edges WHERE kind = 'CALLS' UNION SELECT dst, src FROM edges WHERE kind = 'CALLS'),
+@query(f"""{GRAPH}, seed AS (SELECT id FROM nodes WHERE name = 'help26' AND repo = 'code'),
+calls AS (SELECT src AS a, dst AS b FROM edges WHERE kind = 'CALLS' AND repo = 'code' UNION SELECT dst, src FROM edges WHERE kind = 'CALLS' AND repo = 'code'),
 one AS (SELECT DISTINCT b AS node FROM calls JOIN seed ON a = id),
 two AS (SELECT DISTINCT b AS node FROM calls JOIN one ON a = node WHERE b NOT IN (SELECT node FROM one) AND b NOT IN (SELECT id FROM seed))
 SELECT node, 1::INT AS depth FROM one WHERE node NOT IN (SELECT id FROM seed) UNION ALL SELECT node, 2::INT FROM two""")
 def g15_trace_path(spark, sf):
     nodes, edges = _edges(spark, sf)
-    return graph.trace_path(nodes, edges, "help26", "pkg6/sub/f26.go").select("node", F.col("depth").cast("int").alias("depth"))
+    return graph.trace_path(nodes, edges, "help26", "pkg6/sub/f26.go", repo="code").select("node", F.col("depth").cast("int").alias("depth"))
 
 
-@query(f"{GRAPH} SELECT 'graph' AS source, n.path, e.line::INT AS line, e.src, NULL::VARCHAR AS text FROM edges e JOIN nodes n ON e.src = n.id WHERE e.dst IN (SELECT id FROM nodes WHERE name = 'help26') AND e.kind IN ('CALLS', 'INHERITS', 'IMPORTS')")
+@query(f"{GRAPH} SELECT e.repo, 'graph' AS source, n.path, e.line::INT AS line, e.src, NULL::VARCHAR AS text FROM edges e JOIN nodes n ON e.repo = n.repo AND e.src = n.id WHERE (e.repo, e.dst) IN (SELECT (repo, id) FROM nodes WHERE name = 'help26') AND e.kind IN ('CALLS', 'INHERITS', 'IMPORTS')")
 def g21_find_references(spark, sf):
     nodes, edges = _edges(spark, sf)
     return graph.find_references(nodes, edges, _lines(spark, sf), "help26").withColumn("line", F.col("line").cast("int"))
 
 
-@query(f"""WITH {corpus.FILES_SQL}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM code)
-SELECT 'grep' AS source, path, line_no::INT AS line, NULL::VARCHAR AS src, line AS text FROM l WHERE regexp_matches(line, '\\bthis\\b') ORDER BY path, line_no LIMIT 50""")
+@query(f"""WITH {corpus.FILES_SQL}, l AS (SELECT repo, path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM code)
+SELECT repo, 'grep' AS source, path, line_no::INT AS line, NULL::VARCHAR AS src, line AS text FROM l WHERE regexp_matches(line, '\\bthis\\b') ORDER BY path, line_no, repo LIMIT 50""")
 def g21_grep_fallback(spark, sf):
     nodes, edges = _edges(spark, sf)
     return graph.find_references(nodes, edges, _lines(spark, sf), "this").withColumn("line", F.col("line").cast("int"))
@@ -157,9 +158,9 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""{GRAPH}, sym AS (SELECT * FROM nodes WHERE kind IN ('function', 'method', 'class', 'struct', 'interface')),
-deg AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM edges WHERE kind = 'CALLS' UNION ALL SELECT dst FROM edges WHERE kind = 'CALLS') GROUP BY id),
-top AS (SELECT s.name, s.path, s.kind, d.n FROM deg d JOIN sym s USING (id) ORDER BY d.n DESC, s.id LIMIT 10),
-starts AS (SELECT name, path, kind, row_number() OVER (PARTITION BY name ORDER BY seq DESC) AS k FROM sym WHERE name IN ('main', 'Main', 'ServeHTTP', 'Handler'))
+deg AS (SELECT repo, id, count(*) AS n FROM (SELECT repo, src AS id FROM edges WHERE kind = 'CALLS' UNION ALL SELECT repo, dst FROM edges WHERE kind = 'CALLS') GROUP BY repo, id),
+top AS (SELECT s.name, s.path, s.kind, d.n FROM deg d JOIN sym s USING (repo, id) ORDER BY d.n DESC, s.id, s.repo LIMIT 10),
+starts AS (SELECT name, path, kind, row_number() OVER (PARTITION BY name ORDER BY seq DESC, repo) AS k FROM sym WHERE name IN ('main', 'Main', 'ServeHTTP', 'Handler'))
 SELECT 'size' AS part, 'nodes' AS name, NULL::VARCHAR AS path, NULL::VARCHAR AS kind, count(*) AS n FROM nodes UNION ALL SELECT 'size', 'edges', NULL, NULL, count(*) FROM edges
 UNION ALL SELECT 'language', lang, NULL, NULL, count(*) FROM nodes WHERE kind = 'file' GROUP BY lang UNION ALL SELECT 'hub', name, path, kind, n FROM top
 UNION ALL SELECT 'entrypoint', name, path, kind, NULL FROM starts WHERE k <= 8""")

@@ -1,6 +1,9 @@
 """Graph, diff, sources and watch operators on small literal inputs."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from quarryline.functions import hashing, paths
 from quarryline.operators import diff, graph
@@ -74,3 +77,56 @@ def test_stream_equals_batch(spark, tmp_path):
     state = watch.merged_stream(stream).writeStream.outputMode("update").format("memory").queryName("merged").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
     state.awaitTermination(120)
     assert got == {r["path"]: r["kind"] for r in spark.table("merged").collect()}
+
+
+def test_two_repositories_with_the_same_paths_stay_apart(spark):
+    own = "def helper():\n    return 1\n\n\ndef run():\n    return helper()\n"
+    other = "import a\n\n\ndef run():\n    return helper()\n"
+    files = spark.createDataFrame([("one", "a.py", own, 1), ("two", "a.py", own, 1), ("two", "b.py", other, 2), ("three", "b.py", other, 2)], "repo string, path string, text string, seq long")
+    nodes, refs = graph.build_graph(files)
+    assert nodes.groupBy("repo", "id").count().filter("count > 1").isEmpty() and nodes.filter("kind <> 'module'").count() == 10
+    edges = graph.edges_view(refs, nodes).cache()
+    calls = sorted(map(tuple, edges.filter("kind = 'CALLS'").select("repo", "src", "dst").collect()))
+    key = lambda path, name: next(r.id for r in nodes.collect() if r.path == path and r.name == name)
+    assert calls == [("one", key("a.py", "run"), key("a.py", "helper")), ("two", key("a.py", "run"), key("a.py", "helper")), ("two", key("b.py", "run"), key("a.py", "helper"))]
+    imports = sorted(map(tuple, edges.filter("kind = 'IMPORTS'").select("repo", "src", "dst").collect()))
+    assert imports == [("three", "file:b.py", "mod:a"), ("two", "file:b.py", "mod:a")] or imports == [("three", "file:b.py", "mod:a"), ("two", "file:b.py", "file:a.py")]
+    hops = graph.trace_path(nodes, edges, "helper", repo="one").collect()
+    assert {(r.repo, r.node) for r in hops} == {("one", key("a.py", "run"))}
+    assert graph.references(edges, nodes, "helper", repo="two").count() == 2 and graph.references(edges, nodes, "helper").count() == 3
+    assert {(r.repo, r.degree) for r in graph.hubs(edges, nodes).collect() if r.id == key("a.py", "helper")} == {("one", 1), ("two", 2)}
+    left_nodes, left_refs = graph.apply_fragment(nodes, refs, nodes.limit(0), refs.limit(0), spark.createDataFrame([("two", "a.py")], "repo string, path string"))
+    assert left_nodes.filter("path = 'a.py'").select("repo").distinct().collect()[0].repo == "one"
+    assert left_refs.filter("repo = 'one'").count() == refs.filter("repo = 'one'").count()
+    with pytest.raises(ValueError):
+        graph.trace(edges, spark.createDataFrame([("x",)], "seed string"))
+
+
+def test_containers_by_a_sweep(spark):
+    rng = random.Random(4)
+    rows = []
+
+    def nest(path, start, end, depth):
+        at = start + 1
+        while at + 4 < end and len(rows) < 3000:
+            stop = rng.randrange(at + 2, end)
+            rows.append(("r", path, f"{path}{len(rows)}", rng.choice(["class", "struct", "function", "method"]), at, stop))
+            if depth < 6:
+                nest(path, at, stop, depth + 1)
+            at = stop + rng.randrange(1, 5)
+
+    for f in range(6):
+        nest(f"f{f}", 0, 2000, 0)
+    defs = spark.createDataFrame(rows, "repo string, path string, id string, kind string, start int, end int")
+    expected = {}
+    for _, p, i, _, a, b in rows:
+        around = [(d - c, j) for _, q, j, k, c, d in rows if q == p and k in ("class", "struct") and c <= a and d >= b and d - c > b - a]
+        if around:
+            expected[i] = min(around)[1]
+    assert {r.id: r.container for r in graph.containers(defs).collect()} == expected and len(expected) > 300
+
+
+def test_a_hundred_thousand_definitions_in_a_file(spark):
+    rows = spark.range(100_000).select(F.lit("a").alias("path"), F.col("id").cast("string").alias("id"), F.when(F.col("id") % 10 == 0, "class").otherwise("method").alias("kind"), (F.col("id") * 10).alias("start"), F.when(F.col("id") % 10 == 0, F.col("id") * 10 + 99).otherwise(F.col("id") * 10 + 5).alias("end"))
+    found = graph.containers(rows)
+    assert found.count() == 90_000 and found.filter(F.col("container").cast("long") != F.floor(F.col("id").cast("long") / 10) * 10).isEmpty()
