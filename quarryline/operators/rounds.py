@@ -42,6 +42,10 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def table_between_rounds(df: DataFrame) -> DataFrame:
     """Cuts lineage: a table in the folder that the cluster shares."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"

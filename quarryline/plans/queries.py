@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import hashing, paths, text
-from quarryline.operators import diff, graph, pipes, search, vectors, workspace
+from quarryline.operators import diff, graph, pipes, search, vector_index, vectors, workspace
+from quarryline.operators.rounds import new_folder
 from quarryline.plans import data
 from quarryline.sources import files as sources
 from quarryline.streaming import watch
@@ -253,9 +254,24 @@ def v8_quantized_knn(spark, sf):
     return vectors.knn(table, _queries(spark, sf).withColumn("q", vectors.quantize_i8("q")), 10)
 
 
-@query()
+@query(f"{KNN} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s QUALIFY rank <= 10")
 def v7_bucketed_knn(spark, sf):
-    return vectors.approximate_knn(data.table(spark, sf, "embeddings"), _queries(spark, sf), 10, 64)
+    """By the stored index with its bound: what a search of all vectors gives."""
+    table = data.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vector_index.VectorIndex(spark, new_folder(spark)).create(table).search(_queries(spark, sf), 10)
+
+
+@query("""WITH later AS (SELECT vec_id AS id, CASE WHEN vec_id % 6 = 0 THEN list_transform(embedding, lambda x: -x::DOUBLE) ELSE list_transform(embedding, lambda x: x::DOUBLE) END AS v FROM embeddings WHERE vec_id % 9 <> 4),
+s AS (SELECT q.vec_id AS query_id, e.id, round(list_cosine_similarity(e.v, list_transform(q.embedding, lambda x: x::DOUBLE)), 6) AS score FROM later e, embeddings q WHERE q.vec_id % 100 = 0)
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s QUALIFY rank <= 5""")
+def s13_vector_store(spark, sf):
+    """An index that is made, changed and opened again: a sixth is replaced, a ninth removed."""
+    table = data.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    folder = new_folder(spark)
+    index = vector_index.VectorIndex(spark, folder).create(table)
+    index.add(table.filter("id % 6 = 0").withColumn("vector", F.transform("vector", lambda x: -x)))
+    index.remove(table.filter("id % 9 = 4").select("id"))
+    return vector_index.VectorIndex(spark, folder).search(_queries(spark, sf), 5)
 
 
 @query("""SELECT vec_id, label FROM embeddings WHERE vec_id % 4 <> 0 UNION ALL SELECT vec_id, -1 FROM embeddings WHERE vec_id % 8 = 0 UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id % 8 = 4""")
