@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.functions import hashing, paths, text
+from quarryline.functions import hashing, pages, paths, text
 from quarryline.operators import diff, graph, pipes, search, vector_index, vectors, workspace
 from quarryline.operators.rounds import new_folder
 from quarryline.plans import data
@@ -513,7 +513,7 @@ t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(b, '<br\s*/?>
 d AS (SELECT page_id, replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&amp;', '&') AS t FROM t)
 SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[ \t\f\x0B\r]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM d""")
 def t1_html_text(spark, sf):
-    return data.table(spark, sf, "pages").select("page_id", text.html_text("html").alias("text"))
+    return data.table(spark, sf, "pages").select("page_id", pages.html_text("html").alias("text"))
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si'), '&quot;', '"'), '&lt;', '<'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""")
