@@ -241,18 +241,46 @@ def error_code(error: Exception) -> str:
 def index_tree(store: Snapshots, files: DataFrame, prefixes: DataFrame | None = None) -> Bootstrap:
     """One run over files(repo, path, text): chunks, manifest and graph of the tree are saved.
 
-    Where an earlier run is stored, only files whose hash differs are chunked; chunks of the others
-    are carried over. The graph's imports are resolved over the whole tree.
+    Where an earlier run is stored, only files whose hash differs are chunked and read for the graph;
+    what the others contributed is carried over. Imports are resolved over the whole tree. The tables
+    are saved together.
     """
-    from quarryline.operators import chunkers, graph
-
     leaves = files.select("repo", "path", F.md5(F.coalesce("text", F.lit(""))).alias("hash"))
-    earlier = store.load("chunks")
-    found = bootstrap(store.load("manifest") if earlier is not None else None, leaves)
+    earlier, _ = store.load_all()
+    found = bootstrap(earlier.get("manifest"), leaves)
     changed = found.changes.filter("op <> 'deleted'").select("repo", "path")
-    fresh = chunkers.chunk_files(files.join(changed, ["repo", "path"], "left_semi"))
-    store.save("chunks", diff.carry_over(earlier, found.changes, fresh) if found.warm else fresh)
-    nodes, refs = graph.build_graph(files, prefixes)
-    for name, table in (("manifest", leaves), ("nodes", nodes), ("refs", refs)):
-        store.save(name, table)
+    store.save_all(_indexed(earlier if found.warm else {}, files.join(changed, ["repo", "path"], "left_semi"), found.changes, leaves, prefixes))
     return found
+
+
+def _indexed(earlier: dict[str, DataFrame], fresh: DataFrame, touched: DataFrame, leaves: DataFrame, prefixes: DataFrame | None) -> dict[str, DataFrame]:
+    """The index with the files `fresh` in place of all that the paths `touched` contributed."""
+    from quarryline.operators import chunkers, graph
+    from quarryline.operators.rounds import table_between_rounds
+
+    # the files that changed are found once, and read by each of the steps that follow
+    fresh = table_between_rounds(fresh)
+    chunks = chunkers.chunk_files(fresh)
+    nodes, refs = map(table_between_rounds, graph.fragments(fresh))
+    if earlier:
+        chunks = diff.carry_over(earlier["chunks"], touched, chunks)
+        nodes, refs = graph.apply_fragment(earlier["nodes"].filter("kind <> 'module'"), earlier["refs"], nodes, refs, touched.select("repo", "path").distinct())
+    nodes, refs = graph.linked(nodes, refs, prefixes)
+    return {"chunks": chunks, "nodes": nodes, "refs": refs, "manifest": leaves}
+
+
+def index_step(store: Snapshots, files: DataFrame, touched: DataFrame, batch: str, prefixes: DataFrame | None = None) -> bool:
+    """One incremental step: touched(repo, path) are indexed as they are in files(repo, path, text)
+    now, or dropped where they aren't there. A batch that the store has already is left out, so a
+    step that comes again changes nothing. True if the step was made.
+    """
+    earlier, done = store.load_all()
+    if done == batch:
+        return False
+    paths = touched.select("repo", "path").distinct()
+    fresh = files.join(paths, ["repo", "path"], "left_semi")
+    leaves = fresh.select("repo", "path", F.md5(F.coalesce("text", F.lit(""))).alias("hash"))
+    if earlier:
+        leaves = earlier["manifest"].join(paths, ["repo", "path"], "left_anti").unionByName(leaves)
+    store.save_all(_indexed(earlier, fresh, paths, leaves, prefixes), batch)
+    return True

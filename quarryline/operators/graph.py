@@ -160,7 +160,7 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def apply_fragment(nodes: DataFrame, refs: DataFrame, new_nodes: DataFrame, new_refs: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Replaces all that files of paths([repo,] path) contributed; with no new rows it removes the files."""
-    keep = lambda d: d.join(paths.select(*_repo(d, paths), "path"), [*_repo(d, paths), "path"], "left_anti")
+    keep = lambda d: d.join(paths.select(*_repo(d, paths), "path"), [*_repo(d, paths), "path"], "left_anti").select(*d.columns)
     return keep(nodes).unionByName(new_nodes, allowMissingColumns=True), keep(refs).unionByName(new_refs, allowMissingColumns=True)
 
 
@@ -357,6 +357,25 @@ def build_graph(files: DataFrame, prefixes: DataFrame | None = None) -> tuple[Da
     the import of a file or module, the container of a nested definition, and names to be resolved
     at query time. Rows of other languages are left out.
     """
+    return linked(*fragments(files), prefixes)
+
+
+def linked(nodes: DataFrame, refs: DataFrame, prefixes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """nodes and refs of fragments() with imports led to files or modules. What an import led to
+    before is forgotten first, so a graph whose files changed is linked anew by the same call."""
+    unset = lambda of, new: F.when(F.col("kind") == "IMPORTS", new).otherwise(F.col(of)).alias(of)
+    said = refs.select(*[unset("dst", F.concat(F.lit("mod:"), "name")) if c == "dst" else unset("resolution", F.lit("EXACT")) if c == "resolution" else F.col(c) for c in refs.columns])
+    nodes = nodes.filter("kind <> 'module'")
+    refs = table_between_rounds(rewrite_imports(said, resolve_imports(said.filter("kind = 'IMPORTS'"), nodes.filter("kind = 'file'"), prefixes)))
+    none = F.lit(None).cast("int")
+    modules = refs.filter("kind = 'IMPORTS' AND dst LIKE 'mod:%'").select("repo", F.col("dst").alias("id")).distinct()
+    modules = modules.select("repo", "id", F.lit("module").alias("kind"), F.lit(None).cast("string").alias("lang"), F.substring("id", 5, 1 << 20).alias("name"), F.lit(None).cast("string").alias("path"), none.alias("start_line"), none.alias("end_line"), F.lit(0).cast("long").alias("seq"))
+    return nodes.unionByName(modules), refs
+
+
+def fragments(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each file contributes by itself: nodes without modules, and refs whose imports aren't
+    led to files yet."""
     from quarryline.functions.paths import language_of
     from quarryline.operators import chunkers
 
@@ -370,17 +389,14 @@ def build_graph(files: DataFrame, prefixes: DataFrame | None = None) -> tuple[Da
     nested = containers(chunks.select("repo", "path", F.col("key").alias("id"), F.col("kind_name").alias("kind"), F.col("start_byte").alias("start"), F.col("end_byte").alias("end")))
     starts = chunks.select("repo", F.col("key").alias("id"), "start_line", F.col("symbol").alias("name"))
     nested = nested.join(starts, ["repo", "id"]).select("repo", F.col("container").alias("src"), F.col("id").alias("dst"), "name", "path", F.col("start_line").alias("line"), F.lit("CONTAINS").alias("kind"), F.lit(False).alias("rev"), F.lit("EXACT").alias("resolution"))
-    refs = rewrite_imports(said, resolve_imports(said.filter("kind = 'IMPORTS'"), code, prefixes)).unionByName(nested)
-    refs = table_between_rounds(refs)
+    refs = said.unionByName(nested)
     numbered = code.select("repo", "path", "lang", order.alias("file_seq"))
     symbols = chunks.drop("lang").join(numbered, ["repo", "path"]).select(
         "repo", F.col("key").alias("id"), F.col("kind_name").alias("kind"), "lang", F.col("symbol").alias("name"), "path", "start_line", "end_line", (F.col("file_seq") * (1 << 20) + F.col("start_line")).alias("seq")
     )
     none = F.lit(None).cast("int")
     as_files = numbered.select("repo", F.concat(F.lit("file:"), "path").alias("id"), F.lit("file").alias("kind"), "lang", F.element_at(F.split("path", "/"), -1).alias("name"), "path", none.alias("start_line"), none.alias("end_line"), (F.col("file_seq") * (1 << 20)).alias("seq"))
-    modules = refs.filter("kind = 'IMPORTS' AND dst LIKE 'mod:%'").select("repo", F.col("dst").alias("id")).distinct()
-    modules = modules.select("repo", "id", F.lit("module").alias("kind"), F.lit(None).cast("string").alias("lang"), F.substring("id", 5, 1 << 20).alias("name"), F.lit(None).cast("string").alias("path"), none.alias("start_line"), none.alias("end_line"), F.lit(0).cast("long").alias("seq"))
-    return symbols.unionByName(as_files).unionByName(modules), refs
+    return symbols.unionByName(as_files), refs
 
 
 #: Names of functions where programs begin (fixed values).

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +82,10 @@ def web_results(answers: DataFrame, count: int = 10) -> DataFrame:
     return answers.select("query_id", F.posexplode(kept).alias("rank", "r")).select("query_id", "rank", "r.*")
 
 
+#: Where tables that are saved together lie, how many of their versions stay, and what a pointer holds.
+TOGETHER, KEPT, SET_SCHEMA = "together", 3, "n long, version string, done string, names array<string>"
+
+
 class Snapshots:
     """Versions of named tables below a folder. A version is written whole, then one small pointer
     table names it; readers follow the last pointer, so a failed write is never seen."""
@@ -103,7 +108,46 @@ class Snapshots:
         row = self.spark.read.option("recursiveFileLookup", True).schema("n long, version string").parquet(path.toString()).orderBy(F.desc("n"), "version").first()
         return (row["n"], row["version"]) if row else (0, None)
 
+    def save_all(self, tables: dict[str, DataFrame], done: str = "") -> None:
+        """Writes tables as one version: they are seen together or not at all. done names the step
+        that they are the outcome of. Versions before the last KEPT are removed."""
+        version = uuid.uuid4().hex
+        for name, df in tables.items():
+            df.write.parquet(f"{self.folder}/{TOGETHER}/v={version}/{name}")
+        number = self._last_set()[0] + 1
+        fs = self._path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.createNewFile(self._path(f"{TOGETHER}/numbers/{number:012}")):
+            raise RuntimeError(f"another writer has taken version {number} of {self.folder}")
+        rows = [(number, version, done, sorted(tables))]
+        self.spark.createDataFrame(rows, SET_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.folder}/{TOGETHER}/pointers")
+        for old in self._sets().filter(F.col("n") <= number - KEPT).select("version").collect():
+            fs.delete(self._path(f"{TOGETHER}/v={old['version']}"), True)
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def _sets(self) -> DataFrame:
+        path = self._path(f"{TOGETHER}/pointers")
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], SET_SCHEMA)
+        return self.spark.read.schema(SET_SCHEMA).parquet(path.toString())
+
+    def _last_set(self) -> tuple[int, str, str, list[str]]:
+        row = self._sets().orderBy(F.desc("n"), "version").first()
+        return tuple(row) if row else (0, "", "", [])
+
+    def load_all(self) -> tuple[dict[str, DataFrame], str]:
+        """The tables of the last version and the step they are the outcome of; no tables for a cold
+        start, and also where one of them can't be read: then all is built anew."""
+        _, version, done, names = self._last_set()
+        try:
+            return {name: self.spark.read.parquet(f"{self.folder}/{TOGETHER}/v={version}/{name}") for name in names}, done
+        except AnalysisException:
+            return {}, ""
+
     def load(self, name: str) -> DataFrame | None:
         """The last whole version, or None for a cold start."""
         version = self._last(name)[1]
-        return None if version is None else self.spark.read.parquet(f"{self.folder}/{name}/v={version}")
+        if version is None:
+            return self.load_all()[0].get(name)
+        return self.spark.read.parquet(f"{self.folder}/{name}/v={version}")

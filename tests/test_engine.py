@@ -104,6 +104,52 @@ def test_warm_run_equals_cold_run(spark, tmp_path):
         assert rows(store) == rows(cold)
 
 
+MORE = [
+    ("r", "pkg/util.py", "def helper():\n    return 1\n"), ("r", "pkg/run.py", "from pkg.util import helper\n\n\ndef run():\n    return helper()\n"), ("s", "pkg/run.py", "from pkg.util import helper\n\n\nclass A:\n    def run(self):\n        return helper()\n"),
+]
+
+
+def test_small_steps_equal_one_cold_run_and_a_repeated_batch_changes_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "KEPT", 2)
+    frame = lambda rows: spark.createDataFrame(rows, "repo string, path string, text string")
+    paths = lambda rows: spark.createDataFrame([r[:2] for r in rows], "repo string, path string")
+    steps = Snapshots(spark, f"file://{tmp_path}/steps")
+    now = {r[:2]: r for r in TREE}
+    assert engine.index_step(steps, frame(TREE), paths(TREE), "0")
+    # a user of a module comes first, then the file that the import means
+    for batch, changes in enumerate(([MORE[1], MORE[2]], [MORE[0], ("r", "c.md", None), ("r", "b.py", "def g():\n    return 3\n")]), 1):
+        for repo, path, text_ in changes:
+            now.pop((repo, path), None)
+            if text_ is not None:
+                now[repo, path] = (repo, path, text_)
+        assert engine.index_step(steps, frame(list(now.values())), paths(changes), str(batch))
+        before = steps.load_all()[0]["refs"].count()
+        assert not engine.index_step(steps, frame(TREE), paths(changes), str(batch))
+        assert steps.load_all()[0]["refs"].count() == before
+    cold = Snapshots(spark, f"file://{tmp_path}/cold")
+    engine.index_tree(cold, frame(list(now.values())))
+    for name in ("chunks", "manifest", "nodes", "refs"):
+        rows = lambda s: sorted(map(str, s.load_all()[0][name].collect()))  # noqa: B023, E731
+        assert rows(steps) == rows(cold)
+    imports = {(r.repo, r.path): r.dst for r in steps.load("refs").filter("kind = 'IMPORTS' AND name = 'pkg.util'").collect()}
+    assert imports == {("r", "pkg/run.py"): "file:pkg/util.py", ("s", "pkg/run.py"): "mod:pkg.util"}
+    versions = [p.name for p in (tmp_path / "steps/together").iterdir() if p.name.startswith("v=")]
+    assert len(versions) == 2
+
+
+def test_a_damaged_version_is_a_cold_start(spark, tmp_path):
+    import shutil
+
+    frame = spark.createDataFrame(TREE, "repo string, path string, text string")
+    store = Snapshots(spark, f"file://{tmp_path}/s")
+    engine.index_tree(store, frame)
+    for nodes in (tmp_path / "s/together").glob("v=*/nodes"):
+        shutil.rmtree(nodes)
+    assert store.load_all() == ({}, "")
+    assert not engine.index_tree(store, frame).warm and store.load("nodes").count() > 0
+    assert engine.index_tree(store, frame).warm
+
+
 def test_fragments_replace_and_remove_files(spark):
     nodes = spark.createDataFrame([("a", "x.py", "function"), ("b", "y.py", "function")], "id string, path string, kind string")
     refs = spark.createDataFrame([("a", "mod:os", "x.py", "IMPORTS"), ("b", "mod:re", "y.py", "IMPORTS")], "src string, dst string, path string, kind string")
