@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarryline.functions.paths import language_of
+from quarryline.operators import lexing
 from quarryline.schemas import KIND_CODE, SECTION_LINES, WINDOW_LINES
 
 FILE = ["repo", "path"]
@@ -200,32 +201,42 @@ def json_members(text: str) -> list[tuple[str | None, int, int]] | None:
     return members
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("symbol", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
-def _json_spans(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if (m := json_members(t)) is None else [{"symbol": k, "start": a, "end": b} for k, a, b in m])
+def json_pieces(text: str) -> list[dict] | None:
+    """The chunks of json_members(), with counts of lines and bytes that go on from one to the next."""
+    members = json_members(text)
+    if members is None:
+        return None
+    out, at, line, n_bytes = [], 0, 1, 0
+    for symbol, a, b in members:
+        between = text[at:a]
+        line, n_bytes, at = line + between.count("\n"), n_bytes + len(between.encode()), a
+        rows = text[a:b].split("\n")
+        first, begin = line, n_bytes
+        for i in range(0, len(rows), SECTION_LINES):
+            part = rows[i : i + SECTION_LINES]
+            body = "\n".join(part) + ("\n" if i + SECTION_LINES < len(rows) else "")
+            if body:
+                out.append({"symbol": symbol, "body": body, "start_byte": begin, "start_line": first + i, "end_line": first + i + len(part) - 1})
+            begin += len(body.encode())
+    return out
+
+
+_PIECE = T.StructType([*(T.StructField(c, T.StringType()) for c in ("symbol", "body")), *(T.StructField(c, T.IntegerType()) for c in ("start_byte", "start_line", "end_line"))])
+
+
+@F.pandas_udf(T.ArrayType(_PIECE))
+def _json_pieces(texts: pd.Series) -> pd.Series:
+    return texts.map(json_pieces)
 
 
 def json_chunks(files: DataFrame) -> DataFrame:
     """One chunk per root key, from the key to the end of its value, going on every SECTION_LINES
     lines under the same symbol; texts that are no object fall back to windows."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = files.withColumn("text", text).withColumn("members", _json_spans(text))
-    member = found.filter("members IS NOT NULL").select(*FILE, "text", F.explode("members").alias("m"))
-    body = F.substring(F.col("text"), F.col("m.start") + 1, F.col("m.end") - F.col("m.start"))
-    before = F.substring(F.col("text"), F.lit(1), F.col("m.start"))
-    whole = member.select(*FILE, cut_bytes(F.col("m.symbol"), SYMBOL_BYTES).alias("symbol"), body.alias("whole"), F.octet_length(before).alias("at"), (F.regexp_count(before, F.lit("\n")) + 1).alias("first"))
-    lines = whole.withColumn("lines", F.split("whole", "\n", -1))
-    piece = lines.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / SECTION_LINES).cast("int"))).alias("piece"))
-    from_ = F.col("piece") * SECTION_LINES
-    more = from_ + SECTION_LINES < F.size("lines")
-    part = F.array_join(F.slice("lines", from_ + 1, SECTION_LINES), "\n")
-    skipped = F.when(F.col("piece") == 0, 0).otherwise(F.octet_length(F.array_join(F.slice("lines", F.lit(1), from_), "\n")) + 1)
-    rows = piece.select(
-        *FILE, "symbol", F.when(more, F.concat(part, F.lit("\n"))).otherwise(part).alias("body"), (F.col("at") + skipped).alias("start_byte"),
-        (F.col("first") + from_).alias("start_line"), (F.col("first") + F.least(from_ + SECTION_LINES, F.size("lines")) - 1).alias("end_line"),
-    ).filter("body <> ''")
-    rows = rows.withColumn("end_byte", F.col("start_byte") + F.octet_length("body"))
-    return _finish(rows, "key").unionByName(window_chunks(found.filter("members IS NULL").select(*FILE, "text")))
+    found = files.select(*FILE, text.alias("text")).withColumn("pieces", _json_pieces("text"))
+    rows = found.filter("pieces IS NOT NULL").select(*FILE, F.explode("pieces").alias("p")).select(*FILE, "p.*")
+    rows = rows.withColumn("symbol", cut_bytes(F.col("symbol"), SYMBOL_BYTES)).withColumn("end_byte", F.col("start_byte") + F.octet_length("body"))
+    return _finish(rows, "key").unionByName(window_chunks(found.filter("pieces IS NULL").select(*FILE, "text")))
 
 
 #: Where definitions begin, per language: (kind, pattern with the name as group 1). They hold
@@ -241,72 +252,64 @@ DEFINITIONS = {
     "rust": [("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+)*fn\s+(\w+)"), ("struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum)\s+(\w+)"), ("interface", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(\w+)")],
     "ruby": [("method", r"^\s*def\s+(?:self\.)?([\w?!=]+)"), ("class", r"^\s*(?:class|module)\s+([\w:]+)")],
 }
-_BY_INDENT = ("python", "ruby")
-
-
-def _without_strings(line: Column) -> Column:
-    """A line without string contents and end-of-line comments, for counting braces."""
-    return F.regexp_replace(F.regexp_replace(line, r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`[^`]*`", "\"\""), r"//.*$|/\*.*?\*/", "")
 
 
 #: Blocks that name the container of what stands in them, without being a definition.
 MEMBER_BLOCKS = {"rust": [("impl", r"^\s*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[\w:]+(?:<[^>]*>)?\s+for\s+)?(\w+)")]}
 
 
+#: Characters of bodies after which a task hands its rows on.
+_BATCH_CHARS = 4 << 20
+_FOUND = "repo string, path string, kind_name string, symbol string, n int, start_line int, start_byte long, body string"
+
+
+def _find_definitions(rules: dict):
+    def run(batches):
+        import pyarrow as pa
+
+        own = lexing.compiled(rules)
+        names = [x.split()[0] for x in _FOUND.split(", ")]
+        kinds = [pa.string()] * 4 + [pa.int32(), pa.int32(), pa.int64(), pa.string()]
+        full = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        for batch in batches:
+            rows, size = [], 0
+            for repo, path, lang, text in zip(*[batch.column(c) for c in ("repo", "path", "lang", "text")], strict=True):
+                for found in lexing.chunk_rows(text.as_py(), lang.as_py(), own[lang.as_py()]):
+                    rows.append((repo.as_py(), path.as_py(), *found))
+                    size += len(found[-1])
+                    if size > _BATCH_CHARS:
+                        yield full(rows)
+                        rows, size = [], 0
+            if rows:
+                yield full(rows)
+
+    return run
+
+
 def code_chunks(files: DataFrame, rules: dict = DEFINITIONS) -> DataFrame:
     """Definitions of code files, each with its whole body; a definition inside another is a
-    chunk of its own too.
-
-    A block language's definition ends where its brace closes, or on its line if that has none.
-    Python's ends before the next line that isn't indented deeper, Ruby's at the `end` of its
-    indent. Both are found by one window over (file, level), not by comparing lines with lines.
+    chunk of its own too. Files are read one by one by their tokens (lexing.definitions), so
+    nothing is shuffled; a path stands once in a repository.
     """
-    lines = line_rows(files).withColumn("lang", language_of("path"))
-    bare = _without_strings(F.col("line"))
-    delta = F.length(F.regexp_replace(bare, r"[^{]", "")) - F.length(F.regexp_replace(bare, r"[^}]", ""))
-    upto = Window.partitionBy(*FILE).orderBy("line_no")
-    indent = F.length(F.regexp_extract("line", r"^[ \t]*", 0))
-    lines = lines.withColumn("after", F.sum(delta).over(upto)).withColumn("before", F.col("after") - delta).withColumn("indent", indent).withColumn("opens", bare.contains("{"))
-    kind, symbol = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for lang, own in rules.items():
-        for name, pattern in reversed(own):
-            hit = (F.col("lang") == lang) & (F.regexp_extract("line", pattern, 1) != "")
-            kind, symbol = F.when(hit, name).otherwise(kind), F.when(hit, F.regexp_extract("line", pattern, 1)).otherwise(symbol)
-    lines = lines.withColumn("kind_name", kind).withColumn("symbol", symbol)
-    by_indent = F.col("lang").isin(*_BY_INDENT)
-    # a declaration of a block language without a body ends on its line: with a semicolon, or
-    # where neither it nor the next line goes on
-    following = F.coalesce(F.lead("line").over(upto), F.lit(""))
-    goes_on = F.col("line").rlike(r"[,(:=>]\s*$") | following.rlike(r"^\s*(?:\{|:|where\b|throws\b|extends\b|implements\b)")
-    lines = lines.withColumn("ends", F.col("line").rlike(r";\s*$") | ~goes_on)
-    single = ~by_indent & ~F.col("opens") & F.col("ends")
-    # Python: a line ends definitions of its own indent or deeper ones, as far as there are any
-    deepest = F.max(F.when(F.col("kind_name").isNotNull(), F.col("indent"))).over(Window.partitionBy(*FILE))
-    lines = lines.withColumn("deepest", deepest)
-    starts = lines.filter("kind_name IS NOT NULL").select(*FILE, "lang", F.when(by_indent, F.col("indent")).otherwise(F.col("before")).alias("level"), "line_no", "kind_name", "symbol", "start_byte", single.alias("single"))
-    closing = F.when(by_indent, F.when((F.col("lang") == "python") & (F.trim("line") != "") & (F.col("indent") <= F.col("deepest")), F.sequence(F.col("indent"), F.col("deepest"))).when(F.col("line").rlike(r"^\s*end\b"), F.array(F.col("indent")))).otherwise(
-        F.when(bare.contains("}"), F.when(F.col("after") < F.col("before"), F.sequence(F.col("after"), F.col("before") - 1)).when(F.col("after") == F.col("before"), F.array(F.col("before")))).when(F.col("after") < F.col("before"), F.sequence(F.col("after"), F.col("before") - 1))
-    )
-    ends = lines.withColumn("levels", closing).filter("levels IS NOT NULL").select(*FILE, F.explode("levels").alias("level"), "line_no", F.lit(True).alias("closes"))
-    both = starts.unionByName(ends, allowMissingColumns=True).withColumn("own", F.coalesce("closes", F.lit(False)))
-    python = F.col("lang") == "python"
-    ahead = Window.partitionBy(*FILE, "level").orderBy("line_no", "own")
-    close = F.when(F.col("own"), F.col("line_no"))
-    nxt = F.first(close, ignorenulls=True).over(ahead.rowsBetween(1, Window.unboundedFollowing))
-    # a Python line also "closes" its own level: the next closing line after it counts
-    later = F.min(F.when(F.col("own"), F.col("line_no"))).over(Window.partitionBy(*FILE, "level").orderBy("line_no").rangeBetween(1, Window.unboundedFollowing))
-    found = both.withColumn("close", F.when(python, later - 1).otherwise(nxt)).filter("NOT own")
-    total = lines.groupBy(*FILE).agg(F.max("line_no").alias("last"))
-    found = found.join(total, FILE).withColumn("end_line", F.when(F.col("single"), F.col("line_no")).otherwise(F.coalesce("close", "last")))
-    # definitions meet their file once; bodies are slices of its lines, less blank ones at the end
-    own = found.groupBy(*FILE).agg(F.collect_list(F.struct("kind_name", "symbol", F.col("line_no").alias("start_line"), "end_line", "start_byte")).alias("defs"))
-    each = files.select(*FILE, F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines")).join(own, FILE).select(*FILE, "lines", F.explode("defs").alias("d"))
-    text = F.array_join(F.slice("lines", F.col("d.start_line"), F.col("d.end_line") - F.col("d.start_line") + 1), "\n")
-    rows = each.select(*FILE, "d.kind_name", "d.symbol", "d.start_line", "d.start_byte", F.regexp_replace(text, r"(?:\n[ \t\r]*)+\z", "").alias("body"))
+    code = files.select(*[F.col(c).cast("string").alias(c) for c in FILE], language_of("path").alias("lang"), F.coalesce("text", F.lit("")).alias("text")).filter(F.col("lang").isin(*rules))
+    rows = code.mapInArrow(_find_definitions(rules), _FOUND)
     rows = rows.withColumn("end_line", F.col("start_line") + F.regexp_count("body", F.lit("\n"))).withColumn("end_byte", F.col("start_byte") + F.octet_length("body"))
     return _finish(rows)
 
 
+@F.pandas_udf(T.StringType())
+def _code_only(texts: pd.Series, langs: pd.Series) -> pd.Series:
+    return pd.Series([lexing.masked(t, lang) for t, lang in zip(texts, langs, strict=True)], dtype=object)
+
+
+def code_lines(files: DataFrame) -> DataFrame:
+    """repo, path, lang, line_no, line, bare (without comments and what strings hold) of code files."""
+    code = files.select(*FILE, language_of("path").alias("lang"), F.coalesce("text", F.lit("")).alias("text")).filter(F.col("lang").isin(*DEFINITIONS))
+    split = code.select(*FILE, "lang", F.split("text", "\n", -1).alias("line"), F.split(_code_only("text", "lang"), "\n", -1).alias("bare"))
+    each = split.select(*FILE, "lang", F.posexplode(F.arrays_zip("line", "bare")).alias("pos", "x"))
+    return each.select(*FILE, "lang", (F.col("pos") + 1).alias("line_no"), "x.line", "x.bare").filter("line <> ''")
+
+
 def chunk_files(files: DataFrame) -> DataFrame:
     """All files by the chunker of their language; unknown languages and files without a path by windows."""
     lang = F.coalesce(language_of("path"), F.lit("unknown"))

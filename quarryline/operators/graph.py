@@ -233,8 +233,8 @@ _CALL = r"\b([A-Za-z_]\w*)!?\s*\("
 _NOT_CALLS = "if for while switch catch return function func fn def class sizeof match when elif except with and or not in is print new await super require require_relative".split()
 IMPORT_PATTERNS = {
     "go": r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([^\"]+)\"\s*$", "c": r"^\s*#\s*include\s+[<\"]([^>\"]+)[>\"]",
-    "python": r"^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))", "javascript": r"^\s*import\b.*?['\"]([^'\"]+)['\"]",
-    "typescript": r"^\s*import\b.*?['\"]([^'\"]+)['\"]", "java": r"^\s*import\s+(?:static\s+)?([\w.]+)", "kotlin": r"^\s*import\s+([\w.]+)",
+    "python": r"^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))", "javascript": r"^\s*(?:import\b|export\b.*?\bfrom\b|\}\s*from\b).*?['\"]([^'\"]+)['\"]",
+    "typescript": r"^\s*(?:import\b|export\b.*?\bfrom\b|\}\s*from\b).*?['\"]([^'\"]+)['\"]", "java": r"^\s*import\s+(?:static\s+)?([\w.]+)", "kotlin": r"^\s*import\s+([\w.]+)",
     "rust": r"^\s*(?:pub\s+)?use\s+([\w:]+?)(?:::\{.*)?(?:\s+as\s+\w+)?;?\s*$", "ruby": r"^\s*require(?:_relative)?\s*\(?['\"]([^'\"]+)['\"]",
 }
 INHERIT_PATTERNS = {
@@ -243,10 +243,10 @@ INHERIT_PATTERNS = {
 }
 
 
-def _by_language(patterns: dict[str, str]) -> Column:
+def _by_language(patterns: dict[str, str], line: str = "line") -> Column:
     name = F.lit("")
     for lang, pattern in patterns.items():
-        groups = [F.regexp_extract("line", pattern, g + 1) for g in range(re.compile(pattern).groups)]
+        groups = [F.regexp_extract(line, pattern, g + 1) for g in range(re.compile(pattern).groups)]
         got = groups[0] if len(groups) == 1 else F.when(groups[0] != "", groups[0]).otherwise(groups[1])
         name = F.when(F.col("lang") == lang, got).otherwise(name)
     return name
@@ -262,24 +262,23 @@ def _base_names(clause: Column) -> Column:
 def extract_refs(lines: DataFrame, chunks: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
     """refs(repo, src, name, path, line, kind, rev) of code: calls, imports and bases by line.
 
-    lines: line_rows() with lang. A ref belongs to the smallest chunk around its line, else to the
+    lines: code_lines(); strings and comments refer to nothing. A ref belongs to the smallest chunk around its line, else to the
     file; the first line of equal refs counts. A line that begins a definition doesn't call it.
     Go receivers and functions in blocks (code_chunks() by MEMBER_BLOCKS) name their container (rev).
     """
-    from quarryline.operators.chunkers import _without_strings
-
-    rows = lines.withColumn("bare", _without_strings(F.col("line")))
+    rows = lines
     own = ["repo", "path", "lang", "line_no"]
-    calls = rows.select(*own, F.explode(F.regexp_extract_all("bare", F.lit(_CALL), F.lit(1))).alias("name"), F.lit("CALLS").alias("kind"), "line")
-    signature = F.col("lang").isin("typescript") & F.col("line").rlike(r"^\s*\w+\s*(?:<[^>]*>)?\([^)]*\)\s*:\s*[^{]+;?\s*$")
-    calls = calls.filter(~F.col("name").isin(*_NOT_CALLS) & ~signature & ~F.col("line").rlike(r"^\s*(?:#|import\b|use\b|package\b)")).drop("line")
+    calls = rows.select(*own, F.explode(F.regexp_extract_all("bare", F.lit(_CALL), F.lit(1))).alias("name"), F.lit("CALLS").alias("kind"), "bare")
+    signature = F.col("lang").isin("typescript") & F.col("bare").rlike(r"^\s*\w+\s*(?:<[^>]*>)?\([^)]*\)\s*:\s*[^{]+;?\s*$")
+    calls = calls.filter(~F.col("name").isin(*_NOT_CALLS) & ~signature & ~F.col("bare").rlike(r"^\s*(?:#|import\b|use\b|package\b)")).drop("bare")
     begun = chunks.select("repo", "path", F.col("start_line").alias("line_no"), F.col("symbol").alias("name"))
     # JavaScript and the like: `class A extends B(` calls nothing by a class's name
-    heads = rows.filter(F.col("line").rlike(r"^\s*(?:[\w@]+\s+)*(?:class|struct|interface|trait|impl)\b")).select("repo", "path", "line_no")
+    heads = rows.filter(F.col("bare").rlike(r"^\s*(?:[\w@]+\s+)*(?:class|struct|interface|trait|impl)\b")).select("repo", "path", "line_no")
     calls = calls.join(begun, ["repo", "path", "line_no", "name"], "left_anti").join(heads, ["repo", "path", "line_no"], "left_anti")
-    imports = rows.select(*own, _by_language(IMPORT_PATTERNS).alias("name"), F.lit("IMPORTS").alias("kind")).filter("name <> ''")
-    bases = rows.select(*own, F.explode(_base_names(_by_language(INHERIT_PATTERNS))).alias("name"), F.lit("INHERITS").alias("kind"))
-    receiver = rows.filter("lang = 'go'").select(*own, F.regexp_extract("line", r"^func\s+\(\s*\w+\s+\*?(\w+)", 1).alias("name"), F.lit("CONTAINS").alias("kind")).filter("name <> ''")
+    # an import's name may be a string, but its line must be one without what strings hold too
+    imports = rows.filter(_by_language(IMPORT_PATTERNS, "bare") != "").select(*own, _by_language(IMPORT_PATTERNS).alias("name"), F.lit("IMPORTS").alias("kind")).filter("name <> ''")
+    bases = rows.select(*own, F.explode(_base_names(_by_language(INHERIT_PATTERNS, "bare"))).alias("name"), F.lit("INHERITS").alias("kind"))
+    receiver = rows.filter("lang = 'go'").select(*own, F.regexp_extract("bare", r"^func\s+\(\s*\w+\s+\*?(\w+)", 1).alias("name"), F.lit("CONTAINS").alias("kind")).filter("name <> ''")
     out = calls.select(*own, "name", "kind").unionByName(imports).unionByName(bases).unionByName(receiver)
     if blocks is not None:
         one = lambda d: F.concat_ws("\u0000", "repo", "path")
@@ -383,8 +382,7 @@ def fragments(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = F.col("seq").cast("long") if "seq" in files.columns else F.pmod(F.xxhash64("repo", "path"), F.lit(1 << 42))
     chunks = table_between_rounds(chunkers.code_chunks(code).drop("body"))
     blocks = chunkers.code_chunks(code.filter(F.col("lang").isin(*chunkers.MEMBER_BLOCKS)), chunkers.MEMBER_BLOCKS)
-    lines = chunkers.line_rows(code).withColumn("lang", language_of("path"))
-    said = extract_refs(lines, chunks, blocks)
+    said = extract_refs(chunkers.code_lines(code), chunks, blocks)
     said = said.select("repo", "src", F.when(F.col("kind") == "IMPORTS", F.concat(F.lit("mod:"), "name")).alias("dst"), "name", "path", "line", "kind", "rev", F.when(F.col("kind") == "IMPORTS", "EXACT").otherwise("TEXTUAL").alias("resolution"))
     nested = containers(chunks.select("repo", "path", F.col("key").alias("id"), F.col("kind_name").alias("kind"), F.col("start_byte").alias("start"), F.col("end_byte").alias("end")))
     starts = chunks.select("repo", F.col("key").alias("id"), "start_line", F.col("symbol").alias("name"))
