@@ -308,14 +308,41 @@ def module_prefixes(files: DataFrame) -> DataFrame:
     return files.select(*_repo(files), name.alias("prefix")).filter("prefix <> ''").distinct()
 
 
+#: Endings by which an import's name says that it is a file of the repository.
+_SOURCE_END = r"\.(?:c|h|cc|cpp|hpp|go|js|jsx|ts|tsx|py|java|kt|rs|rb)$"
+
+
+def import_map(files: DataFrame) -> DataFrame:
+    """([repo,] name, file): the names by which files can be imported as a whole: their path without
+    its ending, with ./ too; of Python dotted, of Rust from crate:: on; a Go package by `go:` and its
+    directory. Of several files of a name the first stays, by seq if files have it, then by path."""
+    repo = _repo(files)
+    ending = F.regexp_extract("path", r"\.([^./]+)$", 1)
+    bare = F.regexp_replace("path", r"\.[^./]+$", "")
+    dotted = F.regexp_replace(F.replace(bare, F.lit("/"), F.lit(".")), r"\.__init__$", "")
+    crate = F.concat(F.lit("crate::"), F.replace(F.regexp_replace(bare, "^src/", ""), F.lit("/"), F.lit("::")))
+    plain = [bare, F.concat(F.lit("./"), bare)]
+    names = (
+        F.when(ending.isin("js", "jsx", "ts", "tsx"), F.array(*plain)).when(ending == "py", F.array(*plain, dotted)).when(ending == "rs", F.array(*plain, crate))
+        .when(ending == "go", F.array(F.concat(F.lit("go:"), F.regexp_replace("path", r"/?[^/]*$", ""))))
+    )
+    order = F.struct(*(["seq"] if "seq" in files.columns else []), "path")
+    return files.select(*repo, F.explode(names).alias("name"), order.alias("at")).groupBy(*repo, "name").agg(F.min("at")["path"].alias("file"))
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame, prefixes: DataFrame | None = None) -> DataFrame:
     """([repo,] src, name, dst, resolution, confidence): imports([repo,] src, name) to files([repo,]
-    path) where one file of the repository fits, else to a module.
+    path[, seq]) of the repository, else to a module.
 
-    Names lose quotes, ./ and ../, a known module prefix(prefix) and crate::; dots and :: become
-    slashes. A file fits if its path, or its path without extension, ends in the name. Every
-    suffix of a path is a row, so this is an equi-join; several files: a module. A name's
-    beginnings meet the prefixes by an equi-join too.
+    Only names that may mean a file are led to one: relative ones, those with ::, dots but no
+    slash, the ending of a source file, or a known module prefix(prefix). A bare word or
+    `encoding/json` stays a module, whatever files there are. import_map() comes first; then a
+    file fits if its path, with or without its ending, ends in the name, or if it lies in the
+    directory of the name: one file that fits is taken, several are none.
+
+    Names lose quotes, ./ and ../, the module prefix and crate::; dots and :: become slashes. Every
+    end of a path and every directory is a row, so all of this is by equi-joins; a name's
+    beginnings meet the prefixes by one too.
     """
     name = F.regexp_replace(F.regexp_replace("name", r"^(?:\.{1,2}/)+", ""), r"^(?:crate|self|super)::", "")
     repo = _repo(imports, files)
@@ -328,17 +355,22 @@ def resolve_imports(imports: DataFrame, files: DataFrame, prefixes: DataFrame |
         own = rows.select(*key, F.explode(begin).alias("prefix")).join(prefixes.select(*of, "prefix").distinct(), [*of, "prefix"])
         longest = own.groupBy(*key).agg(F.max(F.length("prefix")).alias("cut"))
         rows = rows.join(longest, key, "left").withColumn("wanted", F.when(F.col("cut").isNotNull(), F.regexp_replace(F.substring("wanted", F.col("cut") + 1, F.lit(1 << 20)), "^(?:/|::)", "")).otherwise(F.col("wanted")))
-    dotted = F.when(F.col("wanted").contains("/") | F.col("wanted").rlike(r"\.(?:h|c|hpp|js|ts|rb|py|go)$"), F.col("wanted")).otherwise(F.regexp_replace("wanted", r"::|\.", "/"))
-    rows = rows.withColumn("wanted", dotted)
+    else:
+        rows = rows.withColumn("cut", F.lit(None).cast("int"))
+    said = F.col("name")
+    local = F.col("cut").isNotNull() | said.rlike(r"^\.|::") | said.rlike(_SOURCE_END) | (said.contains(".") & ~said.contains("/"))
+    rows = rows.withColumn("local", local).withColumn("mapped", F.when(F.col("cut").isNotNull(), F.concat(F.lit("go:"), F.col("wanted"))).otherwise(said))
+    rows = rows.withColumn("wanted", F.when(F.col("wanted").contains("/") | F.col("wanted").rlike(_SOURCE_END), F.col("wanted")).otherwise(F.regexp_replace("wanted", r"::|\.", "/")))
     parts = F.split("path", "/")
     suffix = lambda arr: F.transform(F.sequence(F.lit(1), F.size(arr)), lambda i: F.array_join(F.slice(arr, i, F.size(arr)), "/"))
     bare = F.split(F.regexp_replace("path", r"\.[^./]+$", ""), "/")
-    each = files.select(*repo, "path", F.explode(F.array_distinct(F.concat(suffix(parts), suffix(bare)))).alias("wanted"))
-    one = each.groupBy(*repo, "wanted").agg(F.min("path").alias("file"), F.countDistinct("path").alias("n")).filter("n = 1")
-    # a single bare word is a standard module unless the importer said it is a file
-    local = rows.withColumn("local", F.col("name").rlike(r"^\.|/|::|\."))
-    met = local.join(one, [*repo, "wanted"], "left").withColumn("hit", F.col("file").isNotNull() & F.col("local"))
-    return met.select(*key, F.when(F.col("hit"), F.concat(F.lit("file:"), "file")).otherwise(F.concat(F.lit("mod:"), "name")).alias("dst"), F.when(F.col("hit"), "IMPORT").otherwise("EXACT").alias("resolution"), F.when(F.col("hit"), IMPORT).otherwise(EXACT).alias("confidence"))
+    inside = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).otherwise(F.array().cast("array<string>"))
+    each = files.select(*repo, "path", F.explode(F.array_distinct(F.concat(suffix(parts), suffix(bare), inside))).alias("wanted"))
+    one = each.groupBy(*repo, "wanted").agg(F.min("path").alias("file"), F.max("path").alias("other")).filter("file = other").drop("other")
+    known = import_map(files).select(*repo, F.col("name").alias("mapped"), F.col("file").alias("whole"))
+    met = rows.join(known, [*repo, "mapped"], "left").join(one, [*repo, "wanted"], "left").withColumn("to", F.when(F.col("local"), F.coalesce("whole", "file")))
+    hit = F.col("to").isNotNull()
+    return met.select(*key, F.when(hit, F.concat(F.lit("file:"), "to")).otherwise(F.concat(F.lit("mod:"), "name")).alias("dst"), F.when(hit, "IMPORT").otherwise("EXACT").alias("resolution"), F.when(hit, IMPORT).otherwise(EXACT).alias("confidence"))
 
 
 def rewrite_imports(refs: DataFrame, resolved: DataFrame) -> DataFrame:
