@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,11 +42,10 @@ def s6_index_roots(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id AS id, source AS repo FROM documents WHERE source = 'src3' ORDER BY id LIMIT 5")
 def d3_find_by_key(spark, sf):
     files = data.files(spark, sf)
-    repos = files.select("repo").distinct()
-    first = engine.in_repo(files, repos, "src3").orderBy("doc_id").limit(5).select("repo", F.col("doc_id").alias("id"), "path")
     keyed = files.select("repo", F.col("doc_id").alias("id"), F.col("path").alias("key"))
-    found = first.join(engine.in_repo(keyed, repos, "src3").select("repo", "id", "key"), ["repo", "id"]).filter("key = path")
-    return found.select("id", "repo")
+    first = engine.in_repo(keyed, files.select("repo").distinct(), "src3").orderBy("id").limit(5)
+    found = [engine.find_by_key(keyed, "src3", r["key"]) for r in first.collect()]
+    return reduce(DataFrame.unionByName, found).select("id", "repo")
 
 
 @query("""WITH k AS (SELECT min(doc_id) AS id FROM documents WHERE source = 'src2') SELECT d.doc_id AS id, d.source AS repo, d.lang || '/' || d.doc_id || '.txt' AS key FROM documents d JOIN k ON d.doc_id = k.id""")
@@ -181,6 +182,24 @@ def k1_dirty_paths(spark, sf):
     return watch.dirty_paths(watch.merge_kinds(data.watch_events(spark, sf)))
 
 
+@query(f"""WITH ev AS (SELECT 'u/' || user_id AS path, CASE event_type WHEN 'click' THEN 'MODIFY' WHEN 'signup' THEN 'CREATE' WHEN 'error' THEN 'DELETE' ELSE 'RENAME' END AS kind, ts, event_id AS seq FROM events),
+l AS (SELECT path, list(kind ORDER BY ts, seq) AS kinds FROM ev GROUP BY path) SELECT 'r' AS repo, path, list_reduce(kinds, lambda a, b: CASE WHEN a = 'DELETE' AND b <> 'CREATE' THEN 'DELETE' ELSE b END) AS kind FROM l""")
+def k1_dirty_set(spark, sf):
+    events = data.watch_events(spark, sf)
+    middle = events.agg(F.timestamp_seconds(F.avg(F.unix_timestamp("ts"))).alias("at")).first()["at"]
+    dirty = watch.DirtySet(spark)
+    dirty.add(events.filter(F.col("ts") < F.lit(middle)))
+    dirty.add(events.filter(F.col("ts") >= F.lit(middle)))
+    return dirty.drain()
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'DELETE' WHEN 1 THEN 'RENAME' WHEN 2 THEN 'CREATE' ELSE 'MODIFY' END AS kind FROM events")
+def k3_fsevent_kinds(spark, sf):
+    flags = F.array(*map(F.lit, ("ItemCreated|ItemRemoved", "ItemCreated|ItemRenamed", "itemcreated|ItemModified", "ItemXattrMod")))
+    rows = data.table(spark, sf, "events").select("event_id", F.element_at(flags, (F.col("event_id") % 4).cast("int") + 1).alias("flags"))
+    return rows.select("event_id", watch.fsevent_kind("flags").alias("kind"))
+
+
 @query(f"""WITH {code_corpus.FILES_SQL} SELECT DISTINCT 'pkg' || (k % 20) || '.example' AS prefix FROM code""")
 def g19_module_prefixes(spark, sf):
     base = F.split("path", "/")[0]

@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quarryline.operators.rounds import Rounds
+
 DEBOUNCE = "75 milliseconds"
 DRAIN_EVENTS = 256
 
@@ -79,6 +81,42 @@ def dirty_paths(merged: DataFrame, limit: int | None = None) -> DataFrame:
     return merged.select("repo", "path", "kind")
 
 
+class DirtySet:
+    """The merged kinds of paths that wait to be indexed, as a table that grows by batches of events
+    and is emptied by a drain."""
+
+    def __init__(self, spark: SparkSession):
+        self.rounds, self.waiting = Rounds(spark), None
+
+    def add(self, events: DataFrame) -> None:
+        """Merges events(repo, path, kind, ts, seq) into what waits: a state counts as an event
+        before all of the batch, and a CREATE in it undoes a DELETE that waits."""
+        facts = events.select("repo", "path", "kind", "ts", F.col("seq").cast("long").alias("seq"), F.lit(1).alias("_age"))
+        if self.waiting is not None:
+            facts = self.waiting.withColumn("_age", F.lit(0)).withColumn("seq", F.lit(0).cast("long")).unionByName(facts)
+        # merge_kinds() orders by (ts, seq): what waits comes first by its age
+        aged = facts.select("repo", "path", "kind", F.struct("_age", "ts").alias("ts"), "seq")
+        merged = merge_kinds(aged).select("repo", "path", "kind", F.col("ts.ts").alias("ts"))
+        self.waiting = self.rounds.save(merged)
+        self.rounds.drop_but(self.waiting)
+
+    def drain(self, limit: int | None = None) -> DataFrame | None:
+        """What waits (repo, path, kind), which waits no longer; None if nothing does. Over the limit
+        it fails and all of it still waits. The table stays until the next batch is added."""
+        if self.waiting is None:
+            return None
+        taken = dirty_paths(self.waiting, limit)
+        self.waiting = None
+        return taken
+
+
+def fsevent_kind(flags: str = "flags"):
+    """Kind of a raw event of macOS by the names of its flags: one that says removed, renamed and
+    created is a removal first, then a renaming."""
+    m = F.upper(flags)
+    return F.when(m.contains("REMOVED"), "DELETE").when(m.contains("RENAMED"), "RENAME").when(m.contains("CREATED"), "CREATE").otherwise("MODIFY")
+
+
 def event_kind(mask: str = "mask"):
     """Kind of a raw inotify-like mask by name."""
     m = F.upper(mask)
