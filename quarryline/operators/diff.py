@@ -107,6 +107,33 @@ def changed_repos(prev_rollup: DataFrame, now_rollup: DataFrame) -> DataFrame:
     return both.filter(~F.col("a").eqNullSafe(F.col("b"))).select("repo")
 
 
+#: Parts of a manifest that is stored by directory; what a diff lists at the driver is at most that.
+PARTS = 256
+
+
+def by_directory(leaves: DataFrame, parts: int = PARTS) -> DataFrame:
+    """leaves(repo, path, hash) with dir and part, for a table that is written with
+    partitionBy("part"): the leaves of a directory are in one part."""
+    rows = leaves.select("repo", "path", "hash", F.regexp_replace("path", r"/?[^/]*$", "").alias("dir"))
+    return rows.withColumn("part", F.pmod(F.xxhash64("repo", "dir"), F.lit(parts)).cast("int"))
+
+
+def changed_directories(prev_rollup: DataFrame, now_rollup: DataFrame) -> DataFrame:
+    """(repo, dir) of directories that differ or are in one of two directory_rollup() only."""
+    one = lambda d, name: d.select("repo", "dir", F.col("fingerprint").alias(name))
+    both = one(prev_rollup, "a").join(one(now_rollup, "b"), ["repo", "dir"], "full_outer")
+    return both.filter(~F.col("a").eqNullSafe(F.col("b"))).select("repo", "dir")
+
+
+def pruned_manifest_diff(prev: DataFrame, now: DataFrame, prev_rollup: DataFrame, now_rollup: DataFrame, parts: int = PARTS) -> DataFrame:
+    """manifest_diff() of two stored manifests (by_directory(), written by part) that reads only the
+    parts which hold a directory whose digest differs. Equal trees read no leaf at all."""
+    changed = table_between_rounds(changed_directories(prev_rollup, now_rollup).withColumn("part", F.pmod(F.xxhash64("repo", "dir"), F.lit(parts)).cast("int")))
+    touched = [r["part"] for r in changed.select("part").distinct().collect()]
+    inside = lambda d: d.filter(F.col("part").isin(touched)).join(changed.select("repo", "dir"), ["repo", "dir"], "left_semi")
+    return manifest_diff(inside(prev), inside(now))
+
+
 def needs_hash(prev: DataFrame, stats: DataFrame) -> DataFrame:
     """Files whose content must be read: no earlier leaf has their size and mtime.
 

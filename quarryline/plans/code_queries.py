@@ -83,10 +83,11 @@ def _edges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return nodes, graph.table_between_rounds(graph.edges_view(refs, nodes))
 
 
+#: A Go import leads to its package's first Go file, else to the only file of code in the directory.
 #: defs, the refs said in code, what imports lead to, nested definitions, nodes and edges.
 GRAPH = f"""WITH {corpus.definitions_sql(CODE, KIND_CODE, False)}, {corpus.refs_sql()},
 owned AS (SELECT r.*, coalesce((SELECT min(d.key) FROM defs d WHERE d.repo = r.repo AND d.path = r.path AND d.symbol = r.symbol AND d.start_line <= r.line AND d.end_line >= r.line), 'file:' || r.path) AS src FROM refs r),
-packages AS (SELECT repo, '{GO_MODULE}/' || split_part(path, '/', 1) || '/sub' AS name, arg_min(path, k) AS path FROM code WHERE lang = 'go' GROUP BY 1, 2),
+packages AS (SELECT repo, '{GO_MODULE}/' || split_part(path, '/', 1) || '/sub' AS name, coalesce(arg_min(path, k) FILTER (lang = 'go'), CASE WHEN count(*) = 1 THEN min(path) END) AS path FROM code WHERE lang IN ({", ".join(f"'{x}'" for x in CODE)}) GROUP BY 1, 2),
 target AS (SELECT o.*, coalesce(t.path, g.path) AS hit FROM owned o LEFT JOIN code t ON o.kind = 'IMPORTS' AND o.lang <> 'go' AND o.name NOT IN ('os', 'stdio.h') AND t.k = o.k + {len(corpus.KINDS)} AND t.repo = o.repo
   LEFT JOIN packages g ON o.kind = 'IMPORTS' AND o.lang = 'go' AND g.name = o.name AND g.repo = o.repo),
 nested AS (SELECT a.repo, a.path, a.key AS dst, arg_min(b.key, b.end_line - b.start_line) AS src, any_value(a.symbol) AS name, any_value(a.start_line) AS line FROM defs a JOIN defs b ON a.repo = b.repo AND a.path = b.path AND b.kind_name IN ('class', 'struct', 'interface')

@@ -150,6 +150,19 @@ def d9_manifest_diff(spark, sf):
     return diff.manifest_diff(leaf(prev), leaf(now))
 
 
+@query(f"""WITH {FILES}, {PREV} SELECT coalesce(a.repo, b.repo) AS repo, coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' ELSE 'modified' END AS op
+FROM prev a FULL JOIN now b ON a.repo = b.repo AND a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR md5(a.text) <> md5(b.text)""")
+def d9_pruned_diff(spark, sf):
+    stored, dirs = [], []
+    for d in data.snapshots(spark, sf):
+        leaves = d.select("repo", "path", F.md5("text").alias("hash"))
+        folder = new_folder(spark)
+        diff.by_directory(leaves).repartition("part").write.partitionBy("part").parquet(folder)
+        stored.append(spark.read.parquet(folder))
+        dirs.append(diff.directory_rollup(leaves))
+    return diff.pruned_manifest_diff(*stored, *dirs)
+
+
 ROLLUP = f"""{FILES}, leaf AS (SELECT repo, split_part(path, '/', 1) AS dir, split_part(path, '/', 2) AS name, md5(text) AS h FROM files),
 d1 AS (SELECT repo, dir, 1 AS depth, md5(string_agg(name || ':' || h, ',' ORDER BY name)) AS fingerprint, count(*) AS n FROM leaf GROUP BY repo, dir),
 d0 AS (SELECT repo, '' AS dir, 0 AS depth, md5(string_agg(dir || ':' || fingerprint, ',' ORDER BY dir)) AS fingerprint, count(*) AS n FROM d1 GROUP BY repo)"""
