@@ -108,3 +108,11 @@ def test_a_commit_is_taken_once_and_failed_ones_are_passed_over(spark, tmp_path)
     (tmp_path / "index/commits/000000000009").write_text("vectors-that-were-never-written")
     assert VectorIndex(spark, folder).rows().count() == 40
     assert VectorIndex(spark, folder).add(table.limit(3)).rows().count() == 40 and index._last()[0] == 10
+
+
+def test_rounding_to_zero_keeps_the_sign(spark):
+    """As SQL has it: -1e-9 becomes -0.0, and half of the last digit goes away from zero."""
+    values = [-1e-9, 1e-9, -0.0, 0.0, 0.1234565, -0.5, 2.5e-6, 3e12 + 0.25]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").coalesce(1).select(vectors.rounded(F.col("x"))).collect()]
+    assert [str(v) for v in got] == ["-0.0", "0.0", "-0.0", "0.0", str(got[4]), "-0.5", "3e-06", "3000000000000.25"]
+    assert abs(got[4] - 0.1234565) <= 0.51e-6
