@@ -116,3 +116,33 @@ def test_rounding_to_zero_keeps_the_sign(spark):
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").coalesce(1).select(vectors.rounded(F.col("x"))).collect()]
     assert [str(v) for v in got] == ["-0.0", "0.0", "-0.0", "0.0", str(got[4]), "-0.5", "3e-06", "3000000000000.25"]
     assert abs(got[4] - 0.1234565) <= 0.51e-6
+
+
+def plain_knn(table, queries, k, by=lambda r: ()):
+    out = {}
+    for qid, q in queries:
+        for r in table:
+            v = r[1]
+            if v is None or q is None or None in v or None in q:
+                score = None
+            else:
+                one, other = (sum(x * x for x in w) ** 0.5 for w in (v, q))
+                score = round(sum(x * y for x, y in zip(v, q, strict=True)) / (one * other), 6) if one and other else float(one == other)
+            out.setdefault((qid, *by(r)), []).append((score is None, -(score or 0.0), r[0], score))
+    return {(*key, i, score, n) for key, rows in out.items() for n, (_, _, i, score) in enumerate(sorted(rows, key=lambda x: x[:3])[:k], 1)}
+
+
+def test_knn_by_matrices_is_knn_by_pairs(spark):
+    """Ties, zero vectors, nulls, groups that are null."""
+    rng = random.Random(8)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(4)], rng.choice(["a", "b", None])) for i in range(300)]
+    rows += [(300 + i, v, "a") for i, v in enumerate([None, [0.0] * 4, [1.0, None, 0.0, 0.0], [0.0] * 4])]
+    asked = [(i, rows[i][1]) for i in range(0, 300, 10)] + [(900, [0.0] * 4), (901, None)]
+    table = spark.createDataFrame(rows, "id long, vector array<double>, g string").repartition(3)
+    queries = spark.createDataFrame(asked, QUERIES)
+    found = vectors.knn(table, queries, 5, "id", "vector")
+    assert set(rows_of(found)) == plain_knn(rows, asked, 5)
+    by = vectors.knn(table, queries, 400, "id", "vector", by=["g"])
+    assert {tuple(r) for r in by.select("query_id", "g", "id", "score", "rank").collect()} == plain_knn(rows, asked, 400, lambda r: (r[2],))
+    # no row for every pair of a vector and a query
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
