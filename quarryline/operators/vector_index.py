@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.operators.rounds import table_between_rounds
-from quarryline.operators.vectors import as_double, cosine, l2_normalize, query_blocks
+from quarryline.operators.vectors import ROW_BLOCK, Best, as_double, cosine, l2_normalize, matrix, query_blocks, schema_of
 
 #: Cells that a query looks into before it has a bound, and the most cells of an index.
 FIRST_CELLS, MAX_CELLS = 4, 4096
@@ -201,32 +201,37 @@ class VectorIndex:
         return out if out is not None else queries.select("query_id", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
 
     def _exact(self, block, rows, near, extents, k, probe):
-        plain = [any(r["q"]) for r in rows]
-        order = [[c for c in np.argsort(d, kind="stable").tolist() if c in extents][:FIRST_CELLS] for d in near]
+        plain = np.array([any(r["q"]) for r in rows], bool)
+        cells = np.array(sorted(c for c in extents if c != NO_CELL), int)
+        radius, sizes = (np.array([extents[c][i] for c in cells], float) for i in (1, 0))
+        far = near[:, cells] if near.shape[1] else np.zeros((len(rows), len(cells)))
+        # by cell + 1: the first column is NO_CELL's
+        chosen = np.zeros((len(rows), max(cells, default=NO_CELL) + 2), bool)
+        at = cells[np.argsort(far, axis=1, kind="stable")[:, :FIRST_CELLS]]
+        np.put_along_axis(chosen, at + 1, True, axis=1)
         # a query without direction is equally far from all
-        first = [(r["query_id"], c) for r, own, ok in zip(rows, order, plain, strict=True) for c in (own if ok else extents)]
-        first += [(r["query_id"], NO_CELL) for r, ok in zip(rows, plain, strict=True) if ok and NO_CELL in extents]
-        best = table_between_rounds(self._scored(block, first, k))
+        chosen[np.ix_(~plain, cells + 1)] = True
+        chosen[:, 0] = NO_CELL in extents
+        kind = block.schema["query_id"].dataType.simpleString()
+        best = table_between_rounds(self._scored(rows, kind, chosen, k))
         last = {r["query_id"]: r["score"] for r in best.filter(F.col("rank") == k).select("query_id", "score").collect()}
-        more = []
-        for r, d, own, ok in zip(rows, near, order, plain, strict=True):
-            if not ok:
-                continue
-            reach = math.sqrt(max(0.0, 2 - 2 * (last[r["query_id"]] - SLACK))) + SLACK if r["query_id"] in last else math.inf
-            more += [(r["query_id"], c) for c, (_, radius) in extents.items() if c != NO_CELL and c not in own and _far(d, c) - radius <= reach]
-        pairs = sum(extents[c][0] for _, c in first + more)
-        if not more:
+        reach = np.array([math.sqrt(max(0.0, 2 - 2 * (last[r["query_id"]] - SLACK))) + SLACK if r["query_id"] in last else math.inf for r in rows])
+        more = np.zeros_like(chosen)
+        more[:, cells + 1] = (far - radius <= reach[:, None]) & ~chosen[:, cells + 1] & plain[:, None]
+        looked = (chosen | more)[:, cells + 1].sum(0) @ sizes if len(cells) else 0
+        pairs = int(looked) + int(chosen[:, 0].sum()) * extents.get(NO_CELL, (0, 0.0))[0]
+        if not more.any():
             return best, pairs
-        both = best.select("query_id", "id", "score").unionByName(self._scored(block, more, k).select("query_id", "id", "score"))
+        both = best.select("query_id", "id", "score").unionByName(self._scored(rows, kind, more, k).select("query_id", "id", "score"))
         return _ranked(both, k), pairs
 
-    def _scored(self, block: DataFrame, wanted: list[tuple[int, int]], k: int) -> DataFrame:
-        """The k best of each query's cells."""
-        cells = sorted({c for _, c in wanted})
-        looking = self.spark.createDataFrame(wanted, f"query_id {block.schema['query_id'].dataType.simpleString()}, cell int")
-        asking = F.broadcast(looking.join(F.broadcast(block), "query_id").groupBy("cell").agg(F.collect_list(F.struct("query_id", "q")).alias("asking")))
-        pairs = self.rows(("id", "vector", "cell"), cells).join(asking, "cell").select("id", "vector", F.explode("asking").alias("a"))
-        return _ranked(pairs.select("a.query_id", "id", F.round(cosine(F.col("vector"), F.col("a.q")), 6).alias("score")), k)
+    def _scored(self, rows: list, kind: str, chosen: np.ndarray, k: int) -> DataFrame:
+        """The k best of each query's cells: chosen by query and cell + 1."""
+        cells = (np.flatnonzero(chosen.any(0)) - 1).tolist()
+        asked = np.array([r["q"] for r in rows], float)
+        schema = f"query_id {kind}, id long, score double"
+        met = self.rows(("id", "vector", "cell"), None if len(cells) == chosen.shape[1] else cells)
+        return _ranked(met.mapInArrow(_best_of_cells([r["query_id"] for r in rows], asked, chosen, k, schema_of(schema)), schema), k)
 
     def _by_bytes(self, block, rows, near, extents, k, probe):
         cells = sorted(c for c in extents if c != NO_CELL)
@@ -314,6 +319,25 @@ def _placed(centroids: np.ndarray):
     return run
 
 
+def _best_of_cells(ids: list, asked: np.ndarray, chosen: np.ndarray, k: int, schema: pa.Schema):
+    """Batches (id, vector, cell) to (query_id, id, score): each query's k best of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(asked, len(ids), k)
+        for batch in batches:
+            own, cell = batch.column(0).to_numpy(), batch.column(2).to_numpy() + 1
+            rows, good = matrix(batch.column(1), asked.shape[1])
+            order = np.argsort(cell, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+                for a in range(0, len(part), ROW_BLOCK):
+                    at = part[a : a + ROW_BLOCK]
+                    best.add(own[at], rows[at], good[at], np.flatnonzero(chosen[:, cell[at[0]]]))
+        query, who, score = best.rows()
+        yield pa.RecordBatch.from_arrays([pa.array(ids, schema.types[0]).take(pa.array(query)), pa.array(who, pa.int64()), score], schema=schema)
+
+    return run
+
+
 def _best_by_bytes(ids: list, codes: np.ndarray, chosen: np.ndarray, n: int):
     """Batches (id, code, cell) to each query's n best of a task, by integer products."""
 

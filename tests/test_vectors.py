@@ -146,3 +146,15 @@ def test_knn_by_matrices_is_knn_by_pairs(spark):
     assert {tuple(r) for r in by.select("query_id", "g", "id", "score", "rank").collect()} == plain_knn(rows, asked, 400, lambda r: (r[2],))
     # no row for every pair of a vector and a query
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_meet_queries_without_a_row_for_every_pair(spark, tmp_path):
+    """Zero vectors and queries too; what is asked of a cell goes to the tasks as one table."""
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(400)] + [(400 + i, [0.0] * 4) for i in range(3)]
+    asked = [(i, rows[i][1]) for i in range(0, 400, 9)] + [(900, [0.0] * 4)]
+    table, queries = spark.createDataFrame(rows, VECTORS), spark.createDataFrame(asked, QUERIES)
+    found = VectorIndex(spark, f"file://{tmp_path}/index").create(table, 9).search(queries, 7)
+    assert set(rows_of(found)) == plain_knn(rows, asked, 7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "HashJoin" not in plan
