@@ -28,9 +28,9 @@ CAPACITY = 1024
 SMALLEST = 64
 END_ID = 0
 #: Bytes of text encoded at once.
-WORK_BYTES = 4 << 20
+WORK_BYTES = 1 << 20
 #: Bound of the per-worker cache of word ids.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 250_000
 
 PIECE_FIELDS = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _OWN = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]

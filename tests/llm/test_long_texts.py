@@ -59,3 +59,26 @@ def test_mixing_and_archives(docs):
     found = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_records(index, folder, payload=False).collect()}
     digest = hashlib.sha1(LONG.encode()).hexdigest()
     assert found[1] == (len(LONG), digest, "revisit", 9) and found[9] == (len(LONG), digest, "response", None)
+
+
+def test_packing_keeps_few_words_in_memory():
+    """A worker that meets ever new words forgets them in time: they take less than 250 MB."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import resource
+import pyarrow as pa
+from quarryline.llm import packing
+from quarryline.llm.queries import tokenizer_path
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+packing.word_ids(tokenizer_path)
+before = peak()
+text = lambda d: " ".join("w%x" % ((d * 20000 + i) * 2654435761 % (1 << 40)) for i in range(20000))
+batches = (pa.RecordBatch.from_arrays([pa.array([d]), pa.array([text(d)])], ["doc_id", "text"]) for d in range(80))
+print(sum(b.num_rows for b in packing.pack_partition(tokenizer_path)(batches)), peak() - before)
+"""
+    root = str(Path(__file__).resolve().parents[2])
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, check=True).stdout.split()
+    assert int(out[0]) >= 80 and int(out[1]) < 250, out
