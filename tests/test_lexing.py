@@ -99,3 +99,10 @@ def test_json_time_grows_with_the_file():
         assert len(chunkers.json_pieces(text)) == n
         took.append(time.perf_counter() - begin)
     assert took[1] < 8 * 3 * took[0] + 0.5
+
+
+def test_files_of_code_are_read_by_many_tasks(spark, sf):
+    """The table behind them is one small file."""
+    from quarryline.plans import code_corpus
+
+    assert code_corpus.code_files(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
