@@ -106,3 +106,14 @@ def test_files_of_code_are_read_by_many_tasks(spark, sf):
     from quarryline.plans import code_corpus
 
     assert code_corpus.code_files(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_language_mix_counts_files_of_every_language(spark, sf):
+    """Markup too, with the bytes of all texts."""
+    from quarryline.plans import code_corpus
+    from quarryline.plans.queries import QUERIES
+
+    got = {r["lang"]: (r["files"], r["n_bytes"]) for r in QUERIES["g17_language_mix"](spark, sf).collect()}
+    texts = code_corpus.code_files(spark, sf).select("text").collect()
+    assert set(got) == set(code_corpus.INDEX)
+    assert sum(n for n, _ in got.values()) == len(texts) and sum(b for _, b in got.values()) == sum(len(r["text"].encode()) for r in texts)
