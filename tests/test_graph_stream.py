@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryline.functions import hashing, paths
-from quarryline.operators import diff, graph
+from quarryline.operators import chunkers, diff, graph
 from quarryline.sources.files import Snapshots
 from quarryline.streaming import watch
 
@@ -130,3 +130,27 @@ def test_a_hundred_thousand_definitions_in_a_file(spark):
     rows = spark.range(100_000).select(F.lit("a").alias("path"), F.col("id").cast("string").alias("id"), F.when(F.col("id") % 10 == 0, "class").otherwise("method").alias("kind"), (F.col("id") * 10).alias("start"), F.when(F.col("id") % 10 == 0, F.col("id") * 10 + 99).otherwise(F.col("id") * 10 + 5).alias("end"))
     found = graph.containers(rows)
     assert found.count() == 90_000 and found.filter(F.col("container").cast("long") != F.floor(F.col("id").cast("long") / 10) * 10).isEmpty()
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+RUST = 'use crate::a::b;\n\nstruct Foo {\n    n: i32,\n}\n\nimpl Foo {\n    fn z(&self) -> i32 {\n        help(self.n) // no(1)\n    }\n}\n\nfn help(x: i32) -> i32 { x }\n'
+
+
+def test_references_of_a_file_need_no_join(spark):
+    """All that a line's references need is in the row of its file, which is read by its tokens once."""
+    files = spark.createDataFrame([("r", "a.rs", "rust", RUST), ("r", "b.rs", "rust", None)], "repo string, path string, lang string, text string")
+    refs = graph.extract_refs(graph.table_between_rounds(chunkers.read_code(files)))
+    assert "Join" not in _plan(refs) and "MapInArrow" not in _plan(refs)
+    found = sorted((r["src"], r["name"], r["kind"], r["line"], r["rev"]) for r in refs.collect())
+    assert found == [("a.rs::1::z#0", "Foo", "CONTAINS", 8, True), ("a.rs::1::z#0", "help", "CALLS", 9, False), ("file:a.rs", "crate::a::b", "IMPORTS", 1, False)]
+
+
+def test_names_are_resolved_once(spark):
+    """Those that name their container instead along with the others; the refs' other kinds don't meet the imports."""
+    nodes, refs = graph.build_graph(spark.createDataFrame([("r", "a.rs", RUST, 1)], "repo string, path string, text string, seq long"))
+    edges = graph.edges_view(refs, nodes)
+    assert _plan(edges).count("Window [") <= 2
+    assert {(r["src"], r["dst"]) for r in edges.filter("resolution = 'TEXTUAL'").collect()} == {("a.rs::4::Foo#0", "a.rs::1::z#0"), ("a.rs::1::z#0", "a.rs::1::help#0")}
