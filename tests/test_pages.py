@@ -37,3 +37,10 @@ def test_citations(spark, markdown, expected):
     found = text.citations(spark.createDataFrame([(1, markdown)], "id int, text string")).orderBy("ordinal").collect()
     assert [(r.source, r.ordinal) for r in found] == expected
     assert all(f"{r.path}:{r.lines}" == r.source for r in found)
+
+
+def test_a_batch_becomes_strings_page_by_page():
+    """The batch stays an Arrow array; it was a series of all pages' strings."""
+    import pyarrow as pa
+
+    assert pages._page_texts.func(pa.array(["<p>a</p>", None, ""])).to_pylist() == ["a", None, ""]
