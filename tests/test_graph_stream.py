@@ -154,3 +154,53 @@ def test_names_are_resolved_once(spark):
     edges = graph.edges_view(refs, nodes)
     assert _plan(edges).count("Window [") <= 2
     assert {(r["src"], r["dst"]) for r in edges.filter("resolution = 'TEXTUAL'").collect()} == {("a.rs::4::Foo#0", "a.rs::1::z#0"), ("a.rs::1::z#0", "a.rs::1::help#0")}
+
+
+def test_changed_symbols_are_one_frontier(spark, monkeypatch):
+    """A node that many of them reach is kept once, not once for each."""
+    kept = []
+
+    class Counted(graph.Rounds):
+        def save(self, df):
+            out = super().save(df)
+            kept.append(out.count())
+            return out
+
+    monkeypatch.setattr(graph, "Rounds", Counted)
+    near = [(f"n{i}", f"n{i}", "b.c", 10 * i) for i in range(30)]
+    nodes = spark.createDataFrame([(f"s{i}", "s", "a.c", 1) for i in range(50)] + near + [("far", "far", "c.c", 1), ("off", "off", "c.c", 9)], "id string, name string, path string, start_line int").selectExpr("*", "start_line + 1 AS end_line")
+    calls = [(f"s{i}", f"n{k}") for i in range(50) for k in range(30)] + [("far", "n7"), ("off", "far"), ("n1", "n2")]
+    edges = spark.createDataFrame(calls, "src string, dst string").selectExpr("*", "'CALLS' AS kind", "1.0D AS confidence", "1 AS line")
+    hunks = spark.createDataFrame([("a.c", 2)], "path string, line int")
+    found = graph.changed_symbols(hunks, nodes.withColumnRenamed("name", "symbol"), edges, nodes)
+    assert [tuple(r) for r in found.collect()][:1] == [("s", "a.c", "direct")]
+    names = [r["name"] for r in found.filter("risk = 'transitive'").collect()]
+    assert len(names) == 20 and set(names) < {f"n{i}" for i in range(30)}
+    every = graph.changed_symbols(hunks, nodes.withColumnRenamed("name", "symbol"), edges, nodes, limit=100)
+    assert {r["name"] for r in every.filter("risk = 'transitive'").collect()} == {f"n{i}" for i in range(30)} | {"far"}
+    assert max(kept) == 50 and sum(kept) <= 2 * nodes.count()
+
+
+def test_tables_of_many_rows_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """However small their files are; calls by odd rows are those of the SQL."""
+    import duckdb
+
+    from quarryline.operators import rounds
+    from quarryline.plans import data
+    from quarryline.plans.queries import REFS
+
+    part = [(k, f"name{k % 7}", f"file{k % 5}") for k in range(40)] + [(3, "twice", "other"), (4, None, "file4"), (5, "name5", None), (None, "none", "none")]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    item = [(i, i % 45, i % 11) for i in range(500)] + [(7, None, 1), (8, 1, None), (None, 9, 2)]
+    spark.createDataFrame(item, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    few = data.named_refs(spark, str(tmp_path))
+    monkeypatch.setattr(rounds, "BROADCAST_ROWS", 10)
+    many = data.named_refs(spark, str(tmp_path))
+    physical = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in physical(few) and "Broadcast" not in physical(many)
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    wanted = sorted(con.execute(f"WITH {REFS} SELECT src, name, path, line FROM refs").fetchall(), key=repr)
+    for got in (few, many):
+        assert sorted((tuple(r) for r in got.select("src", "name", "path", "line").collect()), key=repr) == wanted
