@@ -3,6 +3,7 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarryline.operators import chunkers, graph, lexing
 
@@ -117,3 +118,16 @@ def test_language_mix_counts_files_of_every_language(spark, sf):
     texts = code_corpus.code_files(spark, sf).select("text").collect()
     assert set(got) == set(code_corpus.INDEX)
     assert sum(n for n, _ in got.values()) == len(texts) and sum(b for _, b in got.values()) == sum(len(r["text"].encode()) for r in texts)
+
+
+def test_language_mix_counts_what_the_graph_holds(spark, sf):
+    """Its files of code and their definitions beside all files; of markup it has none."""
+    from quarryline.plans import code_corpus
+    from quarryline.plans.queries import QUERIES
+
+    nodes, _ = graph.build_graph(code_corpus.code_files(spark, sf).withColumn("seq", F.col("key")))
+    held = {r["lang"]: r["count"] for r in nodes.filter("kind = 'file'").groupBy("lang").count().collect()}
+    symbols = {r["lang"]: r["count"] for r in nodes.filter("kind NOT IN ('file', 'module')").groupBy("lang").count().collect()}
+    got = {r["lang"]: (r["files"], r["graph_files"], r["symbols"]) for r in QUERIES["g17_language_mix"](spark, sf).collect()}
+    assert len(held) == 9 and all(got[x] == (n, n, symbols[x]) for x, n in held.items())
+    assert {x: y[1:] for x, y in got.items() if x not in held} == dict.fromkeys(("markdown", "yaml", "toml", "json"), (0, 0))
